@@ -12,7 +12,9 @@ input split, a bounded number of tokens at a time: nothing is shuffled.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,7 +31,7 @@ from . import textkernel as K
 TIERS = (512, 1024, 2048, 4096)
 #: Tokens that are held and packed at once, and words whose ids a worker remembers.
 GROUP_TOKENS = 1_000_000
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 _SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
@@ -38,33 +40,65 @@ def _words(path: str) -> _Words:
     return _Words(path)
 
 
+#: A word of Latin letters with or without signs after it: the tokenizer makes one part of the letters and one of the signs.
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+([!-&(-/:-@\\[-`{-~]+)?")
+_TOGETHER = 500
+
+
 class _Words:
-    """Little-endian ids of texts.  The tokenizer treats the words between white space apart, so each new word is looked up once."""
+    """Little-endian ids of texts.  The tokenizer treats the words between white space apart, so a word is looked up once and then remembered.
+
+    New plain words are encoded many at a time: a part's last id is one of those
+    that end a part, so the ids fall back into words.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.closing = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        for token, k in self.tokenizer.get_vocab().items():
+            self.closing[k] = bool(suffix) and token.endswith(suffix)
         self.known: dict[bytes, bytes] = {}
+        self.earlier: dict[bytes, bytes] = {}
+
+    def _learn(self, new: list[bytes]) -> None:
+        plain, parts, other = [], [], []
+        for word in new:
+            m = _PLAIN.fullmatch(w := word.decode("utf-8", "replace"))
+            if m and len(word) < 100:
+                plain.append((word, w))
+                parts.append(2 if m.group(1) else 1)
+            else:
+                other.append((word, w))
+        for first in range(0, len(plain), _TOGETHER):
+            some, n = plain[first : first + _TOGETHER], parts[first : first + _TOGETHER]
+            ids = np.array(self.tokenizer.encode(" ".join(w for _, w in some), add_special_tokens=False).ids, dtype="<u4")
+            ends = np.flatnonzero(self.closing[ids]) + 1
+            last = np.cumsum(n)
+            if len(ends) != last[-1] or ends[-1] != len(ids):
+                other += some
+                continue
+            raw, at = ids.tobytes(), 0
+            for (word, _), end in zip(some, (ends[last - 1] * 4).tolist()):
+                self.known[word] = raw[at:end]
+                at = end
+        for (word, _), x in zip(other, self.tokenizer.encode_batch_fast([w for _, w in other], add_special_tokens=False)):
+            self.known[word] = np.array(x.ids, dtype="<u4").tobytes()
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.earlier, self.known = self.known, {}
         known = self.known
         split = [t.split() for t in texts]
-        new = list(set().union(*split).difference(known))
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        sizes = []
-        flat: list[int] = []
-        for x in found:
-            ids = x.ids
-            sizes.append(4 * len(ids))
-            flat += ids
-        raw, at = np.array(flat, dtype="<u4").tobytes(), 0
-        for word, n in zip(new, sizes):
-            known[word] = raw[at : at + n]
-            at += n
+        new = set().union(*split).difference(known)
+        if self.earlier:
+            again = new.intersection(self.earlier)
+            known.update(zip(again, map(self.earlier.__getitem__, again)))
+            new -= again
+        self._learn(list(new))
         look = known.__getitem__
         out = [b"".join(map(look, words)) for words in split]
         for word in new:

@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import op7_decontamination
 from .language_id import op3_language_id
 from .ngram_jaccard import op1_ngram_jaccard
 from .packing import op4_packing
+from .pii import op5_pii
 from .quality import op10_quality
 from .toxicity import op8_toxicity
 
@@ -16,6 +18,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op3_language_id": op3_language_id,
     "op4_packing": op4_packing,
+    "op5_pii": op5_pii,
+    "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
     "op10_quality": op10_quality,
 }

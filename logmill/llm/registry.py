@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import op9_ann
 from .decontamination import op7_decontamination
 from .language_id import op3_language_id
 from .ngram_jaccard import op1_ngram_jaccard
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii": op5_pii,
     "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
+    "op9_ann": op9_ann,
     "op10_quality": op10_quality,
 }
 

@@ -221,8 +221,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Rows of `docs` that hold no benchmark item; rows without an id stay."""
-    bad = contaminated(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col(id_col).cast("long") == F.col("bad_id"), "left_anti")
+    bad = contaminated(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias("marked_id"), F.lit(True).alias("goes"))
+    return K.without(docs, id_col, bad)
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -207,7 +207,7 @@ def _predict_pass(model: LanguageModel, with_runs: bool):
                     values = pa.StructArray.from_arrays([pa.array(starts[at] - offsets[owner[at]]), pa.array(ends[last] - offsets[owner[at]]), pa.array(names[label[at]], pa.string())], ["begin", "end", "lang"])
                     columns.append(K.lists(values, np.bincount(owner[at], minlength=len(counts))))
                     fields.append("runs")
-                yield pa.RecordBatch.from_arrays(columns, fields)
+                yield pa.RecordBatch.from_arrays(columns + part.columns[2:], fields + part.schema.names[2:])
 
     return run
 
@@ -231,5 +231,17 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return out.select("doc_id", K.held_out(F.col("doc_id")).alias("held_out"), *out.columns[1:])
 
 
+def in_a_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 0) -> DataFrame:
+    """Rows of `docs` whose text is in a language; a null language becomes the predicted one."""
+    columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
+    model = _learned(docs.select(*columns, F.col(lang_col).cast("string").alias("lang")), seed)
+    carried, names = K.plain_names(docs)
+    kinds = "doc_id long, lang_pred string, score double, n_words long, " + ", ".join(f"__{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(names))
+    out = docs.select(*columns, *carried).mapInArrow(_predict_pass(model, False), kinds).where(F.col("lang_pred") != NO_LANGUAGE)
+    own = {c: F.col(f"__{k}") for k, c in enumerate(names)}
+    own[lang_col] = F.coalesce(own[lang_col], F.col("lang_pred").cast(docs.schema[lang_col].dataType))
+    return out.select(*(own[c].alias(c) for c in docs.columns))
+
+
 def op3_language_id(spark, sf_dir: str) -> DataFrame:
     return identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -149,7 +149,7 @@ def _set_pass(size: int, order, wanted: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array(wanted[_slot(ids, len(wanted))]))
+            batch = batch.filter(pa.array(wanted[K.slot(ids, len(wanted))]))
             for part in K.slices(batch, 1):
                 value, _, sizes = _ordered_sets(part.column(1), size, order)
                 yield pa.RecordBatch.from_arrays([pa.array(_digests(value, sizes), pa.binary()), K.lists(pa.array(value.view(np.int64)), sizes)], ["digest", "members"])
@@ -157,27 +157,6 @@ def _set_pass(size: int, order, wanted: np.ndarray):
     return run
 
 
-def _slot(ids: np.ndarray, n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return (K.mix(ids.astype(np.int64).view(np.uint64) + np.uint64(1)) & np.uint64(n - 1)).astype(np.int64)
-
-
-def _maybe(ids: DataFrame, column: str, slots: int) -> np.ndarray:
-    """A table of `slots` booleans, true where an id falls: a one-hash Bloom filter of fixed size."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(slots, dtype=bool)
-        for batch in batches:
-            table[_slot(batch.column(0).to_numpy(zero_copy_only=False), slots)] = True
-        if table.any():
-            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(table).tobytes()], pa.binary())], ["bits"])
-
-    out = np.zeros(slots // 8, dtype=np.uint8)
-    for row in ids.select(column).coalesce(16).mapInArrow(run, "bits binary").toLocalIterator():
-        out |= np.frombuffer(row["bits"], dtype=np.uint8)
-    return np.unpackbits(out).astype(bool)
-
-
 def components(links: DataFrame) -> DataFrame:
     """(id, root) of every end of `links` (a, b): root is the smallest id that links reach.
 
@@ -230,8 +209,7 @@ class _Join:
         pairs = self.keep(pairs.where(apart <= most).select("a", "b", "n_a", "n_b", "digest_a", "digest_b", "doc_id_a", "doc_id_b"))
         ends = [pairs.select(F.col(e).alias("cid"), F.col(f"doc_id_{e}").alias("doc_id"), F.col(f"digest_{e}").alias("digest")) for e in "ab"]
         wanted = self.keep(ends[0].unionByName(ends[1]).distinct())
-        slots = 1 << max(16, min(26, (wanted.count() * 16).bit_length()))
-        table = _maybe(wanted, "doc_id", slots)
+        table = K.maybe(wanted, "doc_id")
         sets = self.docs.where("doc_id is not null").mapInArrow(_set_pass(self.size, self.order, table), "digest binary, members array<long>")
         sets = self.keep(sets.join(wanted.select("cid", "digest"), "digest").select("cid", "members"))
         found = pairs.select("a", "b", "n_a", "n_b").join(sets.select(F.col("cid").alias("b"), F.col("members").alias("members_b")), "b")
@@ -294,9 +272,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """Rows of `docs` whose id is the smallest of its component; one row of repeated ones; rows without an id stay."""
-    kept = jaccard_join(docs, id_col, text_col, size, percent).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    unique = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col).cast("long") == F.col("kept_id"), "left_semi").dropDuplicates([id_col])
-    return unique.unionByName(docs.where(F.col(id_col).isNull()))
+    found = jaccard_join(docs, id_col, text_col, size, percent).where("doc_id is not null").groupBy("doc_id")
+    found = K.saved(found.agg(F.count("*").alias("n"), F.min(F.col("doc_id") == F.col("component_id")).alias("first")))
+    return K.without(docs, id_col, found.where("n > 1 or not first").select(F.col("doc_id").alias("marked_id"), (~F.col("first")).alias("goes")))
 
 
 def op1_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -320,7 +320,7 @@ def _pass(key: bytes):
                         new[doc] = b"".join(pieces).decode("utf-8", "replace")
                         kinds[doc] = [k for *_, found in parts for k in found]
                     texts = pa.array(new, pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0), texts, pa.array(kinds, pa.list_(pa.string()))], ["doc_id", "text", "kinds"])
+                yield pa.RecordBatch.from_arrays([part.column(0), texts, pa.array(kinds, pa.list_(pa.string())), *part.columns[2:]], ["doc_id", "text", "kinds", *part.schema.names[2:]])
 
     return run
 
@@ -340,5 +340,15 @@ def pseudonymised(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     return docs.mapInArrow(_pass(key), "doc_id long, text string, kinds array<string>")
 
 
+def without_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with their texts replaced as by pseudonymised(), all other columns as they are."""
+    columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
+    carried, names = K.plain_names(docs, text_col)
+    kinds = "doc_id long, text string, kinds array<string>, " + ", ".join(f"__{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(names))
+    out = docs.select(*columns, *carried).mapInArrow(_pass(key), kinds)
+    own = {c: F.col(f"__{k}") for k, c in enumerate(names)} | {text_col: F.col("text")}
+    return out.select(*(own[c].alias(c) for c in docs.columns))
+
+
 def op5_pii(spark, sf_dir: str) -> DataFrame:
     return pseudonymised(spark.read.parquet(f"{sf_dir}/documents.parquet"), EXAMPLE_KEY)

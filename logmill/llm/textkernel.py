@@ -171,3 +171,58 @@ def dropped(*tables: DataFrame) -> None:
             spark = df.sparkSession
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def slot(ids: np.ndarray, n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (mix(ids.astype(np.int64).view(np.uint64) + np.uint64(1)) & np.uint64(n - 1)).astype(np.int64)
+
+
+def maybe(ids: DataFrame, column: str) -> np.ndarray:
+    """Booleans, true where an id falls: a one-hash Bloom filter of at most 2**26 slots, whatever the number of ids."""
+    slots = 1 << max(16, min(26, (ids.count() * 16).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(slots, dtype=bool)
+        for batch in batches:
+            table[slot(batch.column(0).to_numpy(zero_copy_only=False), slots)] = True
+        if table.any():
+            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(table).tobytes()], pa.binary())], ["bits"])
+
+    out = np.zeros(slots // 8, dtype=np.uint8)
+    for row in ids.select(column).coalesce(16).mapInArrow(run, "bits binary").toLocalIterator():
+        out |= np.frombuffer(row["bits"], dtype=np.uint8)
+    return np.unpackbits(out).astype(bool)
+
+
+def _parted_by(table: np.ndarray, hit: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(batch.num_columns - 1)
+            falls = table[slot(ids.fill_null(0).to_numpy(zero_copy_only=False), len(table))] & ids.is_valid().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(falls == hit)).select(batch.schema.names[:-1])
+
+    return run
+
+
+def without(docs: DataFrame, id_col: str, marked: DataFrame) -> DataFrame:
+    """docs without the rows that `marked` (marked_id, goes) says go; of the other marked ids one row stays.
+
+    Only rows whose id falls on a marked one's slot are shuffled; all others
+    pass straight on.  Rows without an id pass.
+    """
+    marked = saved(marked.groupBy("marked_id").agg(F.max("goes").alias("goes")))
+    table = maybe(marked, "marked_id")
+    keyed = docs.withColumn("__id", F.col(id_col).cast("long"))
+    straight = keyed.mapInArrow(_parted_by(table, False), docs.schema)
+    falls = keyed.mapInArrow(_parted_by(table, True), docs.schema)
+    falls = falls.join(marked, falls[id_col].cast("long") == marked["marked_id"], "left").where(~F.coalesce("goes", F.lit(False)))
+    alone = falls.where("marked_id is null").select(*docs.columns)
+    once = falls.where("marked_id is not null").dropDuplicates(["marked_id"]).select(*docs.columns)
+    return straight.unionByName(alone).unionByName(once)
+
+
+def plain_names(docs: DataFrame, *used: str) -> tuple[list[Column], list[str]]:
+    """The columns that an operator carries along, under names that cannot clash, and their own names."""
+    rest = [c for c in docs.columns if c not in used]
+    return [F.col(f"`{c}`").alias(f"__{k}") for k, c in enumerate(rest)], rest

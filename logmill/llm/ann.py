@@ -228,7 +228,7 @@ def _nearest(k: int):
                     out["query"] += [int(queries["query"].iloc[first + n])] * len(by)
                     out["far"] += far[by].tolist()
                     out["ids"] += [list(ids[j]) for j in at[by]]
-        return pd.DataFrame(out)
+        return pd.DataFrame({"query": pd.array(out["query"], dtype="int64"), "far": pd.array(out["far"], dtype="float64"), "ids": pd.Series(out["ids"], dtype="object")})
 
     return run
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .parse import APACHE
 
@@ -23,9 +24,19 @@ def format_of(line: Column, lenient: bool = False) -> Column:
 
 
 def source_formats(lines: DataFrame, lenient: bool = False) -> DataFrame:
-    """(source, format): that of the first line, in the order of pos, of each source."""
-    first = lines.groupBy("source").agg(F.min_by("value", "pos").alias("value"))
-    return first.select("source", format_of(F.col("value"), lenient).alias("format"))
+    """(source, format): that of the first line, in the order of pos, of each source.
+
+    pos is a number, or a struct of a split's begin and a number inside it.  The
+    format's number stands in the low bits of the line's, so that the first line
+    of each split is found by hash aggregation of a long, without a sort.
+    """
+    split = isinstance(lines.schema["pos"].dataType, T.StructType)
+    block, seq = (F.col("pos.block_start"), F.col("pos.seq")) if split else (F.lit(0).cast("long"), F.col("pos"))
+    form = format_of(F.col("value"), lenient)
+    code = F.array_position(F.array(*map(F.lit, FORMATS)), form) - 1
+    by_block = lines.groupBy("source", block.alias("block")).agg(F.min(seq.cast("long") * 8 + code).alias("first"))
+    first = by_block.groupBy("source").agg(F.min(F.struct("block", "first")).alias("x"))
+    return first.select("source", F.element_at(F.array(*map(F.lit, FORMATS)), (F.pmod(F.col("x.first"), F.lit(8)) + 1).cast("int")).alias("format"))
 
 
 def with_sticky_format(lines: DataFrame, lenient: bool = False) -> DataFrame:

@@ -13,24 +13,29 @@ _FORMATS = {"APACHE": "apache", "JSON": "json", "SYSLOG": "syslog", "NGINX_ERROR
 
 
 def parsed(lines: DataFrame, lenient: bool = False, year: int | None = None, times: bool = True) -> DataFrame:
-    """lines (with format) and a struct for each grammar; only that of the line's format is computed."""
+    """Lines (with format) that parse, and a struct for each grammar; only that of the line's format is computed.
+
+    The structs come out of a generator of one row.  Filters on them do not move
+    below it, so that a line is parsed once however often its fields are used.
+    """
     value = F.col("value")
-    structs = {"apache": parse.apache(value, lenient, times), "json": parse.json(value, times), "syslog": parse.syslog(value, year, times), "nginx": parse.nginx(value, times)}
-    return lines.withColumns({name: F.when(F.col("format") == form, structs[name]) for form, name in _FORMATS.items()})
+    structs = {"apache": parse.apache(value, lenient, times, checked=True), "json": parse.json(value, times), "syslog": parse.syslog(value, year, times), "nginx": parse.nginx(value, times)}
+    made = F.struct(*(F.when(F.col("format") == form, structs[name]).alias(name) for form, name in _FORMATS.items()))
+    rows = lines.where(parse.succeeds(F.col("format"), value, lenient)).select("*", F.explode(F.array(made)).alias("made"))
+    return rows.select(*lines.columns, "made.*")
 
 
 def _chosen(parts: dict[str, Column]) -> Column:
     out = None
     for form, name in _FORMATS.items():
-        hit = (F.col("format") == form) & F.col(name).isNotNull()
+        hit = F.col("format") == form
         out = F.when(hit, parts[name]) if out is None else out.when(hit, parts[name])
     return out
 
 
 def events(rows: DataFrame, description: bool = True) -> DataFrame:
-    """Rows of parsed() that parse, with event_types, severity and, on demand, description."""
+    """Rows of parsed() with event_types, severity and, on demand, description."""
     made = {name: getattr(classify, name)(F.col(name)) for name in _FORMATS.values()}
-    rows = rows.where(_chosen(dict.fromkeys(_FORMATS.values(), F.lit(True))).isNotNull())
     columns = {"event_types": _chosen({k: v.event_types for k, v in made.items()}), "severity": _chosen({k: v.severity for k, v in made.items()})}
     if description:
         columns["description"] = _chosen({k: v.description for k, v in made.items()})
@@ -51,7 +56,7 @@ def normalised(rows: DataFrame, lenient: bool = False, keep: tuple[str, ...] = (
     address = lambda c: c if lenient else X.first_bytes(c, parse.IP_BYTES)
     ip = _chosen({"apache": address(F.col("apache.ip")), "json": address(F.col("json.ip")), "syslog": X.ipv4(F.col("syslog.message")), "nginx": address(F.col("nginx.client_ip"))})
     message = _chosen({"apache": F.col("apache.url"), "json": F.col("json.message"), "syslog": F.col("syslog.message"), "nginx": F.col("nginx.message")})
-    status = F.when((F.col("format") == "APACHE") & F.col("apache").isNotNull(), F.col("apache.status")).otherwise(0)
+    status = F.when(F.col("format") == "APACHE", F.col("apache.status")).otherwise(0)
     return rows.select(*keep, "format", level.alias("level"), status.cast("int").alias("http_status"), ip.alias("ip"), X.first_bytes(message, parse.MESSAGE_BYTES).alias("message"))
 
 

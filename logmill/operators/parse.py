@@ -32,10 +32,16 @@ def _groups(line: Column, pattern: str, n: int) -> Column:
     return F.split(F.regexp_replace(line, whole, _CUT.join(f"${k}" for k in range(1, n + 1))), _CUT, -1)
 
 
-def apache(line: Column, lenient: bool = False, times: bool = True) -> Column:
-    """times=False leaves ts null, for what needs no time."""
+def succeeds(form: Column, line: Column, lenient: bool = False) -> Column:
+    """Whether a line parses by the grammar of its format."""
+    return F.when(form == "APACHE", line.rlike(APACHE_LENIENT if lenient else APACHE)).when(form == "NGINX_ERROR", line.contains("]")).otherwise(form.isin("JSON", "SYSLOG") & line.isNotNull())
+
+
+def apache(line: Column, lenient: bool = False, times: bool = True, checked: bool = False) -> Column:
+    """times=False leaves ts null, for what needs no time; checked is for lines that are known to parse."""
     pattern, n = (APACHE_LENIENT, 9) if lenient else (APACHE, 7)
-    g = F.when(line.rlike(pattern), _groups(line, pattern, n))
+    g = _groups(line, pattern, n)
+    g = g if checked else F.when(line.rlike(pattern), g)
 
     def of(parts: Column) -> Column:
         return F.struct(
@@ -50,7 +56,7 @@ def apache(line: Column, lenient: bool = False, times: bool = True) -> Column:
             (parts[8] if lenient else F.lit("")).alias("user_agent"),
         )
 
-    return F.when(g.isNotNull(), _once(g, of))
+    return _once(g, of) if checked else F.when(g.isNotNull(), _once(g, of))
 
 
 def _time(value: Column, wanted: bool) -> Column:

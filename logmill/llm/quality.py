@@ -146,7 +146,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 0) -> QualityModel:
 def _learned(docs: DataFrame, labels: DataFrame, seed: int) -> QualityModel:
     """From a bounded sample: at most about SAMPLE documents of each class, of each at most CHARS characters from its begin."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~K.held_out(F.col("doc_id"))).select("doc_id", "quality").distinct()
-    rows = docs.join(M.sampled(known, "quality", "doc_id", SAMPLE), "doc_id")
+    rows = docs.join(F.broadcast(M.sampled(known, "quality", "doc_id", SAMPLE)), "doc_id")
     got = rows.select("doc_id", "quality", F.substring("text", 1, CHARS).alias("text")).toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending"), ("text", "ascending")])
     return train(got["text"].to_pylist(), got["quality"].to_numpy(), seed)
 

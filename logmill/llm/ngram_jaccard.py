@@ -30,6 +30,8 @@ WORD_BUCKETS = 1 << 17
 FREQUENT = 1 << 18
 #: Members of a prefix token up to which all pairs are candidates at once.
 SMALL = 8
+#: Hash slots of a set of which the suffix filter keeps whether their counts are odd.
+PARITIES = 1024
 _FLUSH = 4_000_000
 
 
@@ -132,12 +134,12 @@ def _sign_pass(size: int, percent: int, order):
                 value, owner, sizes = _ordered_sets(part.column(1), size, order)
                 keep = np.where(sizes > 0, sizes - (percent * sizes + 99) // 100 + 1, 0)
                 place = np.arange(len(value)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                odd = np.bincount(owner * 256 + (value >> np.uint64(56)).astype(np.int64), minlength=len(sizes) * 256) & 1
-                odd = np.packbits(odd.astype(np.uint8).reshape(len(sizes), 256), axis=1).view(np.int64)
+                odd = np.bincount(owner * PARITIES + (value >> np.uint64(64 - PARITIES.bit_length() + 1)).astype(np.int64), minlength=len(sizes) * PARITIES) & 1
+                odd = np.packbits(odd.astype(np.uint8).reshape(len(sizes), PARITIES), axis=1).view(np.int64)
                 first = value[place < keep[owner]].view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(_digests(value, sizes), pa.binary()), pa.array(sizes), *(pa.array(odd[:, k].copy()) for k in range(4)), K.lists(pa.array(first), keep)],
-                    ["doc_id", "digest", "n", "odd0", "odd1", "odd2", "odd3", "prefix"],
+                    [part.column(0), pa.array(_digests(value, sizes), pa.binary()), pa.array(sizes), K.lists(pa.array(odd.ravel()), np.full(len(sizes), PARITIES // 64)), K.lists(pa.array(first), keep)],
+                    ["doc_id", "digest", "n", "odd", "prefix"],
                 )
 
     return run
@@ -201,19 +203,20 @@ class _Join:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the distinct pairs (a, b) that link."""
-        side = self.classes.select("cid", "doc_id", "digest", "n", *(f"odd{k}" for k in range(4)))
+        side = self.classes.select("cid", "doc_id", "digest", "n", "odd")
         for end in "ab":
             pairs = pairs.join(side.select(*(F.col(c).alias(end if c == "cid" else f"{c}_{end}") for c in side.columns)), end)
-        apart = sum((F.bit_count(F.col(f"odd{k}_a").bitwiseXOR(F.col(f"odd{k}_b"))) for k in range(4)), F.lit(0))
+        # suffix filter: hash slots with an odd count in one set and an even one in the other hold a shingle that only one has
+        apart = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n)
         most = F.col("n_a") + F.col("n_b") - 2 * _least_overlap(F.col("n_a"), F.col("n_b"), self.percent)
         pairs = self.keep(pairs.where(apart <= most).select("a", "b", "n_a", "n_b", "digest_a", "digest_b", "doc_id_a", "doc_id_b"))
-        ends = [pairs.select(F.col(e).alias("cid"), F.col(f"doc_id_{e}").alias("doc_id"), F.col(f"digest_{e}").alias("digest")) for e in "ab"]
-        wanted = self.keep(ends[0].unionByName(ends[1]).distinct())
-        table = K.maybe(wanted, "doc_id")
-        sets = self.docs.where("doc_id is not null").mapInArrow(_set_pass(self.size, self.order, table), "digest binary, members array<long>")
-        sets = self.keep(sets.join(wanted.select("cid", "digest"), "digest").select("cid", "members"))
-        found = pairs.select("a", "b", "n_a", "n_b").join(sets.select(F.col("cid").alias("b"), F.col("members").alias("members_b")), "b")
-        found = found.join(sets.select(F.col("cid").alias("a"), F.col("members").alias("members_a")), "a")
+        ends = [pairs.select(F.col(f"doc_id_{e}").alias("doc_id")) for e in "ab"]
+        table = K.maybe(ends[0].unionByName(ends[1]).distinct(), "doc_id")
+        # whole sets are read again from the texts, for the documents of some pair only and without a shuffle
+        sets = self.keep(self.docs.where("doc_id is not null").mapInArrow(_set_pass(self.size, self.order, table), "digest binary, members array<long>"))
+        found = pairs.select("a", "b", "n_a", "n_b", "digest_a", "digest_b")
+        for end in "ba":
+            found = found.join(sets.select(F.col("digest").alias(f"digest_{end}"), F.col("members").alias(f"members_{end}")), f"digest_{end}").drop(f"digest_{end}")
         common = F.size(F.array_intersect("members_a", "members_b"))
         return found.where(common * 100 >= (F.col("n_a") + F.col("n_b") - common) * self.percent).select("a", "b").distinct()
 
@@ -232,8 +235,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     order = rarity(docs, "text", size)
-    signed = K.saved(docs.mapInArrow(_sign_pass(size, percent, order), "doc_id long, digest binary, n long, odd0 long, odd1 long, odd2 long, odd3 long, prefix array<long>"))
-    classes = signed.where("doc_id is not null and n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "odd0", "odd1", "odd2", "odd3", "prefix")))
+    signed = K.saved(docs.mapInArrow(_sign_pass(size, percent, order), "doc_id long, digest binary, n long, odd array<long>, prefix array<long>"))
+    classes = signed.where("doc_id is not null and n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "odd", "prefix")))
     classes = K.saved(classes.select(F.monotonically_increasing_id().alias("cid"), "*"))
     job = _Join(docs, size, percent, order, classes)
 

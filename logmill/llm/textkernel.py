@@ -180,7 +180,7 @@ def slot(ids: np.ndarray, n: int) -> np.ndarray:
 
 def maybe(ids: DataFrame, column: str) -> np.ndarray:
     """Booleans, true where an id falls: a one-hash Bloom filter of at most 2**26 slots, whatever the number of ids."""
-    slots = 1 << max(16, min(26, (ids.count() * 16).bit_length()))
+    slots = 1 << max(16, min(26, (ids.count() * 64).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(slots, dtype=bool)

@@ -7,15 +7,19 @@ earlier try left, so that totals count every file once.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from ..operators import metrics
 from ..operators.entries import entries
 from ..sources.files import NAMES, located
 
+log = logging.getLogger(__name__)
 _TEXT = T.StructType([T.StructField("value", T.StringType())])
 
 
@@ -50,3 +54,20 @@ def run(spark: SparkSession, path: str, state: str, mode: str = "full", lenient:
     """COUNTERS of all files that are there, read as a stream."""
     start(spark, path, state, mode, lenient, files_per_batch).awaitTermination()
     return totals(spark, state)
+
+
+class ProgressLog(StreamingQueryListener):
+    """Logs each batch's number, lines and rate; add it with spark.streams.addListener(ProgressLog())."""
+
+    def onQueryStarted(self, event) -> None:
+        log.info("stream %s started", event.id)
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        log.info("batch %s: %s lines, %.0f a second", p.batchId, p.numInputRows, p.processedRowsPerSecond or 0)
+
+    def onQueryIdle(self, event) -> None:
+        log.debug("stream %s waits for files", event.id)
+
+    def onQueryTerminated(self, event) -> None:
+        log.info("stream %s ended", event.id)

@@ -151,7 +151,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 0) -> ToxicityModel:
 def _learned(docs: DataFrame, labels: DataFrame, seed: int) -> ToxicityModel:
     """From a bounded sample: at most about SAMPLE documents of each class, none of over CHARS characters."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~K.held_out(F.col("doc_id"))).select("doc_id", "toxic").distinct()
-    rows = docs.join(M.sampled(known, "toxic", "doc_id", SAMPLE), "doc_id").where(F.length("text").between(1, CHARS))
+    rows = docs.join(F.broadcast(M.sampled(known, "toxic", "doc_id", SAMPLE)), "doc_id").where(F.length("text").between(1, CHARS))
     got = rows.select("doc_id", "toxic", "text").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending"), ("text", "ascending")])
     return train(got["text"].to_pylist(), got["toxic"].to_numpy(), seed)
 

@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 from .parse import APACHE
 
+#: Sources whose formats are broadcast if there are known to be no more: some 100 bytes each.
+MOST_BROADCAST = 1_000_000
 FORMATS = ["UNKNOWN", "APACHE", "JSON", "SYSLOG", "NGINX_ERROR"]
 
 
@@ -39,9 +41,16 @@ def source_formats(lines: DataFrame, lenient: bool = False) -> DataFrame:
     return first.select("source", F.element_at(F.array(*map(F.lit, FORMATS)), (F.pmod(F.col("x.first"), F.lit(8)) + 1).cast("int")).alias("format"))
 
 
-def with_sticky_format(lines: DataFrame, lenient: bool = False) -> DataFrame:
-    """lines with the format of their source.  One row per source joins: Spark broadcasts these rows while they are few."""
-    return lines.join(source_formats(lines, lenient), "source")
+def with_sticky_format(lines: DataFrame, lenient: bool = False, sources: int | None = None) -> DataFrame:
+    """lines with the format of their source.
+
+    One row per source joins.  Where the caller knows that there are at most
+    `sources` of them, and that is within MOST_BROADCAST, these rows are broadcast;
+    otherwise Spark chooses by their size.
+    """
+    formats = source_formats(lines, lenient)
+    few = sources is not None and sources <= MOST_BROADCAST
+    return lines.join(F.broadcast(formats) if few else formats, "source")
 
 
 def with_line_format(lines: DataFrame, lenient: bool = True) -> DataFrame:

@@ -60,13 +60,14 @@ def normalised(rows: DataFrame, lenient: bool = False, keep: tuple[str, ...] = (
     return rows.select(*keep, "format", level.alias("level"), status.cast("int").alias("http_status"), ip.alias("ip"), X.first_bytes(message, parse.MESSAGE_BYTES).alias("message"))
 
 
-def entries(lines: DataFrame, mode: str = "full", lenient: bool = False, year: int | None = None, keep: tuple[str, ...] = ("source",)) -> DataFrame:
+def entries(lines: DataFrame, mode: str = "full", lenient: bool = False, year: int | None = None, keep: tuple[str, ...] = ("source",), sources: int | None = None) -> DataFrame:
     """Normalised entries of lines (source, pos, value) in a mode.
 
     Strict: a source has the format of its first line.  Lenient: each line has
     its own, users and agents of apache lines are read, and addresses are whole.
+    sources: the most sources that there can be, if known.
     """
-    formatted = with_line_format(lines) if lenient else with_sticky_format(lines)
+    formatted = with_line_format(lines) if lenient else with_sticky_format(lines, sources=sources)
     rows = events(parsed(formatted, lenient, year, times=False), description=False)
     return normalised(in_mode(rows, mode), lenient, keep)
 

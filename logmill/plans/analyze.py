@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import mode_bits
 from ..operators import metrics
 from ..operators.entries import entries
-from ..sources.files import NoLogs, line_counts, read_logs
+from ..sources.files import NoLogs, line_counts, log_files, read_logs
 from . import report
 
 log = logging.getLogger(__name__)
@@ -34,9 +34,9 @@ class Result:
         return report.text(layout, self.mode, values, ips[0][0] if ips else metrics.NO_IP, ips)
 
 
-def analyze_lines(lines: DataFrame, mode: str = "full", strict: bool = True, year: int | None = None) -> Result:
+def analyze_lines(lines: DataFrame, mode: str = "full", strict: bool = True, year: int | None = None, sources: int | None = None) -> Result:
     mode_bits(mode)
-    found = entries(lines, mode, not strict, year)
+    found = entries(lines, mode, not strict, year, sources=sources)
     return Result(mode.lower(), found, metrics.summary(found), metrics.top_ips(found))
 
 
@@ -46,7 +46,7 @@ def analyze(spark: SparkSession, path: str, mode: str = "full", strict: bool = T
         raise ValueError("partitions must be at least 1")
     mode_bits(mode)
     log.info("reading %s in mode %s", path, mode)
-    return analyze_lines(read_logs(spark, path, partitions), mode, strict, year)
+    return analyze_lines(read_logs(spark, path, partitions), mode, strict, year, len(log_files(spark, path)))
 
 
 def progress(spark: SparkSession, path: str, mode: str = "full") -> DataFrame:

@@ -32,7 +32,7 @@ def start(spark: SparkSession, path: str, state: str, mode: str = "full", lenien
     """Counts arriving files into `state`; ends when all files there are read, or goes on with new ones."""
 
     def batch(lines: DataFrame, number: int) -> None:
-        found = entries(located(lines), mode, lenient, keep=())
+        found = entries(located(lines), mode, lenient, keep=(), sources=files_per_batch)
         # counters of each address: both the totals and the address counts add up from these
         found.groupBy("ip").agg(*metrics._counters()).write.mode("overwrite").parquet(f"{state}/counts/batch={number}")
 

@@ -6,9 +6,8 @@ a boundary also into others about as near, unless a centroid that already has it
 lies between.  Centroids are searched through a neighbour graph in memory.  A
 query opens the lists whose centroids are nearly as near as the nearest; how
 nearly is learned from the sample's own neighbours, so that the recall holds
-whether the vectors are clustered or not.  Lists
-are cut into blocks, so that no task holds a whole large list, and each block is
-searched exactly, in double precision.
+whether the vectors are clustered or not.  Small lists that lie side by side are
+searched together, large ones in blocks, exactly and in double precision.
 
 Equal vectors are one entry with its smallest ids, as many as a result can hold;
 so copies in any number neither fill a list nor hide other neighbours.
@@ -190,6 +189,17 @@ def probes(graph: CentroidGraph, sizes: np.ndarray, ratio: float, most: int, x:
     return rows, near[rows, column]
 
 
+def bundled(sizes: np.ndarray) -> np.ndarray:
+    """The bundle of each list: neighbours in the order of clustering, about BLOCK entries together."""
+    out, bundle, held = np.zeros(len(sizes), dtype=np.int64), 0, 0
+    for k, n in enumerate(sizes.tolist()):
+        if held and held + n > BLOCK:
+            bundle, held = bundle + 1, 0
+        out[k] = bundle
+        held += n
+    return out
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -276,16 +286,18 @@ def search(vectors: DataFrame, is_query: Column | None = None, id_col: str = "ve
     sizes = np.zeros(len(graph.points), dtype=np.int64)
     for r in posted.groupBy("list").agg(F.count("*").alias("n")).collect():
         sizes[r["list"]] = r["n"]
-    opened = K.saved(asked.mapInArrow(_listed(probes, graph, sizes, ratio, most), "list int, query long, vector array<double>"))
-    loads = np.zeros(len(sizes), dtype=np.int64)
-    for r in opened.groupBy("list").agg(F.count("*").alias("n")).collect():
-        loads[r["list"]] = r["n"]
-    # each block of a list's entries meets each block of its queries
-    plan = spark.createDataFrame([(i, max(1, -(-int(a) // BLOCK)), max(1, -(-int(b) // BLOCK))) for i, (a, b) in enumerate(zip(sizes, loads))], "list int, parts int, turns int")
-    left = opened.join(F.broadcast(plan), "list").withColumn("turn", F.pmod(F.xxhash64("query"), F.col("turns")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    right = posted.join(F.broadcast(plan), "list").where(F.col("list").isin([int(i) for i in np.flatnonzero(loads)]) if len(loads) <= 1000 else F.lit(True))
-    right = right.withColumn("part", F.pmod(F.xxhash64("entry"), F.col("parts")).cast("int")).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
-    by = ["list", "part", "turn"]
+    # neighbouring lists make a bundle of about a block of entries, so that a query gives one short result for each bundle
+    bundles = bundled(sizes)
+    plan = F.broadcast(spark.createDataFrame([(k, int(g), max(1, -(-int(sizes[bundles == g].sum()) // BLOCK))) for k, g in enumerate(bundles)], "list int, bundle int, parts int"))
+    opened = asked.mapInArrow(_listed(probes, graph, sizes, ratio, most), "list int, query long, vector array<double>").join(plan, "list")
+    opened = K.saved(opened.dropDuplicates(["bundle", "query"]).select("bundle", "parts", "query", "vector"))
+    loads = {r["bundle"]: r["n"] for r in opened.groupBy("bundle").agg(F.count("*").alias("n")).collect()}
+    # each part of a bundle's entries meets each turn of its queries
+    turns = F.broadcast(spark.createDataFrame([(g, max(1, -(-n // BLOCK))) for g, n in sorted(loads.items())], "bundle int, turns int"))
+    left = opened.join(turns, "bundle").withColumn("turn", F.pmod(F.xxhash64("query"), F.col("turns")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    right = posted.join(plan, "list").join(turns, "bundle").withColumn("part", F.pmod(F.xxhash64("entry"), F.col("parts")).cast("int")).dropDuplicates(["bundle", "entry"])
+    right = right.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
+    by = ["bundle", "part", "turn"]
     found = left.select(*by, "query", "vector").groupBy(*by).cogroup(right.select(*by, "vector", "ids").groupBy(*by)).applyInPandas(_nearest(keep), "query long, far double, ids array<long>")
     found = found.select("query", "far", F.explode("ids").alias("vec_id")).groupBy("query", "vec_id").agg(F.min("far").alias("far"))
     best = found.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("far", "vec_id"))).where(F.col("n") <= keep)

@@ -159,6 +159,23 @@ def _set_pass(size: int, order, wanted: np.ndarray):
     return run
 
 
+def _post_pass(table: np.ndarray):
+    """Places of prefix tokens that fall on the table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = batch.column(2)
+            sizes = tokens.value_lengths().to_numpy(zero_copy_only=False)
+            values = tokens.flatten().to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            place = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            keep = np.flatnonzero(table[K.slot(values, len(table))])
+            at = pa.array(owner[keep])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(place[keep].astype(np.int32)), pa.array(values[keep])], ["cid", "n", "place", "token"])
+
+    return run
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, root) of every end of `links` (a, b): root is the smallest id that links reach.
 
@@ -203,7 +220,8 @@ class _Join:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the distinct pairs (a, b) that link."""
-        side = self.classes.select("cid", "doc_id", "digest", "n", "odd")
+        some = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+        side = self.keep(K.falling(self.classes.select("cid", "doc_id", "digest", "n", "odd"), "cid", K.maybe(some, "cid")))
         for end in "ab":
             pairs = pairs.join(side.select(*(F.col(c).alias(end if c == "cid" else f"{c}_{end}") for c in side.columns)), end)
         # suffix filter: hash slots with an odd count in one set and an even one in the other hold a shingle that only one has
@@ -240,8 +258,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = K.saved(classes.select(F.monotonically_increasing_id().alias("cid"), "*"))
     job = _Join(docs, size, percent, order, classes)
 
-    posted = classes.select("cid", "n", F.posexplode("prefix").alias("place", "token"))
-    shared = posted.groupBy("token").agg(F.count("*").alias("members")).where("members > 1")
+    shared = job.keep(classes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("members")).where("members > 1"))
+    # most tokens are one document's only: those that are not, and a few more, are joined
+    posted = classes.select("cid", "n", "prefix").mapInArrow(_post_pass(K.maybe(shared, "token")), "cid long, n long, place int, token long")
     posted = job.keep(posted.join(shared, "token"))
     few = posted.where(F.col("members") <= SMALL).groupBy("token").agg(F.collect_list(F.struct("cid", "n", "place")).alias("xs"))
     few = few.select(F.explode(F.flatten(F.transform("xs", lambda x, i: F.transform(F.filter("xs", lambda y: (y["cid"] > x["cid"]) & _may_link(x["n"], x["place"], y["n"], y["place"], percent)), lambda y: F.struct(x["cid"].alias("a"), y["cid"].alias("b"))))))).select("col.*")

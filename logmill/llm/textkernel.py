@@ -195,14 +195,16 @@ def maybe(ids: DataFrame, column: str) -> np.ndarray:
     return np.unpackbits(out).astype(bool)
 
 
-def _parted_by(table: np.ndarray, hit: bool):
+def falling(df: DataFrame, id_col: str, table: np.ndarray, hit: bool = True) -> DataFrame:
+    """Rows whose id falls on a slot of the table, or with hit=False those whose does not, null ids among them; nothing is shuffled."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(batch.num_columns - 1)
             falls = table[slot(ids.fill_null(0).to_numpy(zero_copy_only=False), len(table))] & ids.is_valid().to_numpy(zero_copy_only=False)
             yield batch.filter(pa.array(falls == hit)).select(batch.schema.names[:-1])
 
-    return run
+    return df.withColumn("__id", F.col(id_col).cast("long")).mapInArrow(run, df.schema)
 
 
 def without(docs: DataFrame, id_col: str, marked: DataFrame) -> DataFrame:
@@ -213,9 +215,8 @@ def without(docs: DataFrame, id_col: str, marked: DataFrame) -> DataFrame:
     """
     marked = saved(marked.groupBy("marked_id").agg(F.max("goes").alias("goes")))
     table = maybe(marked, "marked_id")
-    keyed = docs.withColumn("__id", F.col(id_col).cast("long"))
-    straight = keyed.mapInArrow(_parted_by(table, False), docs.schema)
-    falls = keyed.mapInArrow(_parted_by(table, True), docs.schema)
+    straight = falling(docs, id_col, table, hit=False)
+    falls = falling(docs, id_col, table)
     falls = falls.join(marked, falls[id_col].cast("long") == marked["marked_id"], "left").where(~F.coalesce("goes", F.lit(False)))
     alone = falls.where("marked_id is null").select(*docs.columns)
     once = falls.where("marked_id is not null").dropDuplicates(["marked_id"]).select(*docs.columns)

@@ -4,6 +4,8 @@ Shingles of a document are put in one order that all documents share, rarest
 first.  Two sets that are similar enough share a shingle among the first few of
 each, so only those prefixes are joined; length, positional and suffix filters
 thin the candidates, and each remaining pair is verified once on whole sets.
+The suffix filter bounds the distance of two sets from below by a bitmap of hash
+slots, 1.5 or more for each shingle, that tells which hold an odd number of them.
 Any shared order gives the same links, so rarity may be estimated: frequent
 shingles by counts merged from all documents, the others by their rarest word.
 
@@ -30,8 +32,6 @@ WORD_BUCKETS = 1 << 17
 FREQUENT = 1 << 18
 #: Members of a prefix token up to which all pairs are candidates at once.
 SMALL = 8
-#: Hash slots of a set of which the suffix filter keeps whether their counts are odd.
-PARITIES = 1024
 _FLUSH = 4_000_000
 
 
@@ -134,11 +134,13 @@ def _sign_pass(size: int, percent: int, order):
                 value, owner, sizes = _ordered_sets(part.column(1), size, order)
                 keep = np.where(sizes > 0, sizes - (percent * sizes + 99) // 100 + 1, 0)
                 place = np.arange(len(value)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                odd = np.bincount(owner * PARITIES + (value >> np.uint64(64 - PARITIES.bit_length() + 1)).astype(np.int64), minlength=len(sizes) * PARITIES) & 1
-                odd = np.packbits(odd.astype(np.uint8).reshape(len(sizes), PARITIES), axis=1).view(np.int64)
+                slots = 1 << np.maximum(6, np.ceil(np.log2(np.maximum(sizes, 1) * 1.5)).astype(np.int64))
+                base = np.cumsum(slots) - slots
+                odd = np.bincount(base[owner] + ((value >> np.uint64(20)).astype(np.int64) & (slots[owner] - 1)), minlength=int(slots.sum())) & 1
+                odd = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
                 first = value[place < keep[owner]].view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(_digests(value, sizes), pa.binary()), pa.array(sizes), K.lists(pa.array(odd.ravel()), np.full(len(sizes), PARITIES // 64)), K.lists(pa.array(first), keep)],
+                    [part.column(0), pa.array(_digests(value, sizes), pa.binary()), pa.array(sizes), K.lists(pa.array(odd), slots // 64), K.lists(pa.array(first), keep)],
                     ["doc_id", "digest", "n", "odd", "prefix"],
                 )
 
@@ -209,6 +211,13 @@ def _may_link(na: Column, pa_: Column, nb: Column, pb: Column, percent: int) ->
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (F.least(na - pa_, nb - pb) >= _least_overlap(na, nb, percent))
 
 
+def _folded(own: str, other: str) -> Column:
+    """Odd slots of a set in as many as the other's: the halves of twice as many are added."""
+    m = F.size(other)
+    halves = F.zip_with(F.slice(own, 1, m), F.slice(own, m + 1, m), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(own) > m, halves).otherwise(F.col(own))
+
+
 class _Join:
     def __init__(self, docs: DataFrame, size: int, percent: int, order, classes: DataFrame) -> None:
         self.docs, self.size, self.percent, self.order, self.classes = docs, size, percent, order, classes
@@ -225,9 +234,11 @@ class _Join:
         for end in "ab":
             pairs = pairs.join(side.select(*(F.col(c).alias(end if c == "cid" else f"{c}_{end}") for c in side.columns)), end)
         # suffix filter: hash slots with an odd count in one set and an even one in the other hold a shingle that only one has
-        apart = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n)
+        apart = F.aggregate(F.zip_with(_folded("odd_a", "odd_b"), _folded("odd_b", "odd_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n)
         most = F.col("n_a") + F.col("n_b") - 2 * _least_overlap(F.col("n_a"), F.col("n_b"), self.percent)
         pairs = self.keep(pairs.where(apart <= most).select("a", "b", "n_a", "n_b", "digest_a", "digest_b", "doc_id_a", "doc_id_b"))
+        if pairs.isEmpty():
+            return pairs.select("a", "b")
         ends = [pairs.select(F.col(f"doc_id_{e}").alias("doc_id")) for e in "ab"]
         table = K.maybe(ends[0].unionByName(ends[1]).distinct(), "doc_id")
         # whole sets are read again from the texts, for the documents of some pair only and without a shuffle

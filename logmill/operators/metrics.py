@@ -13,7 +13,8 @@ COUNTERS = ["total_lines", *(f"count_{x.lower()}" for x in LEVELS), "count_4xx",
 NO_IP = "-"
 
 
-def _counters() -> list[Column]:
+def counters() -> list[Column]:
+    """Aggregates of COUNTERS over entries."""
     level, status = F.col("level"), F.col("http_status")
     out = [F.count("*").alias("total_lines"), *(F.count_if(level == x).alias(f"count_{x.lower()}") for x in LEVELS)]
     return [*out, F.count_if((status >= 400) & (status < 500)).alias("count_4xx"), F.count_if(status >= 500).alias("count_5xx")]
@@ -21,12 +22,12 @@ def _counters() -> list[Column]:
 
 def summary(entries: DataFrame) -> DataFrame:
     """One row of COUNTERS; zeros for no entries.  5xx has no upper bound."""
-    return entries.agg(*_counters())
+    return entries.agg(*counters())
 
 
 def partial_summary(entries: DataFrame, *keys: str) -> DataFrame:
     """COUNTERS of each group, as merged() takes them."""
-    return entries.groupBy(*keys).agg(*_counters())
+    return entries.groupBy(*keys).agg(*counters())
 
 
 def merged(parts: DataFrame) -> DataFrame:
@@ -52,7 +53,7 @@ def top_ip(entries: DataFrame) -> DataFrame:
 
 def summary_and_ips(entries: DataFrame) -> DataFrame:
     """COUNTERS and the hits of each address from one scan: the row with a null ip has the counters of all entries, and no hits."""
-    by_ip = entries.groupBy("ip").agg(*_counters())
+    by_ip = entries.groupBy("ip").agg(*counters())
     total = F.grouping_id()
     both = by_ip.rollup("ip").agg(*(F.sum(c).alias(c) for c in COUNTERS), total.alias("all_ips"))
     return both.where((F.col("all_ips") == 1) | (F.col("ip") != "")).withColumn("hits", F.when(F.col("all_ips") == 0, F.col("total_lines")).otherwise(0)).drop("all_ips")

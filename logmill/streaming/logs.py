@@ -34,7 +34,7 @@ def start(spark: SparkSession, path: str, state: str, mode: str = "full", lenien
     def batch(lines: DataFrame, number: int) -> None:
         found = entries(located(lines), mode, lenient, keep=(), sources=files_per_batch)
         # counters of each address: both the totals and the address counts add up from these
-        found.groupBy("ip").agg(*metrics._counters()).write.mode("overwrite").parquet(f"{state}/counts/batch={number}")
+        found.groupBy("ip").agg(*metrics.counters()).write.mode("overwrite").parquet(f"{state}/counts/batch={number}")
 
     writer = stream_lines(spark, path, files_per_batch).writeStream.foreachBatch(batch).option("checkpointLocation", f"{state}/checkpoint")
     return (writer if continuous else writer.trigger(availableNow=True)).start()

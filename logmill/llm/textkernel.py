@@ -154,7 +154,9 @@ def saved(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = _OWN.setdefault("folder", tempfile.mkdtemp(prefix="tables-"))
+        if "folder" not in _OWN:
+            _OWN["folder"] = tempfile.mkdtemp(prefix="tables-")
+        folder = _OWN["folder"]
     path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -227,7 +227,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     if model is None:
         model = _learned(docs.select(*columns, F.col(lang_col).cast("string").alias("lang")), seed)
     kinds = "doc_id long, lang_pred string, score double, n_words long" + ", runs array<struct<begin: long, end: long, lang: string>>" * runs
-    out = docs.select(*columns).mapInArrow(_predict_pass(model, runs), kinds)
+    out = K.bounded(docs).select(*columns).mapInArrow(_predict_pass(model, runs), kinds)
     return out.select("doc_id", K.held_out(F.col("doc_id")).alias("held_out"), *out.columns[1:])
 
 
@@ -237,7 +237,7 @@ def in_a_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     model = _learned(docs.select(*columns, F.col(lang_col).cast("string").alias("lang")), seed)
     carried, names = K.plain_names(docs)
     kinds = "doc_id long, lang_pred string, score double, n_words long, " + ", ".join(f"__{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(names))
-    out = docs.select(*columns, *carried).mapInArrow(_predict_pass(model, False), kinds).where(F.col("lang_pred") != NO_LANGUAGE)
+    out = K.bounded(docs).select(*columns, *carried).mapInArrow(_predict_pass(model, False), kinds).where(F.col("lang_pred") != NO_LANGUAGE)
     own = {c: F.col(f"__{k}") for k, c in enumerate(names)}
     own[lang_col] = F.coalesce(own[lang_col], F.col("lang_pred").cast(docs.schema[lang_col].dataType))
     return out.select(*(own[c].alias(c) for c in docs.columns))

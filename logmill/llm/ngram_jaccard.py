@@ -153,7 +153,7 @@ def _set_pass(size: int, order, wanted: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array(wanted[K.slot(ids, len(wanted))]))
+            batch = batch.filter(pa.array(K.falls_on(wanted, ids)))
             for part in K.slices(batch, 1):
                 value, _, sizes = _ordered_sets(part.column(1), size, order)
                 yield pa.RecordBatch.from_arrays([pa.array(_digests(value, sizes), pa.binary()), K.lists(pa.array(value.view(np.int64)), sizes)], ["digest", "members"])
@@ -161,8 +161,8 @@ def _set_pass(size: int, order, wanted: np.ndarray):
     return run
 
 
-def _post_pass(table: np.ndarray):
-    """Places of prefix tokens that fall on the table."""
+def _post_pass(bits: np.ndarray):
+    """Places of prefix tokens that fall on a set bit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,7 +171,7 @@ def _post_pass(table: np.ndarray):
             values = tokens.flatten().to_numpy(zero_copy_only=False)
             owner = np.repeat(np.arange(len(sizes)), sizes)
             place = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            keep = np.flatnonzero(table[K.slot(values, len(table))])
+            keep = np.flatnonzero(K.falls_on(bits, values))
             at = pa.array(owner[keep])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(place[keep].astype(np.int32)), pa.array(values[keep])], ["cid", "n", "place", "token"])
 
@@ -262,7 +262,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gives a row without a component.  Other columns are not read.  Sets compare
     by 64-bit hashes of their shingles.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = K.bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     order = rarity(docs, "text", size)
     signed = K.saved(docs.mapInArrow(_sign_pass(size, percent, order), "doc_id long, digest binary, n long, odd array<long>, prefix array<long>"))
     classes = signed.where("doc_id is not null and n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "odd", "prefix")))

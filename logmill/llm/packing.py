@@ -206,7 +206,7 @@ def _pack_pass(path: str, end_id: int, tiers: tuple[int, ...], step_tokens: int)
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "tier", "step_group"])
 
         for batch in batches:
-            for part in K.slices(batch, 1):
+            for part in K.slices(batch, 1, 4_000_000):
                 data, offsets = K.buffers(part.column(1))
                 at = offsets.tolist()
                 raw = data.tobytes()
@@ -236,7 +236,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     tiers = tuple(sorted(tiers))
     if any(t & (t - 1) for t in tiers):
         raise ValueError("tiers are powers of two")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = K.bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return docs.mapInArrow(_pack_pass(vocabulary, end_id, tiers, step_tokens), _SCHEMA)
 
 

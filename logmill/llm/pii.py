@@ -336,7 +336,7 @@ def pseudonymised(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     it is.  Rows without an id and repeated rows are treated alike.  Other columns
     are not read.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = K.bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return docs.mapInArrow(_pass(key), "doc_id long, text string, kinds array<string>")
 
 
@@ -345,7 +345,7 @@ def without_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: s
     columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
     carried, names = K.plain_names(docs, text_col)
     kinds = "doc_id long, text string, kinds array<string>, " + ", ".join(f"__{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(names))
-    out = docs.select(*columns, *carried).mapInArrow(_pass(key), kinds)
+    out = K.bounded(docs).select(*columns, *carried).mapInArrow(_pass(key), kinds)
     own = {c: F.col(f"__{k}") for k, c in enumerate(names)} | {text_col: F.col("text")}
     return out.select(*(own[c].alias(c) for c in docs.columns))
 

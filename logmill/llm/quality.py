@@ -177,7 +177,7 @@ def score_quality(docs: DataFrame, labels: DataFrame | None = None, id_col: str
     1, or 0.5 if there are no labels.  A row without an id is scored and not held
     out; repeated rows each give a row.  Other columns are not read.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = K.bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if model is None:
         model = _learned(docs, labels, seed)
     out = docs.mapInArrow(_score_pass(model), "doc_id long, score double, passages long, most_attention double")

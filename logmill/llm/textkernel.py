@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,6 +19,10 @@ SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
+#: Most bytes of a batch of rows that goes to Python, but for a longer row.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+_LIBC = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
 _OWN: dict[str, str] = {}
 _ODD = 0x9E3779B97F4A7C15
 _SEGMENT = 1 << 18
@@ -58,7 +63,14 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]] if n else raw[:0], at - at[0] if n else np.zeros(1, np.int64)
 
 
-def slices(batch: pa.RecordBatch, text: int, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def _give_back() -> None:
+    """Returns freed memory to the system: workers live on, and each task would otherwise add to what they hold."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def slices(batch: pa.RecordBatch, text: int, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about `most` bytes of text each; a longer text is a part of its own."""
     if not batch.num_rows:
         return
@@ -69,6 +81,7 @@ def slices(batch: pa.RecordBatch, text: int, most: int = 2_000_000) -> Iterator[
         last = max(first + 1, int(np.searchsorted(ends, begun + most, side="right")))
         yield batch.slice(first, last - first)
         first = last
+    _give_back()
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, part: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,6 +157,15 @@ def lists(values: pa.Array, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df; its session sends at most BATCH_BYTES at once to Python from now on, or fewer if it did, so that long texts need little memory there."""
+    spark = df.sparkSession
+    now = spark.conf.get(_BATCH_SETTING, None)
+    if now is None or not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now) <= BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the third of the documents that no model learns from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -181,8 +203,8 @@ def slot(ids: np.ndarray, n: int) -> np.ndarray:
 
 
 def maybe(ids: DataFrame, column: str) -> np.ndarray:
-    """Booleans, true where an id falls: a one-hash Bloom filter of at most 2**26 slots, whatever the number of ids."""
-    slots = 1 << max(16, min(26, (ids.count() * 64).bit_length()))
+    """Bits, set where an id falls: a one-hash Bloom filter of at most 2**25 slots (4 MB), whatever the number of ids."""
+    slots = 1 << max(16, min(25, (ids.count() * 32).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(slots, dtype=bool)
@@ -194,19 +216,25 @@ def maybe(ids: DataFrame, column: str) -> np.ndarray:
     out = np.zeros(slots // 8, dtype=np.uint8)
     for row in ids.select(column).coalesce(16).mapInArrow(run, "bits binary").toLocalIterator():
         out |= np.frombuffer(row["bits"], dtype=np.uint8)
-    return np.unpackbits(out).astype(bool)
+    return out
+
+
+def falls_on(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether each id falls on a set bit."""
+    at = slot(ids, len(bits) * 8)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-def falling(df: DataFrame, id_col: str, table: np.ndarray, hit: bool = True) -> DataFrame:
-    """Rows whose id falls on a slot of the table, or with hit=False those whose does not, null ids among them; nothing is shuffled."""
+def falling(df: DataFrame, id_col: str, bits: np.ndarray, hit: bool = True) -> DataFrame:
+    """Rows whose id falls on a set bit of maybe(), or with hit=False those whose does not, null ids among them; nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(batch.num_columns - 1)
-            falls = table[slot(ids.fill_null(0).to_numpy(zero_copy_only=False), len(table))] & ids.is_valid().to_numpy(zero_copy_only=False)
+            falls = falls_on(bits, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
             yield batch.filter(pa.array(falls == hit)).select(batch.schema.names[:-1])
 
-    return df.withColumn("__id", F.col(id_col).cast("long")).mapInArrow(run, df.schema)
+    return bounded(df).withColumn("__id", F.col(id_col).cast("long")).mapInArrow(run, df.schema)
 
 
 def without(docs: DataFrame, id_col: str, marked: DataFrame) -> DataFrame:
@@ -216,9 +244,9 @@ def without(docs: DataFrame, id_col: str, marked: DataFrame) -> DataFrame:
     pass straight on.  Rows without an id pass.
     """
     marked = saved(marked.groupBy("marked_id").agg(F.max("goes").alias("goes")))
-    table = maybe(marked, "marked_id")
-    straight = falling(docs, id_col, table, hit=False)
-    falls = falling(docs, id_col, table)
+    bits = maybe(marked, "marked_id")
+    straight = falling(docs, id_col, bits, hit=False)
+    falls = falling(docs, id_col, bits)
     falls = falls.join(marked, falls[id_col].cast("long") == marked["marked_id"], "left").where(~F.coalesce("goes", F.lit(False)))
     alone = falls.where("marked_id is null").select(*docs.columns)
     once = falls.where("marked_id is not null").dropDuplicates(["marked_id"]).select(*docs.columns)

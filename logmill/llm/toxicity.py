@@ -185,7 +185,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame | None = None, id_col: str
     rows each give a row.  Of the first of equal windows the place is given.
     Other columns are not read.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = K.bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if model is None:
         model = _learned(docs, labels, seed)
     out = docs.mapInArrow(_score_pass(model), "doc_id long, score double, at_byte long")

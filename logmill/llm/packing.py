@@ -206,7 +206,7 @@ def _pack_pass(path: str, end_id: int, tiers: tuple[int, ...], step_tokens: int)
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "tier", "step_group"])
 
         for batch in batches:
-            for part in K.slices(batch, 1, 4_000_000):
+            for part in K.slices(batch, 1, 2_000_000):
                 data, offsets = K.buffers(part.column(1))
                 at = offsets.tolist()
                 raw = data.tobytes()

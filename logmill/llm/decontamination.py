@@ -1,17 +1,21 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Each test item's n-grams are counted over all documents, and its rarer ones
-become seeds.  Where a document holds seeds of an item, the passage around them
-is aligned with the item word by word (Smith-Waterman with a linear gap), so
-edited or partly rewritten copies score too.  Items are taken in blocks of
-bounded size; for each block every document is read once, and nothing but the
-counts of the block's n-grams is shuffled.
+Words of each test item are counted over all documents, and its rarest ones
+become seeds: so many that an alignment which reaches the threshold must match
+a few of them (pigeonhole), and that close to each other.  Where a document
+holds as many seeds of an item as that, the passage around them is aligned with
+the item word by word (Smith-Waterman with a linear gap).  So the pairs found are
+those of aligning every document with every item, however the copy was edited.
+Items of which fewer than four words reach the threshold must share runs of
+words instead.  Items are taken in blocks of bounded size; for each block every
+document is read once, and nothing but the counts of the block's words is
+shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -27,25 +31,42 @@ THRESHOLD = 0.5
 #: Most items whose seeds are sent to executors at once, and most words of them.
 BLOCK_ITEMS, BLOCK_WORDS = 20_000, 1_000_000
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
+#: Items of which fewer matching words reach the threshold have n-grams as seeds.
+LEAST_WORDS = 4
+#: Seeds of a part of the documents taken at once, and the work of an alignment against that of a seed found.
+HITS, ALIGN_WORK = 1_000_000, 5000.0
 
 
 @dataclass
 class _Seeds:
-    """Items of a block: their words' hashes, and which item and place each n-gram hash has, by hash."""
+    """Hashes in ascending order, and the item of each."""
 
-    ids: list[int]
-    words: list[np.ndarray]
     keys: np.ndarray
     item: np.ndarray
-    place: np.ndarray
 
     def maybe(self) -> np.ndarray:
         table = np.zeros(1 << 22, dtype=bool)
         table[(self.keys >> np.uint64(42)).astype(np.int64)] = True
         return table
 
-    def only(self, keep: np.ndarray) -> _Seeds:
-        return _Seeds(self.ids, self.words, self.keys[keep], self.item[keep], self.place[keep])
+
+@dataclass
+class _Block:
+    """Items of a block: their words' hashes, the score each must reach, and its seeds.
+
+    A document is aligned with an item of `runs` if it holds `need` of its
+    n-grams; with another one if it holds `need` of its rare words or more, and
+    from the first to the last of n of them lie at most `room` + 3 n - 2 words.
+    """
+
+    ids: list[int]
+    words: list[np.ndarray]
+    least: np.ndarray
+    runs: np.ndarray
+    need: np.ndarray
+    room: np.ndarray
+    grams: _Seeds
+    rare: _Seeds
 
 
 def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -57,47 +78,81 @@ def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return hashes, counts, starts, ends, offsets
 
 
-def _block(items: list[Row], size: int) -> _Seeds:
-    hashes, counts, *_ = _hashed(pa.array([r["text"] for r in items], pa.large_string()))
-    keys, item, at = K.shingles(hashes, counts, size)
-    first = np.cumsum(counts) - counts
+def _sorted(keys: np.ndarray, item: np.ndarray) -> _Seeds:
     order = np.argsort(keys, kind="stable")
-    return _Seeds([r["item_id"] for r in items], np.split(hashes, np.cumsum(counts)[:-1]), keys[order], item[order], (at - first[item])[order])
+    return _Seeds(keys[order], item[order])
+
+
+def _block(items: list[Row], size: int, threshold: float) -> _Block:
+    """The items with all their words as seeds, but for those of `runs`, whose seeds are n-grams."""
+    hashes, counts, *_ = _hashed(pa.array([r["text"] for r in items], pa.large_string()))
+    runs = (counts < size) | (threshold * counts < LEAST_WORDS)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    keys, item, _ = K.shingles(hashes, counts, size)
+    grams, rare = _sorted(keys[runs[item]], item[runs[item]]), _sorted(hashes[~runs[owner]], owner[~runs[owner]])
+    need = np.minimum(2, np.maximum(1, counts - size + 1))
+    return _Block([r["item_id"] for r in items], np.split(hashes, np.cumsum(counts)[:-1]), MATCH * threshold * counts, runs, need, np.full(len(counts), np.inf), grams, rare)
 
 
 def _found(keys: np.ndarray, seeds: _Seeds, maybe: np.ndarray) -> np.ndarray:
     """Places of keys that are seeds."""
+    if not len(seeds.keys):
+        return np.zeros(0, np.int64)
     at = np.flatnonzero(maybe[(keys >> np.uint64(42)).astype(np.int64)])
     near = np.searchsorted(seeds.keys, keys[at])
     near[near == len(seeds.keys)] = 0
     return at[seeds.keys[near] == keys[at]]
 
 
-def _count_pass(seeds: _Seeds, size: int):
+def _count_pass(seeds: _Seeds):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maybe = seeds.maybe()
         unique = np.unique(seeds.keys)
         n = np.zeros(len(unique), dtype=np.int64)
+        words = 0
         for batch in batches:
             for part in K.slices(batch, 0):
-                hashes, counts, *_ = _hashed(part.column(0))
-                keys = K.shingles(hashes, counts, size)[0]
-                n += np.bincount(np.searchsorted(unique, keys[_found(keys, seeds, maybe)]), minlength=len(unique))
+                hashes, *_ = _hashed(part.column(0))
+                words += len(hashes)
+                n += np.bincount(np.searchsorted(unique, hashes[_found(hashes, seeds, maybe)]), minlength=len(unique))
         at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(unique[at].view(np.int64)), pa.array(n[at])], ["key", "n"])
+        # the number of all words has no key
+        yield pa.RecordBatch.from_arrays([pa.array([*unique[at].view(np.int64).tolist(), None], pa.int64()), pa.array([*n[at].tolist(), words], pa.int64())], ["key", "n"])
 
     return run
 
 
-def rarer(seeds: _Seeds, counts: dict[int, int]) -> _Seeds:
-    """Of each item the rarer half of its n-grams, eight at least."""
-    n = np.array([counts.get(int(k), 0) for k in seeds.keys.view(np.int64)], dtype=np.int64)
-    keep = np.zeros(len(n), dtype=bool)
-    by = np.lexsort((seeds.keys, n, seeds.item))
-    sizes = np.bincount(seeds.item, minlength=len(seeds.ids))
-    rank = np.arange(len(by)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    keep[by] = rank < np.maximum(8, -(-np.repeat(sizes, sizes) // 2))
-    return seeds.only(keep)
+def rarest(block: _Block, counts: dict[int | None, int]) -> _Block:
+    """The block with only the rarest words of each item as seeds.
+
+    An alignment of P words of a document with M matches scores 3 M - P at most,
+    so it needs M >= `low` to reach the threshold.  If all but c places of the
+    item hold seeds, low - c seeds at least are matched, and M is at most c more
+    than the seeds that lie in the P words.  Of the numbers of seeds for which
+    low - c > 0, that of the least expected work is taken.
+    """
+    total = max(1, counts.get(None, 0))
+    need, room = block.need.copy(), block.room.copy()
+    keys, item = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for i in np.flatnonzero(~block.runs).tolist():
+        words, times = np.unique(block.words[i], return_counts=True)
+        n = np.array([counts.get(k, 0) for k in words.view(np.int64).tolist()], dtype=np.int64)
+        order = np.lexsort((words, n))
+        words, least = words[order], float(block.least[i])
+        others = len(block.words[i]) - np.cumsum(times[order])
+        low = max(1, int(np.ceil(least / MATCH - 1e-9)))
+        must = low - others
+        rate = np.cumsum(n[order]) / total
+        # Chernoff's bound of as many seeds again near a seed
+        near, more = rate * max(1.0, 3 * low - least), np.maximum(must - 1, 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            tail = np.where(more > near, np.exp(np.minimum(0, more - near + more * np.log(near / np.maximum(more, 1)))), 1.0)
+        work = np.where(must > 0, rate * (1 + ALIGN_WORK * tail), np.inf)
+        k = int(work.argmin())
+        need[i], room[i] = must[k], 2 + 3 * others[k] - least + 1e-6
+        keys.append(words[: k + 1])
+        item.append(np.full(k + 1, i))
+    return replace(block, need=need, room=room, rare=_sorted(np.concatenate(keys), np.concatenate(item)))
 
 
 def align(passage: np.ndarray, item: np.ndarray) -> tuple[float, int, int]:
@@ -125,52 +180,82 @@ def align(passage: np.ndarray, item: np.ndarray) -> tuple[float, int, int]:
     return best, *span
 
 
-def _windows(at: np.ndarray, shift: np.ndarray, length: int) -> Iterator[tuple[int, int]]:
-    """Passages of a document that may hold an item: runs of seeds that lie closer than the item is long, widened by what the item has around them."""
-    order = np.argsort(at, kind="stable")
-    at, shift = at[order], shift[order]
-    for group in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > length) + 1):
-        yield int(min(at[group[0]], shift[group].min())) - length // 4, int(max(at[group[-1]], shift[group].max() + length)) + length // 4 + SIZE
-
-
-def _align_pass(seeds: _Seeds, size: int, threshold: float):
+def _hits(keys: np.ndarray, owner: np.ndarray, at: np.ndarray, seeds: _Seeds, maybe: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Document, item and place of each seed that occurs; documents come together, about HITS seeds at once."""
+    hit = _found(keys, seeds, maybe)
+    low, high = np.searchsorted(seeds.keys, keys[hit], "left"), np.searchsorted(seeds.keys, keys[hit], "right")
+    done, ends = np.cumsum(high - low), np.searchsorted(owner[hit], owner[hit], "right")
+    a = 0
+    while a < len(hit):
+        b = int(ends[min(len(hit) - 1, np.searchsorted(done, (done[a - 1] if a else 0) + HITS))])
+        n = (high - low)[a:b]
+        place = np.repeat(hit[a:b], n)
+        seed = np.repeat(low[a:b] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        yield owner[place], seeds.item[seed], at[place]
+        a = b
+
+
+def _near(doc: np.ndarray, item: np.ndarray, at: np.ndarray, block: _Block) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """Pairs of document and item to be aligned: how many seeds they share, and the places about which a copy may lie."""
+    order = np.lexsort((at, item, doc))
+    doc, item, at = doc[order], item[order], at[order]
+    if not len(doc):
+        return
+    k = np.arange(len(doc))
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])])
+    group, first = np.cumsum(new) - 1, np.maximum.accumulate(np.where(new, k, 0))
+    sizes = np.bincount(group)
+    height = at - 3 * (k - first)
+    lift = group * (int(height.max()) - int(height.min()) + 1)
+    top = np.maximum.accumulate(height + lift) - lift
+    from_ = k - block.need[item] + 1
+    close = (from_ >= first) & (height - top[np.maximum(from_, 0)] <= block.room[item])
+    close = np.flatnonzero(np.where(block.runs[item], sizes[group] >= block.need[item], close))
+    edges = np.flatnonzero(np.diff(group[close], prepend=-1, append=-1)) if len(close) else []
+    for a, b in zip(edges[:-1], edges[1:]):
+        yield int(doc[close[a]]), int(item[close[a]]), int(sizes[group[close[a]]]), at[close[a:b]]
+
+
+def _windows(at: np.ndarray, reach: int, first: int, last: int) -> Iterator[tuple[int, int]]:
+    """Passages between `first` and `last` that lie within reach of the places, run together where they meet."""
+    for group in np.split(at, np.flatnonzero(np.diff(at) > 2 * reach) + 1):
+        yield max(int(group[0]) - reach, first), min(int(group[-1]) + reach, last)
+
+
+def _bound(passage: np.ndarray, words: np.ndarray) -> float:
+    """No alignment of the passage scores more than this: that of its best run if each word of the item matched wherever it stands."""
+    run = np.concatenate([[0.0], np.cumsum(np.where(np.isin(passage, words), MATCH, -1.0))])
+    return float((run - np.minimum.accumulate(run)).max())
+
+
+def _align_pass(block: _Block, size: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maybe = seeds.maybe()
+        maybe, maybe_gram = block.rare.maybe(), block.grams.maybe()
         for batch in batches:
             for part in K.slices(batch, 1):
                 hashes, counts, starts, ends, offsets = _hashed(part.column(1))
-                keys, owner, at = K.shingles(hashes, counts, size)
-                hit = _found(keys, seeds, maybe)
-                low, high = np.searchsorted(seeds.keys, keys[hit], "left"), np.searchsorted(seeds.keys, keys[hit], "right")
-                n = high - low
-                hit = np.repeat(hit, n)
-                seed = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                doc, item = owner[hit], seeds.item[seed]
-                rows: list[tuple] = []
-                order = np.lexsort((at[hit], item, doc))
-                doc, item, here, place = doc[order], item[order], at[hit][order], seeds.place[seed][order]
-                edges = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])])) if len(doc) else []
                 first = np.cumsum(counts) - counts
+                found = [_hits(hashes, np.repeat(np.arange(len(counts)), counts), np.arange(len(hashes)), block.rare, maybe)]
+                if len(block.grams.keys):
+                    found.append(_hits(*K.shingles(hashes, counts, size), block.grams, maybe_gram))
+                rows: list[tuple] = []
                 memory: dict[tuple[int, bytes], tuple[float, int, int]] = {}
-                for a, b in zip(edges, [*edges[1:], len(doc)]):
-                    d, i = int(doc[a]), int(item[a])
-                    words = seeds.words[i]
-                    need = min(2, max(1, len(words) - size + 1))
-                    if b - a < need:
-                        continue
+                for d, i, n, places in (x for hits in found for some in hits for x in _near(*some, block)):
+                    words, least = block.words[i], float(block.least[i])
                     top = (0.0, 0, 0)
-                    for begin, end in _windows(here[a:b], here[a:b] - place[a:b], len(words)):
-                        begin, end = max(begin, int(first[d])), min(end, int(first[d] + counts[d]))
+                    # an alignment that reaches the threshold is no longer than this
+                    reach = int(3 * len(words) - least) + size + 1
+                    for begin, end in _windows(places, reach, int(first[d]), int(first[d] + counts[d])):
                         passage = hashes[begin:end]
                         key = (i, passage.tobytes())
                         if key not in memory:
-                            memory[key] = align(passage, words)
+                            memory[key] = align(passage, words) if _bound(passage, words) >= least - 1e-6 else (0.0, 0, 0)
                         score, x, y = memory[key]
                         if score > top[0]:
                             top = (score, begin + x, begin + y)
                     share = top[0] / (MATCH * len(words))
                     if share >= threshold and top[2] > top[1]:
-                        rows.append((part.column(0)[d].as_py(), seeds.ids[i], share, b - a, int(starts[top[1]] - offsets[d]), int(ends[top[2] - 1] - offsets[d])))
+                        rows.append((part.column(0)[d].as_py(), block.ids[i], share, n, int(starts[top[1]] - offsets[d]), int(ends[top[2] - 1] - offsets[d])))
                 columns = list(zip(*rows)) if rows else [[]] * 6
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "item_id", "score", "seeds", "begin", "end"])
@@ -197,7 +282,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Words are parted at white space, without the signs around them, in lower
     case.  score is the best alignment's share of a whole copy's (1: verbatim) and
     is at least `threshold`; begin and end are the byte positions of the aligned
-    passage.  Documents or items that are null, empty or without words match
+    passage, and seeds is how many of the item's seeds the document holds.  All
+    pairs that reach the threshold are found; but an item of which fewer than
+    four words reach it (under eight words at 0.5) must also share two runs of
+    `size` words with the document, or one if it has no more.  Documents or items that are null, empty or without words match
     nothing; an item of fewer than `size` words matches a document that has just
     these words.  Repeated document rows each give their rows; repeated items
     give theirs once.  A row of either table without an id is not compared.
@@ -208,13 +296,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = benchmark.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null and text <> ''").distinct()
     kinds = "doc_id long, item_id long, score double, seeds long, begin long, end long"
     out = None
-    for block in _blocks(items):
-        seeds = _block(block, size)
-        if not len(seeds.keys):
+    for some in _blocks(items):
+        block = _block(some, size, threshold)
+        if not len(block.rare.keys) + len(block.grams.keys):
             continue
-        counts = docs.select("text").mapInArrow(_count_pass(seeds, size), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-        seeds = rarer(seeds, dict(zip(counts["key"].to_pylist(), counts["n"].to_pylist())))
-        found = docs.mapInArrow(_align_pass(seeds, size, threshold), kinds)
+        if len(block.rare.keys):
+            counts = docs.select("text").mapInArrow(_count_pass(block.rare), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+            block = rarest(block, dict(zip(counts["key"].to_pylist(), counts["n"].to_pylist())))
+        found = docs.mapInArrow(_align_pass(block, size, threshold), kinds)
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], kinds) if out is None else out
 

@@ -71,3 +71,36 @@ def test_edges(spark):
     assert sorted((r["doc_id"] or 0) for r in clean(docs, bench).collect()) == [0, 1, 2, 5, 6]
     assert contaminated(docs.limit(0), bench).collect() == []
     assert contaminated(docs, bench.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("verbatim", [False, True])
+def test_heavy_edits_against_brute_force(spark, verbatim):
+    r = random.Random(11)
+    word = lambda: f"w{int(r.expovariate(0.002))}"
+    items = [(k, [word() for _ in range(r.randint(8, 60))]) for k in range(20)]
+    rows = [(1000 + k, list(text)) for k, text in items] if verbatim else []
+    for k in range(240):
+        copy = list(r.choice(items)[1])
+        edit, every = k % 4, r.choice([3, 4, 5])
+        if edit == 0:
+            copy = [word() if n % every == every - 1 else w for n, w in enumerate(copy)]
+        elif edit == 1:
+            copy = [w for n, w in enumerate(copy) if n % every != every - 1]
+        elif edit == 2:
+            copy = [x for n, w in enumerate(copy) for x in ([w, word()] if n % (every - 2) == 0 else [w])]
+        else:
+            copy = [word() if r.random() < 0.3 else w for w in copy]
+        before, after = ([word() for _ in range(r.choice([0, 40, 300]))] for _ in "ab")
+        rows.append((k, [*before, *copy, *after]))
+    numbers: dict[str, int] = {}
+    number = lambda words: np.array([numbers.setdefault(w, len(numbers)) for w in words], dtype=np.int64)
+    want = {}
+    for k, text in rows:
+        for i, item in items:
+            score = align(number(text), number(item))[0] / (2 * len(item))
+            if score >= 0.5:
+                want[k, i] = score
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in rows], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in items], "item_id long, text string")
+    assert {(x["doc_id"], x["item_id"]): x["score"] for x in contaminated(docs, bench).collect()} == want
+    assert len(want) > 150

@@ -37,12 +37,13 @@ _PATTERN = re.compile(
     | (?P<secret>(?<![A-Za-z])(?i:password|passwd|secret|token|api[_-]?key|access[_-]?key)["']?\s*(?:[:=]|\bis\b)\s*["']?(?P<value>[A-Za-z0-9+/_-]{8,}))
     | (?P<access>(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9]))
     | (?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]){11,30}(?![A-Za-z0-9]))
-    | (?P<isodate>(?<![\d./-])\d{4}(?P<sign>[-/.])\d{2}(?P=sign)\d{2}(?!\d|[./-]\d))
+    | (?P<isodate>(?<![\d./-])\d{4}(?P<sign>[-/.])\d{1,2}(?P=sign)\d{1,2}(?!\d|[./-]\d))
     | (?P<date>(?<![\d./-])\d{1,2}(?P<mark>[-/.])\d{1,2}(?P=mark)\d{4}(?!\d|[./-]\d))
     | (?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))
     | (?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d))
     | (?P<phone>(?<![\d(+])(?:\+\d{1,3}[ .-]?)?\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\d))
     | (?P<plus>(?<![\d+])\+\d{8,15}(?!\d))
+    | (?P<groups>(?<![\d+])\+\d(?:(?:[ .-]|[ ]?\(|\)[ .-]?)?(?!(?<=[ .-])\d{4}(?:[ -]\d{4}){3})\d){7,14}(?<=\d\d)(?!\d|[-./:]\d))
     | (?P<card>(?<!\d)\d(?:[ -]?\d){12,18}(?!\d))
     """,
     re.VERBOSE,
@@ -147,13 +148,32 @@ def _iban(text: str, permute: Permutation) -> str | None:
 _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
-@lru_cache(maxsize=1)
-def _late_days() -> tuple[list[int], dict[int, int]]:
-    """Days after the 12th of a month: those that month/day/year writes without a doubt."""
-    days = [k for k in range(_FIRST, _LAST + 1) if datetime.date.fromordinal(k).day > 12]
+def _form(number: str) -> int:
+    """How a day or month is written: with one digit, two, or a zero before one."""
+    return 0 if number[0] == "0" else len(number)
+
+
+@lru_cache(maxsize=None)
+def _days(month: int | None, day: int | None, late: bool) -> tuple[list[int], dict[int, int]]:
+    """Days whose month and day have these forms (None: two digits, a zero among them), or only those after the 12th, which month/day/year writes without a doubt."""
+    has = {None: range(1, 32), 0: range(1, 10), 1: range(1, 10), 2: range(10, 32)}
+    dates = ((k, datetime.date.fromordinal(k)) for k in range(_FIRST, _LAST + 1))
+    days = [k for k, d in dates if d.month in has[month] and d.day in has[day] and (d.day > 12 or not late)]
     return days, {k: n for n, k in enumerate(days)}
 
 
+def _other_day(k: int, month: str, day: str, late: bool, permute: Permutation, tweak: str) -> tuple[str, str, str]:
+    """Year, month and day of another date that is written with as many digits, in this order."""
+    forms = (None, None) if len(month) == len(day) == 2 else (_form(month), _form(day))
+    if forms == (None, None) and not late:
+        new = _FIRST + permute(k - _FIRST, _LAST - _FIRST + 1, "date")
+    else:
+        days, place = _days(*forms, late)
+        new = days[permute(place[k], len(days), tweak if forms == (None, None) else f"{tweak}/{forms[0]}{forms[1]}")]
+    d = datetime.date.fromordinal(new)
+    return str(d.year), str(d.month).zfill(len(month)), str(d.day).zfill(len(day))
+
+
 def _day(year: str, month: str, day: str) -> int | None:
     try:
         k = datetime.date(int(year), int(month), int(day)).toordinal()
@@ -163,22 +183,20 @@ def _day(year: str, month: str, day: str) -> int | None:
 
 
 def _isodate(text: str, permute: Permutation) -> str | None:
-    k = _day(text[:4], text[5:7], text[8:])
-    if k is None:
+    year, month, day = text.split(text[4])
+    if (k := _day(year, month, day)) is None:
         return None
-    return datetime.date.fromordinal(_FIRST + permute(k - _FIRST, _LAST - _FIRST + 1, "date")).strftime(f"%Y{text[4]}%m{text[4]}%d")
+    return text[4].join(_other_day(k, month, day, False, permute, "year first"))
 
 
 def _date(text: str, permute: Permutation) -> str | None:
     sign = next(c for c in text if not c.isdigit())
     a, b, year = text.split(sign)
-    if len(a) != 2 or len(b) != 2:
-        return None  # without leading zeros the length would change
     if (k := _day(year, b, a)) is not None:
-        return datetime.date.fromordinal(_FIRST + permute(k - _FIRST, _LAST - _FIRST + 1, "date")).strftime(f"%d{sign}%m{sign}%Y")
+        return sign.join(reversed(_other_day(k, b, a, False, permute, "day first")))
     if (k := _day(year, a, b)) is not None:
-        days, place = _late_days()
-        return datetime.date.fromordinal(days[permute(place[k], len(days), "month first")]).strftime(f"%m{sign}%d{sign}%Y")
+        year, a, b = _other_day(k, a, b, True, permute, "month first")
+        return sign.join([a, b, year])
     return None
 
 
@@ -220,6 +238,17 @@ def _plus(text: str, permute: Permutation) -> str | None:
     return text[:3] + str(permute(int(text[3:]), 10**n, f"phone/{text[1:3]}/{n}")).zfill(n)
 
 
+def _groups(text: str, permute: Permutation) -> str | None:
+    """A number in groups keeps them, its country code and a zero in brackets."""
+    code = re.match(r"\+(\d{1,3}(?!\d)|\d\d)", text)[1]
+    head, zero, tail = text[len(code) + 1 :].partition("(0)")
+    digits = _digits(head + tail)
+    n = len(digits)
+    new = str(permute(int(digits), 10**n, f"phone/{code}/{n}")).zfill(n)
+    at = len(_digits(head))
+    return f"+{code}{_refilled(head, new[:at])}{zero}{_refilled(tail, new[at:])}"
+
+
 def _secret(text: str, permute: Permutation) -> str | None:
     """Hexadecimal values stay hexadecimal; others must mix digits and letters."""
     if re.fullmatch(r"[0-9a-f]{8,}", text):
@@ -235,7 +264,7 @@ def _access(text: str, permute: Permutation) -> str | None:
     return text[:4] + _same_classes(text[4:], permute, "access")
 
 
-_MAKERS: dict[str, Callable[[str, Permutation], str | None]] = {"email": _email, "secret": _secret, "access": _access, "iban": _iban, "isodate": _isodate, "date": _date, "ssn": _ssn, "ip": _ip, "phone": _phone, "plus": _plus, "card": _card}
+_MAKERS: dict[str, Callable[[str, Permutation], str | None]] = {"email": _email, "secret": _secret, "access": _access, "iban": _iban, "isodate": _isodate, "date": _date, "ssn": _ssn, "ip": _ip, "phone": _phone, "plus": _plus, "groups": _groups, "card": _card}
 
 
 class Pseudonyms:
@@ -262,7 +291,7 @@ class Pseudonyms:
                 continue
             out += [text[at:a], new]
             at = begin = b
-            found.append({"isodate": "date", "plus": "phone", "access": "secret"}.get(kind, kind))
+            found.append({"isodate": "date", "plus": "phone", "groups": "phone", "access": "secret"}.get(kind, kind))
         return "".join([*out, text[at:]]) if out else text
 
 
@@ -329,9 +358,10 @@ def pseudonymised(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     """One row per row of `docs`: doc_id, text, and kinds, those of the replaced values in order.
 
     Replaced are e-mail names, card numbers (Luhn), IBANs (mod 97), social
-    security numbers, IPv4 addresses, phone numbers, dates of 1900 to 2099 with
-    two-digit day and month, the values of passwords and
-    tokens, and cloud access keys.  What fails
+    security numbers, IPv4 addresses, phone numbers (of ten digits as 3-3-4, or
+    with + and 8 to 15 digits in any groups), dates of 1900 to 2099 in numbers
+    (day, month or year first, with or without zeros before one digit), the
+    values of passwords and tokens, and cloud access keys.  What fails
     its check stays.  A null text stays null, and one without such data stays as
     it is.  Rows without an id and repeated rows are treated alike.  Other columns
     are not read.

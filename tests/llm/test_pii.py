@@ -41,6 +41,18 @@ def card(r):
         ("2001-02-28", "date"),
         ("13/02/1999", "date"),
         ("02/13/1999", "date"),
+        ("3/4/1985", "date"),
+        ("12.5.1990", "date"),
+        ("5-12-1990", "date"),
+        ("2/28/1990", "date"),
+        ("05/1/1990", "date"),
+        ("2001-2-8", "date"),
+        ("+44 20 7946 0958", "phone"),
+        ("+44 (0)20 7946 0958", "phone"),
+        ("+49 30 901820", "phone"),
+        ("+33 1 23 45 67 89", "phone"),
+        ("+49-1512-3456789", "phone"),
+        ("+353.1.234.5678", "phone"),
         ("123-45-6789", "ssn"),
         ("193.195.198.107", "ip"),
         ("GB82WEST12345698765432", "iban"),
@@ -85,3 +97,20 @@ def test_whole_texts(spark):
     want = [(k, None if t is None else replaced(t)[0], [] if t is None else replaced(t)[1]) for k, t, _ in rows]
     assert sorted(map(str, want)) == sorted(str((x["doc_id"], x["text"], x["kinds"])) for x in got)
     assert pseudonymised(spark.createDataFrame([], "doc_id long, text string"), KEY).collect() == []
+
+
+def test_forms_of_dates_and_numbers_in_groups():
+    days = [datetime.date(1999, 1, 1) + datetime.timedelta(k) for k in range(800)]
+    short = sorted({f"{d.day}/{d.month}/{d.year}" for d in days} | {f"{d.month}/{d.day}/{d.year}" for d in days if d.day > 12})
+    new = [replaced(x)[0] for x in short]
+    assert len(set(new)) == len(short)
+    assert [list(map(len, x.split("/"))) for x in new] == [list(map(len, x.split("/"))) for x in short]
+    # the same number in groups and without
+    assert replaced("+44 20 7123 4567")[0].replace(" ", "") == replaced("+442071234567")[0]
+    # what follows a number is not of it
+    for after, kinds in [("2 times", []), ("2001-02-28", ["date"]), ("3/4/1985", ["date"]), ("4316 5226 7852 5456", ["card"]), ("193.195.198.107", ["ip"]), ("123-45-6789", ["ssn"])]:
+        new, found = replaced(f"+49 30 901820 {after}")
+        assert found == ["phone", *kinds]
+        assert new.startswith(replaced("+49 30 901820")[0] + " ")
+    for text in ["30/2/1999", "2/30/1999", "0/4/1985", "+1 2", "a + 12 34"]:
+        assert replaced(text) == (text, [])

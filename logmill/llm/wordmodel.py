@@ -12,6 +12,8 @@ _CODE = np.arange(256)
 #: Letters of ASCII and all bytes of other characters; for ALNUM digits too.
 LETTER = (_CODE >= 0x80) | ((_CODE | 0x20) >= 0x61) & ((_CODE | 0x20) <= 0x7A) & (_CODE >= 0x41)
 ALNUM = LETTER | (_CODE >= 0x30) & (_CODE <= 0x39)
+#: Hashes that a sample is chosen by: so many that a sample of some hundreds has its size among any number of rows.
+_RANGE = 1 << 40
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
@@ -75,8 +77,8 @@ def grams(data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.nda
 def sampled(rows: DataFrame, by: str, key: str, most: int) -> DataFrame:
     """About `most` rows of each value of `by` at most, chosen by a hash of `key`."""
     counts = {r[by]: r["n"] for r in rows.groupBy(by).agg(F.count("*").alias("n")).collect()}
-    pick = F.pmod(F.xxhash64(key), F.lit(1_000_000))
+    pick = F.pmod(F.xxhash64(key), F.lit(_RANGE))
     keep = F.lit(False)
     for value, n in counts.items():
-        keep = keep | ((F.col(by) == F.lit(value)) & (pick < min(1_000_000, int(1e6 * most / n))))
+        keep = keep | ((F.col(by) == F.lit(value)) & (pick < min(_RANGE, max(1, _RANGE * most // n))))
     return rows.where(keep)

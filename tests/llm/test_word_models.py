@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from logmill.llm import language_id, quality, toxicity
-from logmill.llm.wordmodel import bare_spans, distinct, grams, lowered
+from logmill.llm.wordmodel import bare_spans, distinct, grams, lowered, sampled
 from logmill.llm.textkernel import buffers
 
 R = random.Random(7)
@@ -124,3 +124,10 @@ def test_insult_in_a_long_text(spark):
     got = toxicity.score_toxicity(spark.createDataFrame([(1, long), (2, long + " vilefo3e, " + long), (3, "ou " * 500)], "doc_id long, text string"), model=model).collect()
     assert [r["predicted"] for r in got] == [0, 1, 0]
     assert abs(got[1]["at_byte"] - len(long.encode())) < 200
+
+
+def test_sample_of_a_large_class(spark):
+    rows = spark.range(30_000_000).selectExpr("id", "if(id < 10, 'few', 'many') AS kind")
+    got = {r["kind"]: r["count"] for r in sampled(rows, "kind", "id", 20).groupBy("kind").count().collect()}
+    assert got["few"] == 10
+    assert 5 < got["many"] < 45

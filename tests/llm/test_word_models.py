@@ -131,3 +131,11 @@ def test_sample_of_a_large_class(spark):
     got = {r["kind"]: r["count"] for r in sampled(rows, "kind", "id", 20).groupBy("kind").count().collect()}
     assert got["few"] == 10
     assert 5 < got["many"] < 45
+
+
+@pytest.mark.parametrize("labelled", [False, True])
+def test_no_language_to_learn(spark, labelled):
+    rows = [(k, prose("aa", 20), "aa" if labelled and is_held_out(k) else None) for k in range(30)]
+    none = [(100, None, None), (101, "", None), (102, "12 ?!", None)]
+    docs = spark.createDataFrame(rows + none, "doc_id long, text string, lang string")
+    assert sorted(map(tuple, language_id.in_a_language(docs).collect())) == rows

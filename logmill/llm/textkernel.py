@@ -100,19 +100,23 @@ def spans(data: np.ndarray, offsets: np.ndarray, part: np.ndarray = SEPARATOR) -
     return starts, np.flatnonzero(end) + 1, np.diff(np.searchsorted(starts, offsets))
 
 
-def _sums(data: np.ndarray, values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Sum over i < at of values[data[i]] * ODD**i, modulo 2**64; at is ascending."""
-    out = np.zeros(len(at), dtype=np.uint64)
+def _between(data: np.ndarray, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sum over starts <= i < ends of values[data[i]] * ODD**i, modulo 2**64; both are ascending."""
+    out = np.zeros(len(starts), dtype=np.uint64)
     carry, scale = np.uint64(0), np.uint64(1)
+    run = np.zeros(_SEGMENT + 1, dtype=np.uint64)
     for first in range(0, len(data), _SEGMENT):
         part = data[first : first + _SEGMENT]
-        run = np.empty(len(part) + 1, dtype=np.uint64)
-        run[0] = 0
-        np.cumsum(values[part] * _UP[: len(part)], out=run[1:])
-        a, b = np.searchsorted(at, [first, first + len(part)])
-        b = len(at) if first + len(part) == len(data) else b
-        out[a:b] = run[at[a:b] - first] * scale + carry
-        carry, scale = run[-1] * scale + carry, scale * _UP[_SEGMENT]
+        n = len(part)
+        np.cumsum(values[part] * _UP[:n], out=run[1 : n + 1])
+        last = first + n == len(data)
+        for at, sign in ((ends, False), (starts, True)):
+            a, b = np.searchsorted(at, [first, first + n])
+            b = len(at) if last else b
+            sums = run[at[a:b] - first]
+            sums = sums * scale + carry if first else sums
+            out[a:b] = out[a:b] - sums if sign else out[a:b] + sums
+        carry, scale = run[n] * scale + carry, scale * _UP[_SEGMENT]
     return out
 
 
@@ -127,7 +131,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     """A 64-bit hash of each word's bytes; lower takes A-Z as a-z."""
     values = _BYTE_LOWER if lower else _BYTE
     with np.errstate(over="ignore"):
-        return mix((_sums(data, values, ends) - _sums(data, values, starts)) * _unscale(starts) + (ends - starts).astype(np.uint64))
+        return mix(_between(data, values, starts, ends) * _unscale(starts) + (ends - starts).astype(np.uint64))
 
 
 def shingles(words: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

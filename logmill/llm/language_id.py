@@ -24,8 +24,8 @@ from . import wordmodel as M
 NO_LANGUAGE = "und"
 GRAMS = (2, 3, 4)
 BUCKETS = 1 << 17
-#: Most documents of each language to learn from, and most characters of a window of one.
-SAMPLE, WINDOW = 600, 1500
+#: Most documents of each language to learn from, most characters of them all, and most languages, the most frequent.
+SAMPLE, CHARS, LANGUAGES = 600, 2_000_000, 200
 _BLOCK = 32
 
 
@@ -166,12 +166,10 @@ def train(texts: list[str], labels: list[str], seed: int = 0, epochs: int = 8, l
 
 
 def _learned(docs: DataFrame, seed: int) -> LanguageModel:
-    """From a bounded sample: at most about SAMPLE documents of each language, of each a window of WINDOW characters."""
     rows = docs.where(~K.held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0))
-    rows = M.sampled(rows.select("doc_id", "lang", "text"), "lang", "doc_id", SAMPLE)
-    begin = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - WINDOW, F.lit(1))) + 1
-    got = rows.select("lang", "doc_id", F.substring("text", begin.cast("int"), F.lit(WINDOW)).alias("text")).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return train(got["text"].to_pylist(), got["lang"].to_pylist(), seed)
+    often = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    rows = rows.join(F.broadcast(often.select("lang")), "lang")
+    return train(*M.sample(M.chosen(rows, "lang", ["doc_id", "text"], SAMPLE), "lang", SAMPLE, CHARS), seed)
 
 
 def has_letter(text: bytes) -> bool:
@@ -216,7 +214,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """One row per row of `docs`: doc_id, held_out, lang_pred, score, n_words and, on demand, runs.
 
     Without a model one is learned from rows that are not held out (crc32 of the
-    id as text, modulo 3, is not 1) and have a language.  lang_pred is `und` with
+    id as text, modulo 3, is not 1) and have a language: whole texts of at most
+    SAMPLE documents of each, chosen by hash.  lang_pred is `und` with
     score 0 for a null text or one without letters; otherwise a learned language,
     and score its mean posterior over the text's words, from 0 to 1.  Ties go to
     the first language.  runs lists stretches of words of one language by byte

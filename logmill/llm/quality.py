@@ -22,8 +22,8 @@ from . import wordmodel as M
 
 #: Words of a passage, and units of the encoder and of the attention.
 PASSAGE, UNITS, GATES = 64, 24, 12
-#: Most documents of each class to learn from, and most characters of one.
-SAMPLE, CHARS = 1500, 8000
+#: Most documents of each class to learn from, and most characters of them all.
+SAMPLE, CHARS = 1500, 8_000_000
 
 #: Class of each byte: lower case, upper case, digit, white space, line end, other character, and each printable sign for itself.
 _CLASS = np.zeros(256, dtype=np.int64)
@@ -144,11 +144,8 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 0) -> QualityModel:
 
 
 def _learned(docs: DataFrame, labels: DataFrame, seed: int) -> QualityModel:
-    """From a bounded sample: at most about SAMPLE documents of each class, of each at most CHARS characters from its begin."""
-    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~K.held_out(F.col("doc_id"))).select("doc_id", "quality").distinct()
-    rows = docs.join(F.broadcast(M.sampled(known, "quality", "doc_id", SAMPLE)), "doc_id")
-    got = rows.select("doc_id", "quality", F.substring("text", 1, CHARS).alias("text")).toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending"), ("text", "ascending")])
-    return train(got["text"].to_pylist(), got["quality"].to_numpy(), seed)
+    texts, marks = M.labelled(docs, labels, "quality", SAMPLE, CHARS)
+    return train(texts, np.array(marks), seed)
 
 
 def _score_pass(model: QualityModel):
@@ -171,11 +168,12 @@ def score_quality(docs: DataFrame, labels: DataFrame | None = None, id_col: str
     """One row per row of `docs`: doc_id, held_out, score (0 to 1), predicted (1 if score >= threshold), passages, and most_attention, the largest weight of one.
 
     Without a model one is learned from the rows of `labels` (doc_id, quality 0
-    or 1) that are not held out (crc32 of the id as text, modulo 3, is not 1).  A
-    null or empty text or one without words is one empty passage and is scored as
-    such.  Without two classes to learn from, every score is the share of class
-    1, or 0.5 if there are no labels.  A row without an id is scored and not held
-    out; repeated rows each give a row.  Other columns are not read.
+    or 1) that are not held out (crc32 of the id as text, modulo 3, is not 1):
+    whole texts of at most SAMPLE documents of each class, chosen by hash.  A null
+    or empty text or one without words is one empty passage and is scored as such.
+    Without two classes to learn from, every score is the share of class 1, or 0.5
+    if there are no labels.  A row without an id is scored and not held out;
+    repeated rows each give a row.  Other columns are not read.
     """
     docs = K.bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if model is None:

@@ -28,8 +28,8 @@ BUCKETS = 1 << 18
 DIM = 8
 #: Words of a window; windows begin every half of it.
 WINDOW = 8
-#: Most documents of each class to learn from, and most characters that such a document has.
-SAMPLE, CHARS = 1500, 8000
+#: Most documents of each class to learn from, and most characters of them all.
+SAMPLE, CHARS = 1500, 8_000_000
 
 
 @dataclass
@@ -149,11 +149,8 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 0) -> ToxicityModel:
 
 
 def _learned(docs: DataFrame, labels: DataFrame, seed: int) -> ToxicityModel:
-    """From a bounded sample: at most about SAMPLE documents of each class, none of over CHARS characters."""
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~K.held_out(F.col("doc_id"))).select("doc_id", "toxic").distinct()
-    rows = docs.join(F.broadcast(M.sampled(known, "toxic", "doc_id", SAMPLE)), "doc_id").where(F.length("text").between(1, CHARS))
-    got = rows.select("doc_id", "toxic", "text").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending"), ("text", "ascending")])
-    return train(got["text"].to_pylist(), got["toxic"].to_numpy(), seed)
+    texts, marks = M.labelled(docs, labels, "toxic", SAMPLE, CHARS)
+    return train(texts, np.array(marks), seed)
 
 
 def _score_pass(model: ToxicityModel):
@@ -178,8 +175,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame | None = None, id_col: str
     """One row per row of `docs`: doc_id, held_out, score (0 to 1), predicted (1 if score >= threshold) and at_byte, where its most toxic window begins.
 
     Without a model one is learned from the rows of `labels` (doc_id, toxic 0 or
-    1) that are not held out (crc32 of the id as text, modulo 3, is not 1).  Null
-    and empty texts and those without words get the score of an empty bag.  If no
+    1) that are not held out (crc32 of the id as text, modulo 3, is not 1): whole
+    texts of at most SAMPLE documents of each class, chosen by hash.  Null and
+    empty texts and those without words get the score of an empty bag.  If no
     label can be learned from, every score is 0.5; with labels of one class only,
     that class's share.  A row without an id is scored, and not held out; repeated
     rows each give a row.  Of the first of equal windows the place is given.

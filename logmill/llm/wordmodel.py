@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import textkernel as K
 
@@ -12,8 +16,6 @@ _CODE = np.arange(256)
 #: Letters of ASCII and all bytes of other characters; for ALNUM digits too.
 LETTER = (_CODE >= 0x80) | ((_CODE | 0x20) >= 0x61) & ((_CODE | 0x20) <= 0x7A) & (_CODE >= 0x41)
 ALNUM = LETTER | (_CODE >= 0x30) & (_CODE <= 0x39)
-#: Hashes that a sample is chosen by: so many that a sample of some hundreds has its size among any number of rows.
-_RANGE = 1 << 40
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
@@ -74,11 +76,56 @@ def grams(data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.nda
     return bucket[order], np.searchsorted(owner[order], np.arange(len(starts)))
 
 
-def sampled(rows: DataFrame, by: str, key: str, most: int) -> DataFrame:
-    """About `most` rows of each value of `by` at most, chosen by a hash of `key`."""
-    counts = {r[by]: r["n"] for r in rows.groupBy(by).agg(F.count("*").alias("n")).collect()}
-    pick = F.pmod(F.xxhash64(key), F.lit(_RANGE))
-    keep = F.lit(False)
-    for value, n in counts.items():
-        keep = keep | ((F.col(by) == F.lit(value)) & (pick < min(_RANGE, max(1, _RANGE * most // n))))
-    return rows.where(keep)
+def _least_pass(most: int):
+    """The `most` smallest hashes of each label in a task; labels and hashes are the columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str | int, np.ndarray] = {}
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            label = batch.column(0).dictionary_encode()
+            number, hashes = label.indices.to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            for k, name in enumerate(label.dictionary.to_pylist()):
+                now = hashes[number == k]
+                if name in held:
+                    now = np.concatenate([held[name], now[now < held[name][-1]] if len(held[name]) >= most else now])
+                held[name] = np.unique(now)[:most]
+        if held:
+            labels = [name for name, some in held.items() for _ in range(len(some))]
+            yield pa.RecordBatch.from_arrays([pa.array(labels, kind), pa.array(np.concatenate(list(held.values())))], ["label", "hash"])
+
+    return run
+
+
+def chosen(rows: DataFrame, by: str, keys: list[str], most: int) -> DataFrame:
+    """Rows of the `most` distinct `keys` with the smallest hashes of each value of `by`, whatever their number; their repeats too."""
+    hashed = rows.withColumn("__hash", F.xxhash64(*keys))
+    kind = rows.schema[by].dataType.simpleString()
+    least = hashed.select(by, "__hash").mapInArrow(_least_pass(most), f"label {kind}, hash long").distinct()
+    least = least.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("hash"))).where(F.col("n") <= most)
+    limit = F.broadcast(least.groupBy("label").agg(F.max("hash").alias("__most")))
+    return hashed.join(limit, hashed[by] == limit["label"]).where("__hash <= __most").select(rows.columns)
+
+
+def sample(rows: DataFrame, by: str, most: int, chars: int) -> tuple[list[str], list]:
+    """Whole texts of `rows` (by, doc_id, text) and their labels, to be learned from on the driver.
+
+    Of each label `most` rows at most, repeated ones once, in the order of a hash
+    of id and text, until their texts have `chars` characters; one row at least.
+    """
+    rows = rows.select(by, "doc_id", "text", F.xxhash64("doc_id", "text").alias("hash"))
+    rows = rows.groupBy(by, "doc_id", "hash").agg(F.first("text").alias("text"))
+    order = Window.partitionBy(by).orderBy("hash", "doc_id")
+    rows = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
+    rows = rows.withColumn("chars", F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))).where((F.col("chars") <= chars) | (F.col("n") == 1))
+    got = rows.select(by, "hash", "doc_id", "text").toArrow().sort_by([(k, "ascending") for k in (by, "hash", "doc_id")])
+    return got["text"].to_pylist(), got[by].to_pylist()
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, chars: int) -> tuple[list[str], list[int]]:
+    """sample() of the documents that are not held out and that `labels` marks 0 or 1 in the column `label`."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias(label))
+    known = known.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~K.held_out(F.col("doc_id")))
+    known = chosen(known, label, ["doc_id"], most).distinct()
+    return sample(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").where("text <> ''"), label, most, chars)

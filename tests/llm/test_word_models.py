@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from logmill.llm import language_id, quality, toxicity
-from logmill.llm.wordmodel import bare_spans, distinct, grams, lowered, sampled
+from logmill.llm.wordmodel import bare_spans, chosen, distinct, grams, labelled, lowered, sample
 from logmill.llm.textkernel import buffers
 
 R = random.Random(7)
@@ -126,11 +126,24 @@ def test_insult_in_a_long_text(spark):
     assert abs(got[1]["at_byte"] - len(long.encode())) < 200
 
 
-def test_sample_of_a_large_class(spark):
-    rows = spark.range(30_000_000).selectExpr("id", "if(id < 10, 'few', 'many') AS kind")
-    got = {r["kind"]: r["count"] for r in sampled(rows, "kind", "id", 20).groupBy("kind").count().collect()}
-    assert got["few"] == 10
-    assert 5 < got["many"] < 45
+def test_sample_is_bounded_and_exact(spark):
+    """Null ids, an id that stands many times, many rows of a label, few of another, long texts only."""
+    rows = spark.range(200_000).selectExpr("if(id < 100000, null, if(id < 150000, 7, id)) AS doc_id", "if(id < 100000, concat('t', id), if(id < 150000, 'same', concat('u', id))) AS text", "if(id % 2 = 0, 'a', 'b') AS kind")
+    few = spark.createDataFrame([(k, "z" * 5000 + str(k), "few") for k in range(10)], "doc_id long, text string, kind string")
+    texts, kinds = sample(chosen(rows.unionByName(few), "kind", ["doc_id", "text"], 20), "kind", 20, 12_000)
+    assert {k: kinds.count(k) for k in set(kinds)} == {"a": 20, "b": 20, "few": 2}
+    assert len(set(texts)) == len(texts) - ("same" in texts[:20] and "same" in texts[20:40])
+    assert all(len(t) > 5000 for t in texts[40:])
+    again = sample(chosen(rows.unionByName(few).repartition(7), "kind", ["doc_id", "text"], 20), "kind", 20, 12_000)
+    assert (texts, kinds) == again
+
+
+def test_labels_of_copied_and_long_documents(spark):
+    docs = spark.range(50_000).selectExpr("if(id < 30000, 3L, id) AS doc_id", "if(id < 40000, 'x', repeat('long ', 300)) AS text", "0 AS toxic")
+    labels = spark.range(50_000).selectExpr("id AS doc_id", "if(id >= 40000, 1, 0) AS toxic", "0 AS quality").unionByName(spark.createDataFrame([(3, 0, 0), (3, None, 0), (None, 1, 0), (3, 2, 0)], "doc_id long, toxic int, quality int"))
+    texts, marks = labelled(docs, labels, "toxic", 50, 1_000_000)
+    assert (marks.count(0), marks.count(1)) == (50, 50)
+    assert all(len(t) == 1500 for t, y in zip(texts, marks) if y)
 
 
 @pytest.mark.parametrize("labelled", [False, True])

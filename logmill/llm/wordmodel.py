@@ -127,5 +127,6 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, chars: i
     """sample() of the documents that are not held out and that `labels` marks 0 or 1 in the column `label`."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias(label))
     known = known.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~K.held_out(F.col("doc_id")))
-    known = chosen(known, label, ["doc_id"], most).distinct()
+    # more than are taken, as some may have no text here
+    known = chosen(known, label, ["doc_id"], 4 * most).distinct()
     return sample(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").where("text <> ''"), label, most, chars)

@@ -139,7 +139,7 @@ def test_sample_is_bounded_and_exact(spark):
 
 
 def test_labels_of_copied_and_long_documents(spark):
-    docs = spark.range(50_000).selectExpr("if(id < 30000, 3L, id) AS doc_id", "if(id < 40000, 'x', repeat('long ', 300)) AS text", "0 AS toxic")
+    docs = spark.range(50_000).selectExpr("if(id < 15000, 3L, id) AS doc_id", "if(id < 40000, 'x', repeat('long ', 300)) AS text", "0 AS toxic")
     labels = spark.range(50_000).selectExpr("id AS doc_id", "if(id >= 40000, 1, 0) AS toxic", "0 AS quality").unionByName(spark.createDataFrame([(3, 0, 0), (3, None, 0), (None, 1, 0), (3, 2, 0)], "doc_id long, toxic int, quality int"))
     texts, marks = labelled(docs, labels, "toxic", 50, 1_000_000)
     assert (marks.count(0), marks.count(1)) == (50, 50)

@@ -1,25 +1,27 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words of each test item are counted over all documents, and its rarest ones
-become seeds: so many that an alignment which reaches the threshold must match
-a few of them (pigeonhole), and that close to each other.  Where a document
-holds as many seeds of an item as that, the passage around them is aligned with
-the item word by word (Smith-Waterman with a linear gap).  So the pairs found are
-those of aligning every document with every item, however the copy was edited.
-Items of which fewer than four words reach the threshold must share runs of
-words instead.  Items are taken in blocks of bounded size; for each block every
-document is read once, and nothing but the counts of the block's words is
-shuffled.
+Pairs of neighbouring words of each test item are counted over all documents,
+and its rarest ones become seeds: so many that an alignment which reaches the
+threshold must keep a few of them (pigeonhole).  In a document a pair may have
+one word between, so that inserted words do not break it.  Documents' pairs that
+may be seeds are joined with the table of seeds; where a document holds as many
+seeds of an item as it must, and close enough to each other, the passage around
+them is aligned with the item word by word (Smith-Waterman with a linear gap).
+So the pairs found are those of aligning every document with every item, however
+the copy was edited.  Short items must share runs of words instead.
+
+All documents are read three times, whatever the number of items: to count, to
+find seeds, and, only those with candidates, to align.  What is sent to all tasks
+are bit tables of bounded size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
@@ -28,45 +30,13 @@ from . import wordmodel as M
 SIZE = 3
 #: Least score of an alignment against that of the whole item, to count as a copy.
 THRESHOLD = 0.5
-#: Most items whose seeds are sent to executors at once, and most words of them.
-BLOCK_ITEMS, BLOCK_WORDS = 20_000, 1_000_000
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
-#: Items of which fewer matching words reach the threshold have n-grams as seeds.
+#: Items of which fewer matching words reach the threshold have runs of words as seeds.
 LEAST_WORDS = 4
-#: Seeds of a part of the documents taken at once, and the work of an alignment against that of a seed found.
-HITS, ALIGN_WORK = 1_000_000, 5000.0
-
-
-@dataclass
-class _Seeds:
-    """Hashes in ascending order, and the item of each."""
-
-    keys: np.ndarray
-    item: np.ndarray
-
-    def maybe(self) -> np.ndarray:
-        table = np.zeros(1 << 22, dtype=bool)
-        table[(self.keys >> np.uint64(42)).astype(np.int64)] = True
-        return table
-
-
-@dataclass
-class _Block:
-    """Items of a block: their words' hashes, the score each must reach, and its seeds.
-
-    A document is aligned with an item of `runs` if it holds `need` of its
-    n-grams; with another one if it holds `need` of its rare words or more, and
-    from the first to the last of n of them lie at most `room` + 3 n - 2 words.
-    """
-
-    ids: list[int]
-    words: list[np.ndarray]
-    least: np.ndarray
-    runs: np.ndarray
-    need: np.ndarray
-    room: np.ndarray
-    grams: _Seeds
-    rare: _Seeds
+#: The work of an alignment against that of a seed found.
+ALIGN_WORK = 5000.0
+#: Seeds that stand so often among this many words of the documents are joined in SALTS parts; so there are few of them.
+HOT_WORDS, SALTS = 10_000, 16
 
 
 def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -78,81 +48,152 @@ def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return hashes, counts, starts, ends, offsets
 
 
-def _sorted(keys: np.ndarray, item: np.ndarray) -> _Seeds:
-    order = np.argsort(keys, kind="stable")
-    return _Seeds(keys[order], item[order])
-
-
-def _block(items: list[Row], size: int, threshold: float) -> _Block:
-    """The items with all their words as seeds, but for those of `runs`, whose seeds are n-grams."""
-    hashes, counts, *_ = _hashed(pa.array([r["text"] for r in items], pa.large_string()))
-    runs = (counts < size) | (threshold * counts < LEAST_WORDS)
+def _keys(hashes: np.ndarray, counts: np.ndarray, size: int, far: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of pairs of words up to `far` apart and of runs of `size` words, the text of each and the place of its first word."""
     owner = np.repeat(np.arange(len(counts)), counts)
-    keys, item, _ = K.shingles(hashes, counts, size)
-    grams, rare = _sorted(keys[runs[item]], item[runs[item]]), _sorted(hashes[~runs[owner]], owner[~runs[owner]])
-    need = np.minimum(2, np.maximum(1, counts - size + 1))
-    return _Block([r["item_id"] for r in items], np.split(hashes, np.cumsum(counts)[:-1]), MATCH * threshold * counts, runs, need, np.full(len(counts), np.inf), grams, rare)
+    keys, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    with np.errstate(over="ignore"):
+        for d in range(1, far + 1):
+            at = np.flatnonzero(owner[d:] == owner[:-d])
+            keys.append(K.mix(hashes[at] * np.uint64(3) + hashes[at + d] + np.uint64(1)))
+            places.append(at)
+    runs, _, at = K.shingles(hashes, counts, size)
+    keys.append(runs)
+    places.append(at)
+    place = np.concatenate(places)
+    return np.concatenate(keys), owner[place] if len(owner) else place, place
+
+
+def _item_pass(size: int, threshold: float):
+    """Words of each item, and its seeds-to-be with how often each stands in it; of short items their runs, of others their pairs."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, counts, *_ = _hashed(batch.column(2))
+            keys, owner, _ = _keys(hashes, counts, size, 1)
+            is_run = np.zeros(len(keys), dtype=bool)
+            is_run[len(keys) - len(K.shingles(hashes, counts, size)[0]) :] = True
+            short = (counts < size) | (threshold * counts < LEAST_WORDS)
+            keep = short[owner] == is_run
+            by = np.lexsort((keys[keep], owner[keep]))
+            keys, owner = keys[keep][by], owner[keep][by]
+            new = np.ones(len(keys), dtype=bool)
+            new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+            at = np.flatnonzero(new)
+            times = np.diff(np.append(at, len(keys)))
+            sizes = np.bincount(owner[at], minlength=len(counts))
+            lists = [K.lists(pa.array(x), n) for x, n in ((hashes.view(np.int64), counts), (keys[at].view(np.int64), sizes), (times, sizes))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists[0], pa.array(short), lists[1], lists[2]], ["item", "item_id", "words", "short", "keys", "times"])
 
-def _found(keys: np.ndarray, seeds: _Seeds, maybe: np.ndarray) -> np.ndarray:
-    """Places of keys that are seeds."""
-    if not len(seeds.keys):
-        return np.zeros(0, np.int64)
-    at = np.flatnonzero(maybe[(keys >> np.uint64(42)).astype(np.int64)])
-    near = np.searchsorted(seeds.keys, keys[at])
-    near[near == len(seeds.keys)] = 0
-    return at[seeds.keys[near] == keys[at]]
+    return run
 
 
-def _count_pass(seeds: _Seeds):
+def _count_pass(bits: np.ndarray, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maybe = seeds.maybe()
-        unique = np.unique(seeds.keys)
-        n = np.zeros(len(unique), dtype=np.int64)
         words = 0
         for batch in batches:
             for part in K.slices(batch, 0):
-                hashes, *_ = _hashed(part.column(0))
+                hashes, counts, *_ = _hashed(part.column(0))
                 words += len(hashes)
-                n += np.bincount(np.searchsorted(unique, hashes[_found(hashes, seeds, maybe)]), minlength=len(unique))
-        at = np.flatnonzero(n)
+                keys = _keys(hashes, counts, size, 2)[0].view(np.int64)
+                keys, n = np.unique(keys[K.falls_on(bits, keys)], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
         # the number of all words has no key
-        yield pa.RecordBatch.from_arrays([pa.array([*unique[at].view(np.int64).tolist(), None], pa.int64()), pa.array([*n[at].tolist(), words], pa.int64())], ["key", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([words], pa.int64())], ["key", "n"])
 
     return run
 
 
-def rarest(block: _Block, counts: dict[int | None, int]) -> _Block:
-    """The block with only the rarest words of each item as seeds.
+def least_kept(n: int, least: float) -> int:
+    """Fewest of an item's n - 1 pairs of neighbouring words that an alignment with a score of `least` keeps.
+
+    Of M matches, two neighbours of the item are both matched, and lie next to
+    each other in the document or one word apart, unless a word of the item
+    between is not matched (at least one off the score, and one word less to
+    match) or two words or more of the document lie between (two off).
+    """
+    m = np.arange(max(1, int(np.ceil(least / MATCH - 1e-9))), n + 1)
+    slack = np.floor(MATCH * m - least + 1e-9)
+    lost = np.minimum(n - m, slack)
+    return int((m - 1 - lost - (slack - lost) // 2).min())
+
+
+def _seed_pass(total: int, threshold: float):
+    """The rarest keys of each item, how many of them a document must hold, and within how many words.
 
-    An alignment of P words of a document with M matches scores 3 M - P at most,
-    so it needs M >= `low` to reach the threshold.  If all but c places of the
-    item hold seeds, low - c seeds at least are matched, and M is at most c more
-    than the seeds that lie in the P words.  Of the numbers of seeds for which
-    low - c > 0, that of the least expected work is taken.
+    If all but c places of the item hold seeds, `kept` - c seeds at least are
+    kept.  Of the numbers of seeds for which that is positive, the one of the
+    least expected work is taken.
     """
-    total = max(1, counts.get(None, 0))
-    need, room = block.need.copy(), block.room.copy()
-    keys, item = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for i in np.flatnonzero(~block.runs).tolist():
-        words, times = np.unique(block.words[i], return_counts=True)
-        n = np.array([counts.get(k, 0) for k in words.view(np.int64).tolist()], dtype=np.int64)
-        order = np.lexsort((words, n))
-        words, least = words[order], float(block.least[i])
-        others = len(block.words[i]) - np.cumsum(times[order])
-        low = max(1, int(np.ceil(least / MATCH - 1e-9)))
-        must = low - others
-        rate = np.cumsum(n[order]) / total
-        # Chernoff's bound of as many seeds again near a seed
-        near, more = rate * max(1.0, 3 * low - least), np.maximum(must - 1, 0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            tail = np.where(more > near, np.exp(np.minimum(0, more - near + more * np.log(near / np.maximum(more, 1)))), 1.0)
-        work = np.where(must > 0, rate * (1 + ALIGN_WORK * tail), np.inf)
-        k = int(work.argmin())
-        need[i], room[i] = must[k], 2 + 3 * others[k] - least + 1e-6
-        keys.append(words[: k + 1])
-        item.append(np.full(k + 1, i))
-    return replace(block, need=need, room=room, rare=_sorted(np.concatenate(keys), np.concatenate(item)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, np.ndarray, np.ndarray, int, int]] = []
+        for batch in batches:
+            for item, size, short, keys in zip(*(c.to_pylist() for c in batch.columns)):
+                key, times, n = np.array([[k["key"], k["times"], k["n"]] for k in keys], dtype=np.int64).T
+                order = np.lexsort((key, n))
+                key, times, n = key[order], times[order], n[order]
+                least = MATCH * threshold * size
+                span = int(3 * size - least) + 2
+                if short:
+                    # runs, of which two must be shared if there are more than one
+                    out.append((item, key, n, min(2, len(key)), 1 << 40))
+                    continue
+                must = np.maximum(least_kept(size, least), 1) - (times.sum() - np.cumsum(times))
+                rate = np.cumsum(n) / total
+                # Chernoff's bound of as many seeds again near a seed
+                near, more = rate * span, np.maximum(must - 1, 0)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    tail = np.where(more > near, np.exp(np.minimum(0, more - near + more * np.log(near / np.maximum(more, 1)))), 1.0)
+                k = int(np.where(must > 0, rate * (1 + ALIGN_WORK * tail), np.inf).argmin())
+                out.append((item, key[: k + 1], n[: k + 1], int(must[k]), span))
+            # seeds that no document holds count above, and need not be looked for
+            rows = [(item, k, c, need, span) for item, key, n, need, span in out for k, c in zip(key.tolist(), n.tolist()) if c]
+            out.clear()
+            columns = list(zip(*rows)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["item", "key", "n", "need", "span"])
+
+    return run
+
+
+def _hit_pass(bits: np.ndarray, hot: np.ndarray, size: int):
+    """Places of the documents' keys that may be seeds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in K.slices(batch, 2):
+                hashes, counts, *_ = _hashed(part.column(2))
+                keys, owner, place = _keys(hashes, counts, size, 2)
+                keys = keys.view(np.int64)
+                at = np.flatnonzero(K.falls_on(bits, keys))
+                keys, owner, place = keys[at], owner[at], (place - (np.cumsum(counts) - counts)[owner])[at]
+                digest = part.column(1).to_numpy(zero_copy_only=False)[owner]
+                salt = np.where(np.isin(keys, hot), digest & (SALTS - 1), 0)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array(digest), pa.array(keys), pa.array(salt), pa.array(place)], ["doc_id", "text_hash", "key", "salt", "place"])
+
+    return run
+
+
+def _near_pass():
+    """Of the places of an item's seeds in a document those that lie close enough to enough others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places, keep = [], []
+            for k, (need, span, at) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3, 6)))):
+                at = np.unique(np.array(at, dtype=np.int64))
+                n = len(at) - need + 1
+                first = np.flatnonzero(at[need - 1 :] - at[:n] <= span) if n > 0 else []
+                if len(first):
+                    inside = np.zeros(len(at) + 1, dtype=np.int64)
+                    np.add.at(inside, first, 1)
+                    np.add.at(inside, first + need, -1)
+                    places.append(at[np.cumsum(inside[:-1]) > 0].tolist())
+                    keep.append(k)
+            some = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array(places, pa.list_(pa.int64()))], ["item", "doc_id", "text_hash", "places"])
+
+    return run
 
 
 def align(passage: np.ndarray, item: np.ndarray) -> tuple[float, int, int]:
@@ -180,42 +221,6 @@ def align(passage: np.ndarray, item: np.ndarray) -> tuple[float, int, int]:
     return best, *span
 
 
-def _hits(keys: np.ndarray, owner: np.ndarray, at: np.ndarray, seeds: _Seeds, maybe: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Document, item and place of each seed that occurs; documents come together, about HITS seeds at once."""
-    hit = _found(keys, seeds, maybe)
-    low, high = np.searchsorted(seeds.keys, keys[hit], "left"), np.searchsorted(seeds.keys, keys[hit], "right")
-    done, ends = np.cumsum(high - low), np.searchsorted(owner[hit], owner[hit], "right")
-    a = 0
-    while a < len(hit):
-        b = int(ends[min(len(hit) - 1, np.searchsorted(done, (done[a - 1] if a else 0) + HITS))])
-        n = (high - low)[a:b]
-        place = np.repeat(hit[a:b], n)
-        seed = np.repeat(low[a:b] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        yield owner[place], seeds.item[seed], at[place]
-        a = b
-
-
-def _near(doc: np.ndarray, item: np.ndarray, at: np.ndarray, block: _Block) -> Iterator[tuple[int, int, int, np.ndarray]]:
-    """Pairs of document and item to be aligned: how many seeds they share, and the places about which a copy may lie."""
-    order = np.lexsort((at, item, doc))
-    doc, item, at = doc[order], item[order], at[order]
-    if not len(doc):
-        return
-    k = np.arange(len(doc))
-    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])])
-    group, first = np.cumsum(new) - 1, np.maximum.accumulate(np.where(new, k, 0))
-    sizes = np.bincount(group)
-    height = at - 3 * (k - first)
-    lift = group * (int(height.max()) - int(height.min()) + 1)
-    top = np.maximum.accumulate(height + lift) - lift
-    from_ = k - block.need[item] + 1
-    close = (from_ >= first) & (height - top[np.maximum(from_, 0)] <= block.room[item])
-    close = np.flatnonzero(np.where(block.runs[item], sizes[group] >= block.need[item], close))
-    edges = np.flatnonzero(np.diff(group[close], prepend=-1, append=-1)) if len(close) else []
-    for a, b in zip(edges[:-1], edges[1:]):
-        yield int(doc[close[a]]), int(item[close[a]]), int(sizes[group[close[a]]]), at[close[a:b]]
-
-
 def _windows(at: np.ndarray, reach: int, first: int, last: int) -> Iterator[tuple[int, int]]:
     """Passages between `first` and `last` that lie within reach of the places, run together where they meet."""
     for group in np.split(at, np.flatnonzero(np.diff(at) > 2 * reach) + 1):
@@ -228,52 +233,67 @@ def _bound(passage: np.ndarray, words: np.ndarray) -> float:
     return float((run - np.minimum.accumulate(run)).max())
 
 
-def _align_pass(block: _Block, size: int, threshold: float):
+def _align_pass(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maybe, maybe_gram = block.rare.maybe(), block.grams.maybe()
         for batch in batches:
             for part in K.slices(batch, 1):
                 hashes, counts, starts, ends, offsets = _hashed(part.column(1))
                 first = np.cumsum(counts) - counts
-                found = [_hits(hashes, np.repeat(np.arange(len(counts)), counts), np.arange(len(hashes)), block.rare, maybe)]
-                if len(block.grams.keys):
-                    found.append(_hits(*K.shingles(hashes, counts, size), block.grams, maybe_gram))
                 rows: list[tuple] = []
                 memory: dict[tuple[int, bytes], tuple[float, int, int]] = {}
-                for d, i, n, places in (x for hits in found for some in hits for x in _near(*some, block)):
-                    words, least = block.words[i], float(block.least[i])
-                    top = (0.0, 0, 0)
-                    # an alignment that reaches the threshold is no longer than this
-                    reach = int(3 * len(words) - least) + size + 1
-                    for begin, end in _windows(places, reach, int(first[d]), int(first[d] + counts[d])):
-                        passage = hashes[begin:end]
-                        key = (i, passage.tobytes())
-                        if key not in memory:
-                            memory[key] = align(passage, words) if _bound(passage, words) >= least - 1e-6 else (0.0, 0, 0)
-                        score, x, y = memory[key]
-                        if score > top[0]:
-                            top = (score, begin + x, begin + y)
-                    share = top[0] / (MATCH * len(words))
-                    if share >= threshold and top[2] > top[1]:
-                        rows.append((part.column(0)[d].as_py(), block.ids[i], share, n, int(starts[top[1]] - offsets[d]), int(ends[top[2] - 1] - offsets[d])))
-                columns = list(zip(*rows)) if rows else [[]] * 6
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "item_id", "score", "seeds", "begin", "end"])
+                for d, candidates in enumerate(part.column(2)):
+                    for c in candidates:
+                        item, words, places = c["item"].as_py(), np.asarray(c["words"].values).view(np.uint64), np.asarray(c["places"].values)
+                        least, top = MATCH * threshold * len(words), (0.0, 0, 0)
+                        # an alignment that reaches the threshold is no longer than this
+                        reach = int(3 * len(words) - least) + SIZE + 1
+                        for begin, end in _windows(places + first[d], reach, int(first[d]), int(first[d] + counts[d])):
+                            passage = hashes[begin:end]
+                            key = (item, passage.tobytes())
+                            if key not in memory:
+                                memory[key] = align(passage, words) if _bound(passage, words) >= least - 1e-6 else (0.0, 0, 0)
+                            score, x, y = memory[key]
+                            if score > top[0]:
+                                top = (score, begin + x, begin + y)
+                        share = top[0] / (MATCH * len(words))
+                        if share >= threshold and top[2] > top[1]:
+                            rows.append((part.column(0)[d].as_py(), c["item_id"].as_py(), share, len(places), int(starts[top[1]] - offsets[d]), int(ends[top[2] - 1] - offsets[d]), part.column(3)[d].as_py()))
+                columns = list(zip(*rows)) if rows else [[]] * 7
+                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "item_id", "score", "seeds", "begin", "end", "text_hash"])
 
     return run
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[Row]]:
-    block: list[Row] = []
-    words = 0
-    for row in benchmark.orderBy("item_id", "text").toLocalIterator():
-        block.append(row)
-        words += len(row["text"].split())
-        if len(block) >= BLOCK_ITEMS or words >= BLOCK_WORDS:
-            yield block
-            block, words = [], 0
-    if block:
-        yield block
+def _holdings(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_id_col: str, item_text_col: str, size: int, threshold: float) -> DataFrame:
+    """What contaminated() returns, and the hash of each row's text."""
+    docs = K.bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text <> ''")
+    docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    items = benchmark.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null and text <> ''").distinct()
+    items = K.saved(items.select(F.monotonically_increasing_id().alias("item"), "item_id", "text").mapInArrow(_item_pass(size, threshold), "item long, item_id long, words array<long>, short boolean, keys array<long>, times array<long>").where("size(keys) > 0"))
+    keys = items.select("item", F.posexplode("keys").alias("k", "key"), "times").select("item", "key", F.col("times")[F.col("k")].alias("times"))
+
+    counts = docs.select("text").mapInArrow(_count_pass(K.maybe(keys.select("key").distinct(), "key"), size), "key long, n long")
+    counts = K.saved(counts.groupBy("key").agg(F.sum("n").alias("n")))
+    total = max(1, counts.where("key is null").agg(F.sum("n")).first()[0] or 0)
+    counted = keys.join(counts, "key", "left").groupBy("item").agg(F.collect_list(F.struct("key", "times", F.coalesce("n", F.lit(0)).alias("n"))).alias("keys"))
+    seeds = items.select("item", F.size("words").alias("n"), "short").join(counted, "item").select("item", "n", "short", "keys")
+    seeds = K.saved(seeds.mapInArrow(_seed_pass(total, threshold), "item long, key long, n long, need long, span long"))
+
+    # a key that has 1 of HOT_WORDS words: at most 3 * HOT_WORDS of them, as a word begins three keys
+    hot = np.array([r["key"] for r in seeds.where(F.col("n") * HOT_WORDS > total).select("key").distinct().collect()], dtype=np.int64)
+    hits = docs.mapInArrow(_hit_pass(K.maybe(seeds.select("key").distinct(), "key", room=128), hot, size), "doc_id long, text_hash long, key long, salt long, place long")
+    salts = F.when(F.col("n") * HOT_WORDS > total, F.expr(f"sequence(0L, {SALTS - 1}L)")).otherwise(F.expr("array(0L)"))
+    found = hits.join(seeds.select("item", "key", "need", "span", F.explode(salts).alias("salt")), ["key", "salt"])
+    found = found.groupBy("item", "doc_id", "text_hash").agg(F.first("need").alias("need"), F.first("span").alias("span"), F.collect_list("place").alias("places")).where("size(places) >= need")
+    near = K.saved(found.mapInArrow(_near_pass(), "item long, doc_id long, text_hash long, places array<long>"))
+
+    # an item that very many documents hold is joined in parts
+    parts = items.select("item", "item_id", "words", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")).alias("salt"))
+    candidates = near.withColumn("salt", F.col("text_hash").bitwiseAND(F.lit(SALTS - 1).cast("long"))).join(parts, ["item", "salt"]).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("item", "item_id", "words", "places")).alias("candidates"))
+    some = K.falling(docs, "text_hash", K.maybe(near.select("text_hash").distinct(), "text_hash", room=128))
+    some = some.join(candidates, ["doc_id", "text_hash"]).select("doc_id", "text", "candidates", "text_hash")
+    return some.mapInArrow(_align_pass(threshold), "doc_id long, item_id long, score double, seeds long, begin long, end long, text_hash long")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", size: int = SIZE, threshold: float = THRESHOLD) -> DataFrame:
@@ -282,36 +302,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Words are parted at white space, without the signs around them, in lower
     case.  score is the best alignment's share of a whole copy's (1: verbatim) and
     is at least `threshold`; begin and end are the byte positions of the aligned
-    passage, and seeds is how many of the item's seeds the document holds.  All
-    pairs that reach the threshold are found; but an item of which fewer than
-    four words reach it (under eight words at 0.5) must also share two runs of
-    `size` words with the document, or one if it has no more.  Documents or items that are null, empty or without words match
-    nothing; an item of fewer than `size` words matches a document that has just
-    these words.  Repeated document rows each give their rows; repeated items
-    give theirs once.  A row of either table without an id is not compared.
-    Other columns are not read.
+    passage, and seeds is how many places of the document with seeds of the item
+    led to it.  All pairs that reach the threshold are found; but an item of which
+    fewer than four words reach it (under eight words at 0.5) must also share two
+    runs of `size` words with the document, or one if it has no more.  Documents
+    or items that are null, empty or without words match nothing; an item of fewer
+    than `size` words matches a document that has just these words.  Repeated
+    document rows each give their rows; repeated items give theirs once.  A row of
+    either table without an id is not compared.  Other columns are not read.
     """
-    spark = docs.sparkSession
-    docs = K.bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text <> ''")
-    items = benchmark.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null and text <> ''").distinct()
-    kinds = "doc_id long, item_id long, score double, seeds long, begin long, end long"
-    out = None
-    for some in _blocks(items):
-        block = _block(some, size, threshold)
-        if not len(block.rare.keys) + len(block.grams.keys):
-            continue
-        if len(block.rare.keys):
-            counts = docs.select("text").mapInArrow(_count_pass(block.rare), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-            block = rarest(block, dict(zip(counts["key"].to_pylist(), counts["n"].to_pylist())))
-        found = docs.mapInArrow(_align_pass(block, size, threshold), kinds)
-        out = found if out is None else out.unionByName(found)
-    return spark.createDataFrame([], kinds) if out is None else out
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Rows of `docs` that hold no benchmark item; rows without an id stay."""
-    bad = contaminated(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias("marked_id"), F.lit(True).alias("goes"))
-    return K.without(docs, id_col, bad)
+    return K.written(lambda: _holdings(docs, benchmark, id_col, text_col, item_id_col, item_text_col, size, threshold).drop("text_hash"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", size: int = SIZE, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of `docs` that hold no benchmark item, whatever their other columns' names.
+
+    Rows without an id stay, as do null and empty texts; repeated rows stay or go
+    together, and a row of another text under the same id is judged by its own.
+    """
+    bad = K.written(lambda: _holdings(docs, benchmark, id_col, text_col, item_id_col, item_text_col, size, threshold).select("doc_id", "text_hash").distinct())
+    return K.without(docs, id_col, bad.select(F.col("doc_id").alias("marked_id"), F.col("text_hash").alias("marked_text"), F.lit(True).alias("goes")), text_col)
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:

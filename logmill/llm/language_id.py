@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkernel as K
 from . import wordmodel as M
@@ -233,17 +234,18 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def in_a_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 0) -> DataFrame:
     """Rows of `docs` whose text is in a language; a null language becomes the predicted one.
 
-    A null text and one without letters go.  Where no language can be learned,
-    all other rows stay, and a null language stays null.
+    A null or empty text and one without letters go.  Where no language can be
+    learned, all other rows stay, and a null language stays null.  Rows without an
+    id and repeated rows are rows as others are; other columns pass, whatever
+    their names.
     """
     columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
     model = _learned(docs.select(*columns, F.col(lang_col).cast("string").alias("lang")), seed)
-    carried, names = K.plain_names(docs)
-    kinds = "doc_id long, lang_pred string, score double, n_words long, " + ", ".join(f"__{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(names))
-    out = K.bounded(docs).select(*columns, *carried).mapInArrow(_predict_pass(model, False), kinds)
+    passed, fields, own = K.carried(docs)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_words", T.LongType()), *fields])
+    out = K.bounded(docs).select(*columns, *passed).mapInArrow(_predict_pass(model, False), schema)
     # with nothing learned each text is `und`, but only those without letters have score 0
     out = out.where(F.col("score") > 0 if model.languages == [NO_LANGUAGE] else F.col("lang_pred") != NO_LANGUAGE)
-    own = {c: F.col(f"__{k}") for k, c in enumerate(names)}
     own[lang_col] = F.coalesce(own[lang_col], F.nullif(F.col("lang_pred"), F.lit(NO_LANGUAGE)).cast(docs.schema[lang_col].dataType))
     return out.select(*(own[c].alias(c) for c in docs.columns))
 

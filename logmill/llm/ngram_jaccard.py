@@ -140,8 +140,8 @@ def _sign_pass(size: int, percent: int, order):
                 odd = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
                 first = value[place < keep[owner]].view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(_digests(value, sizes), pa.binary()), pa.array(sizes), K.lists(pa.array(odd), slots // 64), K.lists(pa.array(first), keep)],
-                    ["doc_id", "digest", "n", "odd", "prefix"],
+                    [part.column(0), part.column(2), pa.array(_digests(value, sizes), pa.binary()), pa.array(sizes), K.lists(pa.array(odd), slots // 64), K.lists(pa.array(first), keep)],
+                    ["doc_id", "text_hash", "digest", "n", "odd", "prefix"],
                 )
 
     return run
@@ -262,9 +262,16 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gives a row without a component.  Other columns are not read.  Sets compare
     by 64-bit hashes of their shingles.
     """
-    docs = K.bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return K.written(lambda: _components_of_rows(docs, id_col, text_col, size, percent).select("doc_id", "n_shingles", "component_id"))
+
+
+def _components_of_rows(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """What jaccard_join() returns, a hash of each row's text, and a number for its component."""
+    if not 50 <= percent <= 100:
+        raise ValueError("the filters hold for 50 to 100 percent")
+    docs = K.bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     order = rarity(docs, "text", size)
-    signed = K.saved(docs.mapInArrow(_sign_pass(size, percent, order), "doc_id long, digest binary, n long, odd array<long>, prefix array<long>"))
+    signed = K.saved(docs.mapInArrow(_sign_pass(size, percent, order), "doc_id long, text_hash long, digest binary, n long, odd array<long>, prefix array<long>"))
     classes = signed.where("doc_id is not null and n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "odd", "prefix")))
     classes = K.saved(classes.select(F.monotonically_increasing_id().alias("cid"), "*"))
     job = _Join(docs, size, percent, order, classes)
@@ -297,17 +304,31 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             roots = K.saved(components(links.unionByName(more)))
     named = classes.select("cid", "digest", "doc_id").join(roots.withColumnRenamed("id", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = K.saved(named.join(least, "root").select("digest", "component_id"))
+    named = K.saved(named.join(least, "root").select("digest", "component_id", "root"))
     K.dropped(roots, classes, *job.temporary)
-    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(named, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
+    out = signed.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "digest").join(named, "digest", "left")
+    return out.select("doc_id", "text_hash", "root", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of `docs` whose id is the smallest of its component; one row of repeated ones; rows without an id stay."""
-    found = jaccard_join(docs, id_col, text_col, size, percent).where("doc_id is not null").groupBy("doc_id")
-    found = K.saved(found.agg(F.count("*").alias("n"), F.min(F.col("doc_id") == F.col("component_id")).alias("first")))
-    return K.without(docs, id_col, found.where("n > 1 or not first").select(F.col("doc_id").alias("marked_id"), (~F.col("first")).alias("goes")))
+    """Rows of `docs` whose id is the smallest of their component.
+
+    Of repeated rows one stays, as does one of several near copies under one id;
+    rows that share an id but are no near copies stay.  A row without shingles is
+    alone with its id; rows without an id stay.  Other columns pass, whatever
+    their names.
+    """
+    def make() -> DataFrame:
+        rows = _components_of_rows(docs, id_col, text_col, size, percent).where("doc_id is not null").groupBy("doc_id", "text_hash")
+        return rows.agg(F.count("*").alias("n"), F.min(F.col("doc_id") == F.col("component_id")).alias("first"), F.max("root").alias("root"))
+
+    rows = K.written(make)
+    marked = rows.where("n > 1 or not first").select("doc_id", "text_hash", (~F.col("first")).alias("goes"))
+    # of several texts of a component that are under its smallest id, that of the smallest hash stays
+    firsts = rows.where("first and root is not null")
+    rivals = firsts.groupBy("doc_id", "root").agg(F.min("text_hash").alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
+    rivals = firsts.join(rivals, ["doc_id", "root"]).where("text_hash <> kept").select("doc_id", "text_hash", F.lit(True).alias("goes"))
+    return K.without(docs, id_col, marked.unionByName(rivals).withColumnsRenamed({"doc_id": "marked_id", "text_hash": "marked_text"}), text_col)
 
 
 def op1_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

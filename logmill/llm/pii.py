@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkernel as K
 
@@ -371,12 +372,18 @@ def pseudonymised(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
 
 
 def without_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with their texts replaced as by pseudonymised(), all other columns as they are."""
+    """docs with their texts replaced as by pseudonymised(), all other columns as they are, whatever their names.
+
+    Null and empty texts stay; rows without an id and repeated rows are treated as
+    others are.  The published example key is refused.
+    """
+    if key == EXAMPLE_KEY:
+        raise ValueError("the example key is published: whoever has it can undo the pseudonyms")
     columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
-    carried, names = K.plain_names(docs, text_col)
-    kinds = "doc_id long, text string, kinds array<string>, " + ", ".join(f"__{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(names))
-    out = K.bounded(docs).select(*columns, *carried).mapInArrow(_pass(key), kinds)
-    own = {c: F.col(f"__{k}") for k, c in enumerate(names)} | {text_col: F.col("text")}
+    passed, fields, own = K.carried(docs, text_col)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("kinds", T.ArrayType(T.StringType())), *fields])
+    out = K.bounded(docs).select(*columns, *passed).mapInArrow(_pass(key), schema)
+    own[text_col] = F.col("text")
     return out.select(*(own[c].alias(c) for c in docs.columns))
 
 

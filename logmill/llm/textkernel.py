@@ -5,12 +5,13 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Space and the control characters TAB to CR part words.
 SEPARATOR = np.zeros(256, dtype=bool)
@@ -24,6 +25,7 @@ BATCH_BYTES = 4 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 _LIBC = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
 _OWN: dict[str, str] = {}
+_LIVE: dict[str, DataFrame] = {}
 _ODD = 0x9E3779B97F4A7C15
 _SEGMENT = 1 << 18
 
@@ -176,10 +178,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a table in the folder that spark.checkpoint.dir names; where none is set, in one of this session's own."""
+    """Cuts the lineage with a table in the folder that spark.checkpoint.dir names; where none is set and all runs on one machine, in one of this session's own."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if "folder" not in _OWN:
             _OWN["folder"] = tempfile.mkdtemp(prefix="tables-")
         folder = _OWN["folder"]
@@ -189,44 +193,94 @@ def saved(df: DataFrame) -> DataFrame:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
+    _LIVE[path] = out
     return out
 
 
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables that saved() wrote and nothing reads any more."""
     for df in tables:
-        if path := getattr(df, "_saved_at", None):
+        if _LIVE.pop(path := getattr(df, "_saved_at", None), None):
             spark = df.sparkSession
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def slot(ids: np.ndarray, n: int) -> np.ndarray:
+def written(make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that make() returns, saved; those that were saved on the way to it are deleted."""
+    before = set(_LIVE)
+    try:
+        out = saved(make())
+        before.add(out._saved_at)
+    finally:
+        dropped(*(df for path, df in list(_LIVE.items()) if path not in before))
+    return out
+
+
+# The primes of the 64-bit hash xxHash, and the seed that Spark gives it.
+_PRIMES = [np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
+_XX_SEED = np.uint64(42)
+
+
+def xxhash64(ids: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of whole numbers."""
+    one, two, three, four, five = _PRIMES
+
+    def turned(x: np.ndarray, n: int) -> np.ndarray:
+        return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
     with np.errstate(over="ignore"):
-        return (mix(ids.astype(np.int64).view(np.uint64) + np.uint64(1)) & np.uint64(n - 1)).astype(np.int64)
+        x = (_XX_SEED + five + np.uint64(8)) ^ turned(ids.astype(np.int64).view(np.uint64) * two, 31) * one
+        x = turned(x, 27) * one + four
+        x = (x ^ (x >> np.uint64(33))) * two
+        x = (x ^ (x >> np.uint64(29))) * three
+        return x ^ (x >> np.uint64(32))
 
 
-def maybe(ids: DataFrame, column: str) -> np.ndarray:
-    """Bits, set where an id falls: a one-hash Bloom filter of at most 2**25 slots (4 MB), whatever the number of ids."""
-    slots = 1 << max(16, min(25, (ids.count() * 32).bit_length()))
+#: Most bits of the tables of maybe(): 16 MB.
+MOST_BITS = 1 << 27
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(slots, dtype=bool)
-        for batch in batches:
-            table[slot(batch.column(0).to_numpy(zero_copy_only=False), slots)] = True
-        if table.any():
-            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(table).tobytes()], pa.binary())], ["bits"])
 
-    out = np.zeros(slots // 8, dtype=np.uint8)
-    for row in ids.select(column).coalesce(16).mapInArrow(run, "bits binary").toLocalIterator():
-        out |= np.frombuffer(row["bits"], dtype=np.uint8)
+def maybe(ids: DataFrame, column: str, room: int = 32) -> np.ndarray:
+    """64-bit words of bits, set where an id falls: a one-hash Bloom filter of `room` bits or more an id, but MOST_BITS at most.
+
+    The bits of each word are brought together before and after a shuffle by
+    word, so no task and no machine sees more than MOST_BITS.  With more ids than
+    half of that, all bits are set, and everything falls on one.
+    """
+    n = ids.count()
+    if 2 * n > MOST_BITS:
+        return np.full(1, -1, dtype=np.int64)
+    words = max(1 << 10, min(MOST_BITS, 1 << (n * room).bit_length()) // 64)
+    at = F.xxhash64(F.col(column).cast("long")).bitwiseAND(F.lit(64 * words - 1))
+    bits = ids.select(F.shiftright(at, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    got = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(words, dtype=np.int64)
+    out[got["word"].to_numpy()] = got["bits"].to_numpy()
     return out
 
 
 def falls_on(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Whether each id falls on a set bit."""
-    at = slot(ids, len(bits) * 8)
-    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+    at = xxhash64(ids) & np.uint64(64 * len(bits) - 1)
+    return (bits.view(np.uint64)[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def own(df: DataFrame) -> list[Column]:
+    """The columns of df, whatever signs their names hold."""
+    return [F.col(quoted(c)) for c in df.columns]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def falling(df: DataFrame, id_col: str, bits: np.ndarray, hit: bool = True) -> DataFrame:
@@ -236,28 +290,38 @@ def falling(df: DataFrame, id_col: str, bits: np.ndarray, hit: bool = True) -> D
         for batch in batches:
             ids = batch.column(batch.num_columns - 1)
             falls = falls_on(bits, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(falls == hit)).select(batch.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(falls == hit)).columns[:-1], batch.schema.names[:-1])
 
-    return bounded(df).withColumn("__id", F.col(id_col).cast("long")).mapInArrow(run, df.schema)
+    columns, fields, own = carried(df)
+    out = bounded(df).select(*columns, F.col(quoted(id_col)).cast("long").alias("id")).mapInArrow(run, T.StructType(fields))
+    return out.select(*(own[c].alias(c) for c in df.columns))
 
 
-def without(docs: DataFrame, id_col: str, marked: DataFrame) -> DataFrame:
-    """docs without the rows that `marked` (marked_id, goes) says go; of the other marked ids one row stays.
+def without(docs: DataFrame, id_col: str, marked: DataFrame, text_col: str | None = None) -> DataFrame:
+    """docs without the rows that `marked` (marked_id, goes) says go; of the other marked rows one stays.
 
-    Only rows whose id falls on a marked one's slot are shuffled; all others
-    pass straight on.  Rows without an id pass.
+    With text_col, rows are marked by their id and the xxhash64 of their text
+    (marked_text).  Only rows whose id falls on a marked one's slot are shuffled;
+    all others pass straight on.  Rows without an id pass.
     """
-    marked = saved(marked.groupBy("marked_id").agg(F.max("goes").alias("goes")))
-    bits = maybe(marked, "marked_id")
+    key, digest, goes = (fresh(name, docs) for name in ("marked_id", "marked_text", "goes"))
+    keys = [key, digest] if text_col else [key]
+    marked = marked.withColumnsRenamed({"marked_id": key, "marked_text": digest, "goes": goes})
+    marked = saved(marked.groupBy(*keys).agg(F.max(goes).alias(goes)))
+    bits = maybe(marked, key)
     straight = falling(docs, id_col, bits, hit=False)
     falls = falling(docs, id_col, bits)
-    falls = falls.join(marked, falls[id_col].cast("long") == marked["marked_id"], "left").where(~F.coalesce("goes", F.lit(False)))
-    alone = falls.where("marked_id is null").select(*docs.columns)
-    once = falls.where("marked_id is not null").dropDuplicates(["marked_id"]).select(*docs.columns)
+    same = falls[quoted(id_col)].cast("long") == marked[key]
+    if text_col:
+        same &= F.xxhash64(falls[quoted(text_col)].cast("string")) == marked[digest]
+    falls = falls.join(marked, same, "left").where(~F.coalesce(F.col(goes), F.lit(False)))
+    alone = falls.where(F.col(key).isNull()).select(*own(docs))
+    once = falls.where(F.col(key).isNotNull()).dropDuplicates(keys).select(*own(docs))
     return straight.unionByName(alone).unionByName(once)
 
 
-def plain_names(docs: DataFrame, *used: str) -> tuple[list[Column], list[str]]:
-    """The columns that an operator carries along, under names that cannot clash, and their own names."""
+def carried(docs: DataFrame, *used: str) -> tuple[list[Column], list[T.StructField], dict[str, Column]]:
+    """The columns that an operator passes through Python, under names that cannot clash; their fields; and each by its own name."""
     rest = [c for c in docs.columns if c not in used]
-    return [F.col(f"`{c}`").alias(f"__{k}") for k, c in enumerate(rest)], rest
+    columns = [F.col(quoted(c)).alias(f"__{k}") for k, c in enumerate(rest)]
+    return columns, [T.StructField(f"__{k}", docs.schema[c].dataType) for k, c in enumerate(rest)], {c: F.col(f"__{k}") for k, c in enumerate(rest)}

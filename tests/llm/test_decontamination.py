@@ -25,6 +25,21 @@ def test_alignment():
             assert plain(p[begin:end], q) == score
 
 
+def test_least_kept_against_all_alignments():
+    """Of a short item, every document over its words and one other that can reach the threshold keeps that many pairs."""
+    for n, threshold in ((5, 0.5), (6, 0.5), (5, 0.7)):
+        kept = decontamination.least_kept(n, 2 * n * threshold)
+        item = list(range(n))
+        r = random.Random(n)
+        for _ in range(4000):
+            doc = []
+            for w in item:
+                doc += [[w], [], [99], [w, 99], [w, 99, 99]][r.choices(range(5), [5, 1, 1, 3, 1])[0]]
+            if align(np.array(doc, dtype=np.int64), np.array(item))[0] >= 2 * n * threshold if doc else False:
+                pairs = sum(any(doc[k] == a and b in doc[k + 1 : k + 3] for k in range(len(doc))) for a, b in zip(item, item[1:]))
+                assert pairs >= kept
+
+
 def corpus(seed):
     r = random.Random(seed)
     word = lambda: f"w{int(r.expovariate(0.01))}"
@@ -46,9 +61,10 @@ def corpus(seed):
     return items, rows, want
 
 
-@pytest.mark.parametrize("block", [20_000, 7])
-def test_edited_copies(spark, monkeypatch, block):
-    monkeypatch.setattr(decontamination, "BLOCK_ITEMS", block)
+@pytest.mark.parametrize("hot", [10_000, 1 << 40])
+def test_edited_copies(spark, monkeypatch, hot):
+    """With the second value every seed is joined in parts."""
+    monkeypatch.setattr(decontamination, "HOT_WORDS", hot)
     items, rows, want = corpus(5)
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS item_id", "1 AS score")
     bench = spark.createDataFrame(items, "item_id long, text string")

@@ -9,6 +9,8 @@ data become pseudonyms; what is left is tokenised and packed.
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 
 from logmill.llm import textkernel
@@ -16,7 +18,12 @@ from logmill.llm.decontamination import clean
 from logmill.llm.language_id import in_a_language
 from logmill.llm.ngram_jaccard import first_of_each
 from logmill.llm.packing import default_vocabulary, pack
-from logmill.llm.pii import EXAMPLE_KEY, without_pii
+from logmill.llm.pii import without_pii
+
+
+#: Setting of the session that holds the key of the pseudonyms; with the same key, equal values are linked across runs too.
+PII_KEY = "spark.corpus.pii.key"
+_DRAWN = secrets.token_bytes(32)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +42,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with pseudonyms for personal data."""
-    return without_pii(docs, EXAMPLE_KEY)
+    """Documents with pseudonyms for personal data, by the key in PII_KEY; where none is set, by one drawn for this session."""
+    return without_pii(docs, spark.conf.get(PII_KEY, "").encode() or _DRAWN)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +58,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pieces that the last stage makes of the table documents."""
+    """The pieces that the last stage makes of the table documents; a stage's own tables are deleted after it, and its result after the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = textkernel.saved(stage(spark, docs, sf_dir))
+        docs, before = textkernel.written(lambda: stage(spark, docs, sf_dir)), docs
+        textkernel.dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -32,6 +32,8 @@ WORD_BUCKETS = 1 << 17
 FREQUENT = 1 << 18
 #: Members of a prefix token up to which all pairs are candidates at once.
 SMALL = 8
+#: Members of a token that meet in one block: those outside its leader's component, and all.
+MEET, MEET_ALL = 2_000, 50_000
 _FLUSH = 4_000_000
 
 
@@ -218,6 +220,12 @@ def _folded(own: str, other: str) -> Column:
     return F.when(F.size(own) > m, halves).otherwise(F.col(own))
 
 
+def _near_slots(percent: int) -> Column:
+    """Suffix filter: hash slots with an odd count in one set and an even one in the other hold a shingle that only one has."""
+    apart = F.aggregate(F.zip_with(_folded("odd_a", "odd_b"), _folded("odd_b", "odd_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n)
+    return apart <= F.col("n_a") + F.col("n_b") - 2 * _least_overlap(F.col("n_a"), F.col("n_b"), percent)
+
+
 class _Join:
     def __init__(self, docs: DataFrame, size: int, percent: int, order, classes: DataFrame) -> None:
         self.docs, self.size, self.percent, self.order, self.classes = docs, size, percent, order, classes
@@ -233,10 +241,7 @@ class _Join:
         side = self.keep(K.falling(self.classes.select("cid", "doc_id", "digest", "n", "odd"), "cid", K.maybe(some, "cid")))
         for end in "ab":
             pairs = pairs.join(side.select(*(F.col(c).alias(end if c == "cid" else f"{c}_{end}") for c in side.columns)), end)
-        # suffix filter: hash slots with an odd count in one set and an even one in the other hold a shingle that only one has
-        apart = F.aggregate(F.zip_with(_folded("odd_a", "odd_b"), _folded("odd_b", "odd_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n)
-        most = F.col("n_a") + F.col("n_b") - 2 * _least_overlap(F.col("n_a"), F.col("n_b"), self.percent)
-        pairs = self.keep(pairs.where(apart <= most).select("a", "b", "n_a", "n_b", "digest_a", "digest_b", "doc_id_a", "doc_id_b"))
+        pairs = self.keep(pairs.where(_near_slots(self.percent)).select("a", "b", "n_a", "n_b", "digest_a", "digest_b", "doc_id_a", "doc_id_b"))
         if pairs.isEmpty():
             return pairs.select("a", "b")
         ends = [pairs.select(F.col(f"doc_id_{e}").alias("doc_id")) for e in "ab"]
@@ -250,6 +255,26 @@ class _Join:
         return found.where(common * 100 >= (F.col("n_a") + F.col("n_b") - common) * self.percent).select("a", "b").distinct()
 
 
+    def met(self, rooted: DataFrame) -> DataFrame:
+        """Pairs (a, b) of members of a token that are in different components, one of them outside its leader's, and that pass the filters.
+
+        A token's members meet in blocks of at most about MEET of those outside and
+        MEET_ALL of all, so no task has a token's all pairs; lengths and odd slots
+        are compared as they meet, so only pairs that may link come out.
+        """
+        sizes = rooted.groupBy("token").agg(F.count_if("outside").alias("out"), F.count("*").alias("all")).where("out > 0")
+        sizes = self.keep(sizes.select("token", F.ceil(F.col("out") / MEET).alias("turns"), F.ceil(F.col("all") / MEET_ALL).alias("blocks")))
+        members = rooted.join(sizes, "token").join(self.classes.select("cid", "odd"), "cid")
+        one = members.where("outside").withColumn("turn", F.pmod(F.xxhash64("cid"), F.col("turns"))).withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)")))
+        other = members.withColumn("block", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("blocks"))).withColumn("turn", F.explode(F.expr("sequence(0L, turns - 1)")))
+        columns = ["cid", "n", "place", "root", "odd", "outside"]
+        by = ["token", "turn", "block"]
+        both = one.select(*by, *(F.col(c).alias(f"{c}_a") for c in columns)).join(other.select(*by, *(F.col(c).alias(f"{c}_b") for c in columns)), by)
+        both = both.where((F.col("root_a") != F.col("root_b")) & (~F.col("outside_b") | (F.col("cid_a") < F.col("cid_b"))))
+        both = both.where(_may_link(F.col("n_a"), F.col("place_a"), F.col("n_b"), F.col("place_b"), self.percent)).where(_near_slots(self.percent))
+        return both.select(F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b")).distinct()
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id.
 
@@ -292,11 +317,8 @@ def _components_of_rows(docs: DataFrame, id_col: str, text_col: str, size: int,
 
     rooted = many.join(roots.withColumnRenamed("id", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     at = leader.select("token", F.col("lead.cid").alias("cid")).join(roots.withColumnRenamed("id", "cid"), "cid", "left").select("token", F.coalesce("root", "cid").alias("lead_root"))
-    rooted = job.keep(rooted.join(at, "token"))
-    outside = rooted.where("root <> lead_root").select("token", F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"), F.col("root").alias("rx"))
-    meet = outside.join(rooted, (outside["token"] == rooted["token"]) & (F.col("rx") != F.col("root")) & _may_link(F.col("nx"), F.col("px"), F.col("n"), F.col("place"), percent))
-    rest = meet.select(F.least("x", "cid").alias("a"), F.greatest("x", "cid").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    rest = job.keep(rest)
+    rooted = job.keep(rooted.join(at, "token").select("token", "cid", "n", "place", "root", (F.col("root") != F.col("lead_root")).alias("outside")))
+    rest = job.keep(job.met(rooted).join(pairs, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         more = job.keep(job.verified(rest))
         if not more.isEmpty():

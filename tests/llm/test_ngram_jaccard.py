@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from logmill.llm import ngram_jaccard
 from logmill.llm.ngram_jaccard import first_of_each, jaccard_join
 
 A_Z = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -52,6 +53,21 @@ def test_brute_force(spark, size, percent, seed):
     assert sorted(map(tuple, got.collect())) == brute(rows, size, percent)
 
 
+@pytest.mark.parametrize(("meet", "meet_all"), [(2_000, 50_000), (7, 11)])
+def test_frequent_tokens_without_links(spark, monkeypatch, meet, meet_all):
+    """Tokens in the prefix of many sets of which few link; the small blocks split each of them."""
+    monkeypatch.setattr(ngram_jaccard, "MEET", meet)
+    monkeypatch.setattr(ngram_jaccard, "MEET_ALL", meet_all)
+    r = random.Random(8)
+    common = [f"c{k}" for k in range(24)]
+    rows = [(k, " ".join(r.sample(common, 9) + ["hot"] * (k % 3 == 0))) for k in range(400)]
+    got = sorted(map(tuple, jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), size=1, percent=75).collect()))
+    assert got == brute(rows, 1, 75)
+    assert 50 < len({c for *_, c in got}) < 390
+    with pytest.raises(ValueError, match="50"):
+        jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), percent=40)
+
+
 def test_edges(spark):
     long = " ".join(f"x{k}" for k in range(30000))
     rows = [(5, None, "a"), (6, "", "a"), (7, " \n\t", "a"), (8, "one two", "a"), (3, "One  two", "a"), (3, "One  two", "a"), (None, "one two", "a"), (9, long, None), (4, long + " y", "b")]

@@ -32,8 +32,8 @@ WORD_BUCKETS = 1 << 17
 FREQUENT = 1 << 18
 #: Members of a prefix token up to which all pairs are candidates at once.
 SMALL = 8
-#: Members of a token that meet in one block: those outside its leader's component, and all.
-MEET, MEET_ALL = 2_000, 50_000
+#: Most pairs of a token that are made at once, and members that meet in one block otherwise: those outside its leader's component, and all.
+PAIRS, MEET, MEET_ALL = 1 << 16, 2_000, 50_000
 _FLUSH = 4_000_000
 
 
@@ -258,20 +258,32 @@ class _Join:
     def met(self, rooted: DataFrame) -> DataFrame:
         """Pairs (a, b) of members of a token that are in different components, one of them outside its leader's, and that pass the filters.
 
-        A token's members meet in blocks of at most about MEET of those outside and
-        MEET_ALL of all, so no task has a token's all pairs; lengths and odd slots
-        are compared as they meet, so only pairs that may link come out.
+        Where these are up to PAIRS, they come out if their lengths and places
+        allow a link.  Members of other tokens meet in blocks of at most about MEET
+        of those outside and MEET_ALL of all, so no task has a token's all pairs, and
+        their odd slots are compared as they meet, so few pairs come out.
         """
         sizes = rooted.groupBy("token").agg(F.count_if("outside").alias("out"), F.count("*").alias("all")).where("out > 0")
-        sizes = self.keep(sizes.select("token", F.ceil(F.col("out") / MEET).alias("turns"), F.ceil(F.col("all") / MEET_ALL).alias("blocks")))
-        members = rooted.join(sizes, "token").join(self.classes.select("cid", "odd"), "cid")
+        sizes = self.keep(sizes.select("token", (F.col("out") * F.col("all") > PAIRS).alias("large"), F.ceil(F.col("out") / MEET).alias("turns"), F.ceil(F.col("all") / MEET_ALL).alias("blocks")))
+        members = self.keep(rooted.join(sizes, "token"))
+        few = self._met(members.where("not large"), ["token"])
+        members = members.where("large")
+        if members.isEmpty():
+            return few
+        members = members.join(K.falling(self.classes.select("cid", "odd"), "cid", K.maybe(members.select("cid").distinct(), "cid")), "cid")
         one = members.where("outside").withColumn("turn", F.pmod(F.xxhash64("cid"), F.col("turns"))).withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)")))
         other = members.withColumn("block", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("blocks"))).withColumn("turn", F.explode(F.expr("sequence(0L, turns - 1)")))
-        columns = ["cid", "n", "place", "root", "odd", "outside"]
-        by = ["token", "turn", "block"]
-        both = one.select(*by, *(F.col(c).alias(f"{c}_a") for c in columns)).join(other.select(*by, *(F.col(c).alias(f"{c}_b") for c in columns)), by)
+        return few.unionByName(self._met(one, ["token", "turn", "block"], other)).distinct()
+
+    def _met(self, one: DataFrame, by: list[str], other: DataFrame | None = None) -> DataFrame:
+        columns = ["cid", "n", "place", "root", "outside", *(["odd"] if other is not None else [])]
+        other = one if other is None else other
+        one = one.where("outside").select(*by, *(F.col(c).alias(f"{c}_a") for c in columns))
+        both = one.join(other.select(*by, *(F.col(c).alias(f"{c}_b") for c in columns)), by)
         both = both.where((F.col("root_a") != F.col("root_b")) & (~F.col("outside_b") | (F.col("cid_a") < F.col("cid_b"))))
-        both = both.where(_may_link(F.col("n_a"), F.col("place_a"), F.col("n_b"), F.col("place_b"), self.percent)).where(_near_slots(self.percent))
+        both = both.where(_may_link(F.col("n_a"), F.col("place_a"), F.col("n_b"), F.col("place_b"), self.percent))
+        if "odd" in columns:
+            both = both.where(_near_slots(self.percent))
         return both.select(F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b")).distinct()
 
 

@@ -53,17 +53,18 @@ def test_brute_force(spark, size, percent, seed):
     assert sorted(map(tuple, got.collect())) == brute(rows, size, percent)
 
 
-@pytest.mark.parametrize(("meet", "meet_all"), [(2_000, 50_000), (7, 11)])
-def test_frequent_tokens_without_links(spark, monkeypatch, meet, meet_all):
+@pytest.mark.parametrize(("meet", "meet_all", "pairs"), [(2_000, 50_000, 1 << 16), (2_000, 50_000, 0), (7, 11, 100)])
+def test_frequent_tokens_without_links(spark, monkeypatch, meet, meet_all, pairs):
     """Tokens in the prefix of many sets of which few link; the small blocks split each of them."""
     monkeypatch.setattr(ngram_jaccard, "MEET", meet)
     monkeypatch.setattr(ngram_jaccard, "MEET_ALL", meet_all)
+    monkeypatch.setattr(ngram_jaccard, "PAIRS", pairs)
     r = random.Random(8)
     common = [f"c{k}" for k in range(24)]
     rows = [(k, " ".join(r.sample(common, 9) + ["hot"] * (k % 3 == 0))) for k in range(400)]
     got = sorted(map(tuple, jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), size=1, percent=75).collect()))
     assert got == brute(rows, 1, 75)
-    assert 50 < len({c for *_, c in got}) < 390
+    assert 50 < len({c for *_, c in got}) < 399
     with pytest.raises(ValueError, match="50"):
         jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), percent=40)
 

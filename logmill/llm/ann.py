@@ -5,9 +5,11 @@ about equal size.  A vector goes into the list of its nearest centroid, and near
 a boundary also into others about as near, unless a centroid that already has it
 lies between.  Centroids are searched through a neighbour graph in memory.  A
 query opens the lists whose centroids are nearly as near as the nearest; how
-nearly is learned from the sample's own neighbours, so that the recall holds
-whether the vectors are clustered or not.  Small lists that lie side by side are
-searched together, large ones in blocks, exactly and in double precision.
+nearly, and how near to a boundary copies are worth their place, is learned from
+the sample's own neighbours, so that the recall holds whether the vectors are
+clustered or not.  A query is compared with the entries of the lists it opens and
+no others, exactly and in double precision; small lists that lie side by side are
+searched by one task, large ones in blocks.
 
 Equal vectors are one entry with its smallest ids, as many as a result can hold;
 so copies in any number neither fill a list nor hide other neighbours.
@@ -27,14 +29,15 @@ from pyspark.sql.window import Window
 
 from . import textkernel as K
 
-#: Most vectors that the centroids are learned from, most lists, and vectors of a list where that allows it.
-SAMPLE, MOST_LISTS, LIST = 20_000, 8192, 256
-#: A vector enters at most so many lists, no farther than this ratio of the nearest centroid's distance, and none whose centroid lies within this share of its distance from one that has the vector.
-COPIES, BOUNDARY, APART = 2, 1.05, 0.4
+#: Most lists, vectors of a list where that allows it, and vectors that the centroids are learned from, at least and for each list.
+MOST_LISTS, LIST = 32_768, 64
+SAMPLE, SAMPLE_A_LIST = 20_000, 4
+#: A vector enters at most so many lists, no farther than a ratio of the nearest centroid's distance, one of these, and none whose centroid lies within this share of its distance from one that has the vector.
+COPIES, BOUNDARIES, APART = 2, (1.01, 1.03, 1.1), 0.4
 #: Share of sampled neighbours that the learned pruning ratio reaches, queries that it is learned from, and least entries of the lists that a query opens.
 REACH, TRIED, LEAST_ENTRIES = 0.95, 300, 400
 #: Most entries of a block and queries that meet them in a task.
-BLOCK = 4096
+BLOCK = 2048
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -142,13 +145,16 @@ class CentroidGraph:
         return np.take_along_axis(found, order, axis=1), np.sqrt(np.take_along_axis(far, order, axis=1))
 
 
-def postings(graph: CentroidGraph, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def postings(graph: CentroidGraph, boundary: float, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, list) of each entry: nearest centroid, and boundary copies."""
-    near, far = graph.search(x, 8)
-    taken = np.zeros((len(x), near.shape[1]), dtype=bool)
+    return _postings(graph, boundary, *graph.search(x, 8))
+
+
+def _postings(graph: CentroidGraph, boundary: float, near: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    taken = np.zeros(near.shape, dtype=bool)
     taken[:, 0] = True
     for j in range(1, near.shape[1]):
-        ok = (far[:, j] <= BOUNDARY * far[:, 0]) & (taken.sum(axis=1) < COPIES)
+        ok = (far[:, j] <= boundary * far[:, 0]) & (taken.sum(axis=1) < COPIES)
         for i in range(j):
             between = ((graph.points[near[:, i]] - graph.points[near[:, j]]) ** 2).sum(axis=1)
             ok &= ~(taken[:, i] & (between < (APART * far[:, j]) ** 2))
@@ -157,38 +163,57 @@ def postings(graph: CentroidGraph, x: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return rows, near[rows, column]
 
 
-def pruning(graph: CentroidGraph, x: np.ndarray, k: int) -> tuple[float, int]:
-    """The ratio of centroid distances, and most lists within it, that reach REACH of the k nearest of a sample's rows.
+def learned(graph: CentroidGraph, x: np.ndarray, k: int) -> tuple[float, float, int]:
+    """The boundary, the ratio of centroid distances, and most lists opened within it, that reach REACH of the k nearest of a sample's rows with the fewest entries compared.
 
     In the sample the k nearest lie farther off than among all rows, so the ratio errs to the safe side.
     """
+    x = x[:: -(-len(x) // SAMPLE)]
     tried = x[:: max(1, len(x) // TRIED)]
-    rows, lists = postings(graph, x)
-    order = np.argsort(rows, kind="stable")
-    first = np.searchsorted(rows[order], np.arange(len(x) + 1))
-    d = _distances(tried, x)
-    near = np.argpartition(d, min(k, len(x) - 1), axis=1)[:, : k + 1]
+    near = np.concatenate([np.argpartition(_distances(some, x), min(k, len(x) - 1), axis=1)[:, : k + 1] for some in np.array_split(tried, -(-len(tried) // 32))])
     far = np.sqrt(_distances(tried, graph.points))
     far /= np.maximum(far.min(axis=1), 1e-12)[:, None]
-    needed = [far[q, lists[order[first[j] : first[j + 1]]]].min() for q in range(len(tried)) for j in near[q]]
-    ratio = float(np.quantile(needed, REACH)) + 1e-9
-    return ratio, int((far <= ratio).sum(axis=1).max())
+    found = [graph.search(some, 8) for some in np.array_split(x, -(-len(x) // 500))]
+    rank = np.empty(far.shape, dtype=np.int64)
+    np.put_along_axis(rank, np.argsort(far, axis=1, kind="stable"), np.broadcast_to(np.arange(far.shape[1]), far.shape), axis=1)
+    best = None
+    for boundary in BOUNDARIES:
+        rows, lists = _postings(graph, boundary, np.concatenate([n for n, _ in found]), np.concatenate([d for _, d in found]))
+        order = np.argsort(rows, kind="stable")
+        first = np.searchsorted(rows[order], np.arange(len(x) + 1))
+        sizes = np.bincount(lists, minlength=len(graph.points))
+        held = [(q, lists[order[first[j] : first[j + 1]]]) for q in range(len(tried)) for j in near[q]]
+        needed = np.array([far[q, some].min() for q, some in held])
+        place = np.array([rank[q, some].min() for q, some in held])
+        for level in np.linspace(REACH, 1 - (1 - REACH) / 5, 9):
+            ratio = float(np.quantile(needed, level)) + 1e-9
+            places = np.sort(np.where(needed <= ratio, place, len(graph.points)))
+            most = min(len(graph.points), int(places[int(np.ceil(REACH * len(places))) - 1]) + 1)
+            work = float((((far <= ratio) & (rank < most)) * sizes).sum())
+            if best is None or work < best[0]:
+                best = work, boundary, ratio, most
+    return best[1:]
 
 
 def probes(graph: CentroidGraph, sizes: np.ndarray, ratio: float, most: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, list) of the lists that each query opens; if all that the search was asked for are within the ratio, it is asked for more."""
+    """(row, list) of the lists that each query opens: the `most` nearest within the ratio, and more where these hold too few entries."""
     beam = min(len(sizes), max(16, most))
     while True:
         near, far = graph.search(x, beam)
         before = np.cumsum(sizes[near], axis=1) - sizes[near]
-        keep = (far <= ratio * far[:, :1]) | (before < LEAST_ENTRIES)
-        if beam >= len(sizes) or not keep[:, -1].any():
+        few = before < LEAST_ENTRIES
+        if beam >= len(sizes) or not few[:, -1].any():
             break
         beam = min(len(sizes), 2 * beam)
-    rows, column = np.nonzero(keep)
+    rows, column = np.nonzero((far <= ratio * far[:, :1]) & (np.arange(beam) < most) | few)
     return rows, near[rows, column]
 
 
+def share_compared(graph: CentroidGraph, sizes: np.ndarray, ratio: float, most: int, x: np.ndarray, n: int) -> float:
+    """Entries that a query is compared with, against all n, over the queries x."""
+    return float(sizes[probes(graph, sizes, ratio, most, x)[1]].sum() / (len(x) * n))
+
+
 def bundled(sizes: np.ndarray) -> np.ndarray:
     """The bundle of each list: neighbours in the order of clustering, about BLOCK entries together."""
     out, bundle, held = np.zeros(len(sizes), dtype=np.int64), 0, 0
@@ -206,36 +231,66 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
 
 
-def _listed(run, graph: CentroidGraph, *more):
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _posted_pass(graph: CentroidGraph, boundary: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
-                rows, lists = run(graph, *more, _matrix(part.column(1)))
+                rows, lists = postings(graph, boundary, _matrix(part.column(1)))
                 yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), *(c.take(pa.array(rows)) for c in part.columns)], ["list", *part.schema.names])
 
-    return each
+    return run
+
+
+def _probe_pass(graph: CentroidGraph, sizes: np.ndarray, ratio: float, most: int, bundles: np.ndarray):
+    """A row for each query and bundle, with the lists of the bundle that the query opens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 500):
+                part = batch.slice(first, 500)
+                rows, lists = probes(graph, sizes, ratio, most, _matrix(part.column(1)))
+                order = np.lexsort((lists, bundles[lists], rows))
+                rows, lists = rows[order], lists[order]
+                new = np.ones(len(rows), dtype=bool)
+                new[1:] = (rows[1:] != rows[:-1]) | (bundles[lists[1:]] != bundles[lists[:-1]])
+                at = np.flatnonzero(new)
+                opened = K.lists(pa.array(lists.astype(np.int32)), np.diff(np.append(at, len(rows))))
+                yield pa.RecordBatch.from_arrays([pa.array(bundles[lists[at]].astype(np.int32)), opened, *(c.take(pa.array(rows[at])) for c in part.columns)], ["bundle", "lists", *part.schema.names])
+
+    return run
 
 
 def _nearest(k: int):
-    """Of a block's entries the k nearest to each query, with all that tie with the last but for rounding."""
+    """Of a block's entries the k nearest to each query among those of the lists it opens, with all that tie with the last but for rounding."""
 
     def run(queries: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
         out = {"query": [], "far": [], "ids": []}
         if len(queries) and len(entries):
-            x, ids = np.stack(entries["vector"].to_numpy()).astype(np.float64), entries["ids"].to_numpy()
+            # an entry may stand in several lists of the block
+            _, at, place = np.unique(entries["entry"].to_numpy(), return_index=True, return_inverse=True)
+            x, ids = np.stack(entries["vector"].to_numpy()[at]).astype(np.float64), entries["ids"].to_numpy()[at]
             least = np.array([i[0] for i in ids])
-            q = np.stack(queries["vector"].to_numpy()).astype(np.float64)
-            for first in range(0, len(q), 256):
-                part = q[first : first + 256]
-                d = _distances(part, x)
-                edge = np.partition(d, k - 1, axis=1)[:, k - 1] if len(x) > k else np.full(len(part), np.inf)
-                edge = edge * (1 + 1e-9) + 1e-9 * (part * part).sum(axis=1)
-                for n in range(len(part)):
-                    at = np.flatnonzero(d[n] <= edge[n])
-                    far = np.sqrt(((x[at] - part[n]) ** 2).sum(axis=1))
+            of = entries["list"].to_numpy()
+            members = {n: place[of == n] for n in np.unique(of).tolist()}
+            for first in range(0, len(queries), 256):
+                some = queries.iloc[first : first + 256]
+                q = np.stack(some["vector"].to_numpy()).astype(np.float64)
+                opens: dict[int, list[int]] = {}
+                for n, lists in enumerate(some["lists"]):
+                    for j in lists:
+                        opens.setdefault(int(j), []).append(n)
+                d = np.full((len(q), len(x)), np.inf)
+                for j, n in opens.items():
+                    if j in members:
+                        d[np.ix_(n, members[j])] = _distances(q[n], x[members[j]])
+                edge = np.partition(d, k - 1, axis=1)[:, k - 1] if len(x) > k else np.full(len(q), np.inf)
+                edge = edge * (1 + 1e-9) + 1e-9 * (q * q).sum(axis=1)
+                for n, query in enumerate(some["query"]):
+                    at = np.flatnonzero((d[n] <= edge[n]) & (d[n] < np.inf))
+                    far = np.sqrt(((x[at] - q[n]) ** 2).sum(axis=1))
                     by = np.lexsort((least[at], far))[:k]
-                    out["query"] += [int(queries["query"].iloc[first + n])] * len(by)
+                    out["query"] += [int(query)] * len(by)
                     out["far"] += far[by].tolist()
                     out["ids"] += [list(ids[j]) for j in at[by]]
         return pd.DataFrame({"query": pd.array(out["query"], dtype="int64"), "far": pd.array(out["far"], dtype="float64"), "ids": pd.Series(out["ids"], dtype="object")})
@@ -260,6 +315,10 @@ def search(vectors: DataFrame, is_query: Column | None = None, id_col: str = "ve
     columns are not read.
     """
     is_query = F.pmod(F.col("vec_id"), F.lit(100)) == 0 if is_query is None else is_query
+    return K.written(lambda: _found(vectors, is_query, id_col, vector_col, k, seed))
+
+
+def _found(vectors: DataFrame, is_query: Column, id_col: str, vector_col: str, k: int, seed: int) -> DataFrame:
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector")).where(F.col("vec_id").isNotNull() & _usable(F.col("vector")))
     schema = "query_id long, rank int, vec_id long, score double"
     spark = vectors.sparkSession
@@ -276,29 +335,31 @@ def search(vectors: DataFrame, is_query: Column | None = None, id_col: str = "ve
     asked = K.saved(queries.select("vector").distinct().select(F.monotonically_increasing_id().alias("query"), "vector"))
 
     n = entries.count()
-    sample = entries.where(F.pmod(F.xxhash64("vector"), F.lit(1_000_000)) < min(1_000_000, int(1e6 * SAMPLE / n) + 1)).select("entry", "vector").toArrow().sort_by("entry")
-    x = _matrix(sample["vector"]) if sample.num_rows else _matrix(entries.limit(1).select("vector").toArrow()["vector"])
     lists = min(MOST_LISTS, max(1, n // LIST))
+    wanted = max(SAMPLE, SAMPLE_A_LIST * lists)
+    sample = entries.where(F.pmod(F.xxhash64("vector"), F.lit(1 << 40)) < min(1 << 40, (1 << 40) * wanted // n)).select("entry", "vector").toArrow().sort_by("entry")
+    x = _matrix(sample["vector"]) if sample.num_rows else _matrix(entries.limit(1).select("vector").toArrow()["vector"])
     graph = CentroidGraph.of(balanced_centroids(x, max(1, -(-len(x) // lists)), seed), seed=seed)
-    ratio, most = pruning(graph, x, k)
+    boundary, ratio, most = learned(graph, x, k)
 
-    posted = K.saved(entries.select("entry", "vector", "ids").mapInArrow(_listed(postings, graph), "list int, entry long, vector array<double>, ids array<long>"))
+    posted = K.saved(entries.select("entry", "vector", "ids").mapInArrow(_posted_pass(graph, boundary), "list int, entry long, vector array<double>, ids array<long>"))
     sizes = np.zeros(len(graph.points), dtype=np.int64)
     for r in posted.groupBy("list").agg(F.count("*").alias("n")).collect():
         sizes[r["list"]] = r["n"]
     # neighbouring lists make a bundle of about a block of entries, so that a query gives one short result for each bundle
     bundles = bundled(sizes)
-    plan = F.broadcast(spark.createDataFrame([(k, int(g), max(1, -(-int(sizes[bundles == g].sum()) // BLOCK))) for k, g in enumerate(bundles)], "list int, bundle int, parts int"))
-    opened = asked.mapInArrow(_listed(probes, graph, sizes, ratio, most), "list int, query long, vector array<double>").join(plan, "list")
-    opened = K.saved(opened.dropDuplicates(["bundle", "query"]).select("bundle", "parts", "query", "vector"))
+    held = np.bincount(bundles, sizes).astype(np.int64)
+    plan = F.broadcast(spark.createDataFrame([(k, int(g), max(1, -(-int(held[g]) // BLOCK))) for k, g in enumerate(bundles)], "list int, bundle int, parts int"))
+    opened = asked.repartition(max(1, min(asked.count() // 64, 4 * spark.sparkContext.defaultParallelism)), "query")
+    opened = K.saved(opened.mapInArrow(_probe_pass(graph, sizes, ratio, most, bundles), "bundle int, lists array<int>, query long, vector array<double>"))
     loads = {r["bundle"]: r["n"] for r in opened.groupBy("bundle").agg(F.count("*").alias("n")).collect()}
     # each part of a bundle's entries meets each turn of its queries
-    turns = F.broadcast(spark.createDataFrame([(g, max(1, -(-n // BLOCK))) for g, n in sorted(loads.items())], "bundle int, turns int"))
+    turns = F.broadcast(spark.createDataFrame([(g, max(1, -(-int(held[g]) // BLOCK)), max(1, -(-n // BLOCK))) for g, n in sorted(loads.items())], "bundle int, parts int, turns int"))
     left = opened.join(turns, "bundle").withColumn("turn", F.pmod(F.xxhash64("query"), F.col("turns")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    right = posted.join(plan, "list").join(turns, "bundle").withColumn("part", F.pmod(F.xxhash64("entry"), F.col("parts")).cast("int")).dropDuplicates(["bundle", "entry"])
+    right = posted.join(plan.drop("parts"), "list").join(turns, "bundle").withColumn("part", F.pmod(F.xxhash64("entry"), F.col("parts")).cast("int"))
     right = right.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
     by = ["bundle", "part", "turn"]
-    found = left.select(*by, "query", "vector").groupBy(*by).cogroup(right.select(*by, "vector", "ids").groupBy(*by)).applyInPandas(_nearest(keep), "query long, far double, ids array<long>")
+    found = left.select(*by, "query", "lists", "vector").groupBy(*by).cogroup(right.select(*by, "list", "entry", "vector", "ids").groupBy(*by)).applyInPandas(_nearest(keep), "query long, far double, ids array<long>")
     found = found.select("query", "far", F.explode("ids").alias("vec_id")).groupBy("query", "vec_id").agg(F.min("far").alias("far"))
     best = found.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("far", "vec_id"))).where(F.col("n") <= keep)
     best = best.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("far", "vec_id"))).alias("best"))

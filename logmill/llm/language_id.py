@@ -26,7 +26,7 @@ NO_LANGUAGE = "und"
 GRAMS = (2, 3, 4)
 BUCKETS = 1 << 17
 #: Most documents of each language to learn from, most characters of them all, and most languages, the most frequent.
-SAMPLE, CHARS, LANGUAGES = 600, 2_000_000, 200
+SAMPLE, CHARS, LANGUAGES = 600, 1_000_000, 200
 _BLOCK = 32
 
 
@@ -170,7 +170,9 @@ def _learned(docs: DataFrame, seed: int) -> LanguageModel:
     rows = docs.where(~K.held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0))
     often = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
     rows = rows.join(F.broadcast(often.select("lang")), "lang")
-    return train(*M.sample(M.chosen(rows, "lang", ["doc_id", "text"], SAMPLE), "lang", SAMPLE, CHARS), seed)
+    model = train(*M.sample(M.chosen(rows, "lang", ["doc_id", "text"], SAMPLE), "lang", SAMPLE, CHARS), seed)
+    K.give_back()
+    return model
 
 
 def has_letter(text: bytes) -> bool:

@@ -145,7 +145,9 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 0) -> QualityModel:
 
 def _learned(docs: DataFrame, labels: DataFrame, seed: int) -> QualityModel:
     texts, marks = M.labelled(docs, labels, "quality", SAMPLE, CHARS)
-    return train(texts, np.array(marks), seed)
+    model = train(texts, np.array(marks), seed)
+    K.give_back()
+    return model
 
 
 def _score_pass(model: QualityModel):

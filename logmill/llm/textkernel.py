@@ -65,7 +65,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]] if n else raw[:0], at - at[0] if n else np.zeros(1, np.int64)
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Returns freed memory to the system: workers live on, and each task would otherwise add to what they hold."""
     pa.default_memory_pool().release_unused()
     if _LIBC is not None:
@@ -83,7 +83,7 @@ def slices(batch: pa.RecordBatch, text: int, most: int = 1_000_000) -> Iterator[
         last = max(first + 1, int(np.searchsorted(ends, begun + most, side="right")))
         yield batch.slice(first, last - first)
         first = last
-    _give_back()
+    give_back()
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, part: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

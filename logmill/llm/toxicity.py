@@ -150,7 +150,9 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 0) -> ToxicityModel:
 
 def _learned(docs: DataFrame, labels: DataFrame, seed: int) -> ToxicityModel:
     texts, marks = M.labelled(docs, labels, "toxic", SAMPLE, CHARS)
-    return train(texts, np.array(marks), seed)
+    model = train(texts, np.array(marks), seed)
+    K.give_back()
+    return model
 
 
 def _score_pass(model: ToxicityModel):

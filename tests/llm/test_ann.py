@@ -58,6 +58,31 @@ def test_recall_and_copies(spark, monkeypatch):
     assert all(got[q] == want[q] for q in got if q >= 5000)
 
 
+@pytest.mark.parametrize(("kind", "share"), [("clustered", 0.1), ("independent", 0.75)])
+def test_recall_of_the_pruned_lists(kind, share):
+    """With the operator's own parameters: what the lists that queries open hold of the true neighbours, and of all entries."""
+    r = np.random.default_rng(1)
+    n = 20_000
+    x = r.normal(size=(n, 64))
+    if kind == "clustered":
+        x += 2 * r.normal(size=(200, 64))[r.integers(200, size=n)]
+    graph = CentroidGraph.of(balanced_centroids(x, ann.LIST))
+    boundary, ratio, most = ann.learned(graph, x, 10)
+    some = [ann.postings(graph, boundary, x[a : a + 500]) for a in range(0, n, 500)]
+    rows, lists = np.concatenate([rows + 500 * k for k, (rows, _) in enumerate(some)]), np.concatenate([lists for _, lists in some])
+    assert n < len(rows) <= ann.COPIES * n
+    sizes = np.bincount(lists, minlength=len(graph.points))
+    queries = np.arange(0, n, 100)
+    of, opened = ann.probes(graph, sizes, ratio, most, x[queries])
+    held = []
+    for k, q in enumerate(queries):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        found = set(rows[np.isin(lists, opened[of == k])].tolist())
+        held.append(np.mean([j in found for j in np.argsort(d)[1:11].tolist()]))
+    assert np.mean(held) >= 0.9
+    assert ann.share_compared(graph, sizes, ratio, most, x[queries], n) <= share
+
+
 def test_graph_finds_the_nearest():
     r = np.random.default_rng(3)
     points, queries = r.normal(size=(500, 8)), r.normal(size=(60, 8))

@@ -33,7 +33,7 @@ from . import textkernel as K
 MOST_LISTS, LIST = 32_768, 64
 SAMPLE, SAMPLE_A_LIST = 20_000, 4
 #: A vector enters at most so many lists, no farther than a ratio of the nearest centroid's distance, one of these, and none whose centroid lies within this share of its distance from one that has the vector.
-COPIES, BOUNDARIES, APART = 2, (1.01, 1.03, 1.1), 0.4
+COPIES, BOUNDARIES, APART = 2, (1.003, 1.02, 1.1), 0.4
 #: Share of sampled neighbours that the learned pruning ratio reaches, queries that it is learned from, and least entries of the lists that a query opens.
 REACH, TRIED, LEAST_ENTRIES = 0.95, 300, 400
 #: Most entries of a block and queries that meet them in a task.

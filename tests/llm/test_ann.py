@@ -58,7 +58,7 @@ def test_recall_and_copies(spark, monkeypatch):
     assert all(got[q] == want[q] for q in got if q >= 5000)
 
 
-@pytest.mark.parametrize(("kind", "share"), [("clustered", 0.1), ("independent", 0.75)])
+@pytest.mark.parametrize(("kind", "share"), [("clustered", 0.1), ("independent", 0.8)])
 def test_recall_of_the_pruned_lists(kind, share):
     """With the operator's own parameters: what the lists that queries open hold of the true neighbours, and of all entries."""
     r = np.random.default_rng(1)

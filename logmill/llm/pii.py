@@ -11,6 +11,7 @@ neighbourhoods of digits and a few signs are searched.
 from __future__ import annotations
 
 import datetime
+import ipaddress
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -41,6 +42,7 @@ _PATTERN = re.compile(
     | (?P<isodate>(?<![\d./-])\d{4}(?P<sign>[-/.])\d{1,2}(?P=sign)\d{1,2}(?!\d|[./-]\d))
     | (?P<date>(?<![\d./-])\d{1,2}(?P<mark>[-/.])\d{1,2}(?P=mark)\d{4}(?!\d|[./-]\d))
     | (?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))
+    | (?P<ipv6>(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){1,7}:?(?:[0-9A-Fa-f]{1,4}:){0,6}[0-9A-Fa-f]{1,4}(?![\w:]))
     | (?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d))
     | (?P<phone>(?<![\d(+])(?:\+\d{1,3}[ .-]?)?\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\d))
     | (?P<plus>(?<![\d+])\+\d{8,15}(?!\d))
@@ -130,10 +132,17 @@ def _card(text: str, permute: Permutation) -> str | None:
     return _refilled(text, body + str(luhn(body)))
 
 
+def _cased(text: str, permute: Permutation, tweak: str) -> str:
+    """Letters and digits of text become others of their class, the same ones whatever the case; the case stays."""
+    new = _refilled(text, _same_classes("".join(c for c in text.lower() if c.isalnum()), permute, tweak))
+    return "".join(c.upper() if old.isupper() else c for old, c in zip(text, new))
+
+
 def _email(text: str, permute: Permutation) -> str | None:
+    """The name and each label of the host but the last."""
     name, _, host = text.partition("@")
-    chars = "".join(c for c in name if c.isalnum())
-    return _refilled(name, _same_classes(chars, permute, "email")) + "@" + host
+    *labels, top = host.split(".")
+    return ".".join([_cased(name, permute, "email") + "@" + _cased(labels[0], permute, "host"), *(_cased(x, permute, "host") for x in labels[1:]), top])
 
 
 def _iban(text: str, permute: Permutation) -> str | None:
@@ -149,29 +158,28 @@ def _iban(text: str, permute: Permutation) -> str | None:
 _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
-def _form(number: str) -> int:
-    """How a day or month is written: with one digit, two, or a zero before one."""
-    return 0 if number[0] == "0" else len(number)
+def _kind(d: datetime.date) -> tuple[bool, int]:
+    """What each writing of a date shows: whether the month has one digit, and the day one, two up to 12, or more, which may stand second."""
+    return d.month < 10, 0 if d.day < 10 else 1 if d.day <= 12 else 2
 
 
-@lru_cache(maxsize=None)
-def _days(month: int | None, day: int | None, late: bool) -> tuple[list[int], dict[int, int]]:
-    """Days whose month and day have these forms (None: two digits, a zero among them), or only those after the 12th, which month/day/year writes without a doubt."""
-    has = {None: range(1, 32), 0: range(1, 10), 1: range(1, 10), 2: range(10, 32)}
-    dates = ((k, datetime.date.fromordinal(k)) for k in range(_FIRST, _LAST + 1))
-    days = [k for k, d in dates if d.month in has[month] and d.day in has[day] and (d.day > 12 or not late)]
-    return days, {k: n for n, k in enumerate(days)}
+@lru_cache(maxsize=1)
+def _days() -> tuple[dict[tuple[bool, int], list[int]], dict[int, int]]:
+    """The days of each kind, and each day's place among those of its kind."""
+    days: dict[tuple[bool, int], list[int]] = {}
+    place = {}
+    for k in range(_FIRST, _LAST + 1):
+        some = days.setdefault(_kind(datetime.date.fromordinal(k)), [])
+        place[k] = len(some)
+        some.append(k)
+    return days, place
 
 
-def _other_day(k: int, month: str, day: str, late: bool, permute: Permutation, tweak: str) -> tuple[str, str, str]:
-    """Year, month and day of another date that is written with as many digits, in this order."""
-    forms = (None, None) if len(month) == len(day) == 2 else (_form(month), _form(day))
-    if forms == (None, None) and not late:
-        new = _FIRST + permute(k - _FIRST, _LAST - _FIRST + 1, "date")
-    else:
-        days, place = _days(*forms, late)
-        new = days[permute(place[k], len(days), tweak if forms == (None, None) else f"{tweak}/{forms[0]}{forms[1]}")]
-    d = datetime.date.fromordinal(new)
+def _other_day(k: int, month: str, day: str, permute: Permutation) -> tuple[str, str, str]:
+    """Year, month and day of the date that stands for this one in all writings, with as many digits."""
+    days, place = _days()
+    kind = _kind(datetime.date.fromordinal(k))
+    d = datetime.date.fromordinal(days[kind][permute(place[k], len(days[kind]), f"date/{kind[0]:d}{kind[1]}")])
     return str(d.year), str(d.month).zfill(len(month)), str(d.day).zfill(len(day))
 
 
@@ -187,16 +195,16 @@ def _isodate(text: str, permute: Permutation) -> str | None:
     year, month, day = text.split(text[4])
     if (k := _day(year, month, day)) is None:
         return None
-    return text[4].join(_other_day(k, month, day, False, permute, "year first"))
+    return text[4].join(_other_day(k, month, day, permute))
 
 
 def _date(text: str, permute: Permutation) -> str | None:
     sign = next(c for c in text if not c.isdigit())
     a, b, year = text.split(sign)
     if (k := _day(year, b, a)) is not None:
-        return sign.join(reversed(_other_day(k, b, a, False, permute, "day first")))
+        return sign.join(reversed(_other_day(k, b, a, permute)))
     if (k := _day(year, a, b)) is not None:
-        year, a, b = _other_day(k, a, b, True, permute, "month first")
+        year, a, b = _other_day(k, a, b, permute)
         return sign.join([a, b, year])
     return None
 
@@ -223,31 +231,44 @@ def _ip(text: str, permute: Permutation) -> str | None:
     return ".".join(str(low + n) for low, n in zip(lows, new))
 
 
-def _phone(text: str, permute: Permutation) -> str | None:
-    digits = _digits(text)
-    code, area, exchange, line = digits[:-10], int(digits[-10:-7]), int(digits[-7:-4]), int(digits[-4:])
-    if code in ("", "1"):
-        if area < 200 or exchange < 200:
-            return None
-        a, e, n = _mixed([area - 200, exchange - 200, line], [800, 800, 10000], permute, "phone")
-        return _refilled(text, f"{code}{a + 200:03d}{e + 200:03d}{n:04d}")
-    return _refilled(text, code + str(permute(int(digits[-10:]), 10**10, "phone/" + code)).zfill(10))
+def _ipv6(text: str, permute: Permutation) -> str | None:
+    """Groups that are not zero become others of as many hexadecimal digits, so that each writing of an address fits."""
+    try:
+        value = int(ipaddress.IPv6Address(text))
+    except ValueError:
+        return None
+    groups = [value >> 16 * k & 0xFFFF for k in range(7, -1, -1)]
+    if sum(map(bool, groups)) < 2 or not _digits(text):
+        return None
+    sizes = [len(f"{g:x}") for g in groups if g]
+    lows = [1 if n == 1 else 16 ** (n - 1) for n in sizes]
+    shape = "".join(str(len(f"{g:x}")) if g else "0" for g in groups)
+    new = _mixed([g - low for g, low in zip(filter(None, groups), lows)], [16**n - low for n, low in zip(sizes, lows)], permute, "ipv6/" + shape)
+    rest = iter(low + n for n, low in zip(new, lows))
+    out = ":".join(f"{next(rest):x}".zfill(len(x)) if x and int(x, 16) else x for x in text.split(":"))
+    return out.upper() if text != text.lower() else out
 
 
-def _plus(text: str, permute: Permutation) -> str | None:
-    n = len(text) - 3
-    return text[:3] + str(permute(int(text[3:]), 10**n, f"phone/{text[1:3]}/{n}")).zfill(n)
+# Calling codes of one and of two digits; all others have three.
+_CODES = {"1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
 
 
-def _groups(text: str, permute: Permutation) -> str | None:
-    """A number in groups keeps them, its country code and a zero in brackets."""
-    code = re.match(r"\+(\d{1,3}(?!\d)|\d\d)", text)[1]
-    head, zero, tail = text[len(code) + 1 :].partition("(0)")
+def _phone(text: str, permute: Permutation) -> str | None:
+    """The digits after the calling code, the same in all writings; a number without one is of code 1, and a zero in brackets stays."""
+    head, zero, tail = text.partition("(0)") if text[0] == "+" else (text, "", "")
     digits = _digits(head + tail)
-    n = len(digits)
-    new = str(permute(int(digits), 10**n, f"phone/{code}/{n}")).zfill(n)
+    code = next((digits[:n] for n in (1, 2) if digits[:n] in _CODES), digits[:3]) if text[0] == "+" else ""
+    own = digits[len(code) :]
+    if code in ("", "1") and len(own) == 10:
+        area, exchange, line = int(own[:3]), int(own[3:6]), int(own[6:])
+        if area < 200 or exchange < 200:
+            return None
+        a, e, n = _mixed([area - 200, exchange - 200, line], [800, 800, 10000], permute, "phone")
+        new = f"{a + 200:03d}{e + 200:03d}{n:04d}"
+    else:
+        new = str(permute(int(own), 10 ** len(own), f"phone/{code}/{len(own)}")).zfill(len(own))
     at = len(_digits(head))
-    return f"+{code}{_refilled(head, new[:at])}{zero}{_refilled(tail, new[at:])}"
+    return _refilled(head, (code + new)[:at]) + zero + _refilled(tail, (code + new)[at:])
 
 
 def _secret(text: str, permute: Permutation) -> str | None:
@@ -265,7 +286,7 @@ def _access(text: str, permute: Permutation) -> str | None:
     return text[:4] + _same_classes(text[4:], permute, "access")
 
 
-_MAKERS: dict[str, Callable[[str, Permutation], str | None]] = {"email": _email, "secret": _secret, "access": _access, "iban": _iban, "isodate": _isodate, "date": _date, "ssn": _ssn, "ip": _ip, "phone": _phone, "plus": _plus, "groups": _groups, "card": _card}
+_MAKERS: dict[str, Callable[[str, Permutation], str | None]] = {"email": _email, "secret": _secret, "access": _access, "iban": _iban, "isodate": _isodate, "date": _date, "ssn": _ssn, "ipv6": _ipv6, "ip": _ip, "phone": _phone, "plus": _phone, "groups": _phone, "card": _card}
 
 
 class Pseudonyms:
@@ -292,7 +313,7 @@ class Pseudonyms:
                 continue
             out += [text[at:a], new]
             at = begin = b
-            found.append({"isodate": "date", "plus": "phone", "groups": "phone", "access": "secret"}.get(kind, kind))
+            found.append({"isodate": "date", "plus": "phone", "groups": "phone", "access": "secret", "ipv6": "ip"}.get(kind, kind))
         return "".join([*out, text[at:]]) if out else text
 
 
@@ -358,12 +379,16 @@ def _pass(key: bytes):
 def pseudonymised(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id, text, and kinds, those of the replaced values in order.
 
-    Replaced are e-mail names, card numbers (Luhn), IBANs (mod 97), social
-    security numbers, IPv4 addresses, phone numbers (of ten digits as 3-3-4, or
-    with + and 8 to 15 digits in any groups), dates of 1900 to 2099 in numbers
-    (day, month or year first, with or without zeros before one digit), the
-    values of passwords and tokens, and cloud access keys.  What fails
-    its check stays.  A null text stays null, and one without such data stays as
+    Replaced are e-mail addresses but for the last label of their hosts, card
+    numbers (Luhn), IBANs (mod 97), social security numbers, IPv4 and IPv6
+    addresses, phone numbers (of ten digits as 3-3-4, or with + and 8 to 15 digits
+    in any groups), dates of 1900 to 2099 in numbers (day, month or year first,
+    with or without zeros before one digit), the values of passwords and tokens,
+    and cloud access keys.  Equal values get one pseudonym in all writings: with or
+    without separators, zeros, calling code 1, in any case and any order of a
+    date's parts, of which day first is read where both orders are possible.  What
+    has to stay so stays: that a month has one digit, a day one, two up to 12, or
+    more, and a group of an IPv6 address its digits.  What fails its check stays.  A null text stays null, and one without such data stays as
     it is.  Rows without an id and repeated rows are treated alike.  Other columns
     are not read.
     """

@@ -1,4 +1,5 @@
 import datetime
+import ipaddress
 import random
 import re
 
@@ -114,3 +115,34 @@ def test_forms_of_dates_and_numbers_in_groups():
         assert new.startswith(replaced("+49 30 901820")[0] + " ")
     for text in ["30/2/1999", "2/30/1999", "0/4/1985", "+1 2", "a + 12 34"]:
         assert replaced(text) == (text, [])
+
+
+@pytest.mark.parametrize(
+    ("writings", "plain"),
+    [
+        (["+1 415 555 2671", "+14155552671", "(415) 555-2671", "415-555-2671", "415.555.2671", "+1 (415) 555-2671", "+1-415-555-2671"], lambda x: re.sub(r"\D", "", x)[-10:]),
+        (["+44 20 7946 0958", "+442079460958", "+44 (0)20 7946 0958", "+44-20-7946-0958"], lambda x: re.sub(r"\D", "", x.replace("(0)", ""))),
+        (["2001-05-23", "05/23/2001", "23/05/2001", "5/23/2001", "23.5.2001", "2001/5/23"], lambda x: sorted(map(int, re.split("[-./]", x)))),
+        (["2004-03-07", "07.03.2004", "7/3/2004", "7-03-2004"], lambda x: sorted(map(int, re.split("[-./]", x)))),
+        (["2001:db8::ff00:42:8329", "2001:0db8:0000:0000:0000:ff00:0042:8329", "2001:DB8:0:0:0:FF00:42:8329"], lambda x: ipaddress.ip_address(x)),
+        (["Jane@JaneSmith.org", "jane@janesmith.org", "JANE@janesmith.org"], str.lower),
+        (["4316 5226 7852 5456", "4316522678525456", "4316-5226-7852-5456"], lambda x: re.sub(r"\D", "", x)),
+        (["GB82WEST12345698765432", "GB82 WEST 1234 5698 7654 32"], lambda x: x.replace(" ", "")),
+    ],
+)
+def test_one_pseudonym_in_all_writings(writings, plain):
+    assert len({str(plain(x)) for x in writings}) == 1
+    new = [replaced(f"a {x}, b")[0][2:-3] for x in writings]
+    assert [len(x) for x in new] == [len(x) for x in writings]
+    assert len({str(plain(x)) for x in new}) == 1
+    assert str(plain(new[0])) != str(plain(writings[0]))
+
+
+def test_hosts_and_addresses():
+    new = replaced("jane@janesmith.org bob@janesmith.org jane@mail.janesmith.org")[0].split()
+    hosts = [x.partition("@")[2] for x in new]
+    assert "janesmith" not in " ".join(new)
+    assert hosts[0] == hosts[1] == hosts[2].partition(".")[2]
+    assert new[0].partition("@")[0] == new[2].partition("@")[0] != new[1].partition("@")[0]
+    for text in ["12:30:45", "std::vector", "a::b", "::1", "fe80::", "1:2:3", "key: value", "00:1A:2B:3C:4D:5E"]:
+        assert replaced(text) == (text, [])

@@ -26,7 +26,7 @@ NO_LANGUAGE = "und"
 GRAMS = (2, 3, 4)
 BUCKETS = 1 << 17
 #: Most documents of each language to learn from, most characters of them all, and most languages, the most frequent.
-SAMPLE, CHARS, LANGUAGES = 600, 1_000_000, 200
+SAMPLE, CHARS, LANGUAGES = 600, 700_000, 200
 _BLOCK = 32
 
 

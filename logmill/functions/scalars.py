@@ -118,3 +118,8 @@ def nginx_time(text: Column) -> Column:
 def percent(done: Column, total: Column) -> Column:
     """Whole percent, 100 at most; 0 of nothing."""
     return F.when(total > 0, F.least(F.lit(100), F.floor(done * 100 / total))).otherwise(0).cast("int")
+
+
+def epoch(ts: Column, zone: str) -> Column:
+    """Seconds since 1970 UTC of a time without a zone, read in `zone`; null for null."""
+    return F.make_timestamp_ltz(F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts), F.minute(ts), F.second(ts), F.lit(zone)).cast("long")

@@ -59,6 +59,18 @@ def summary_and_ips(entries: DataFrame) -> DataFrame:
     return both.where((F.col("all_ips") == 1) | (F.col("ip") != "")).withColumn("hits", F.when(F.col("all_ips") == 0, F.col("total_lines")).otherwise(0)).drop("all_ips")
 
 
+def report_rows(entries: DataFrame, k: int = 10) -> DataFrame:
+    """What a report shows, from one scan: summary_and_ips() in order, the counters of all entries first, then the k most frequent addresses, ties to the smaller text."""
+    return summary_and_ips(entries).orderBy(F.col("ip").isNotNull(), F.desc("hits"), "ip").limit(k + 1)
+
+
+def of_report(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """summary(), top_ip() and top_ips() out of report_rows()."""
+    ips = rows.where("ip is not null").select("ip", "hits")
+    best = ips.agg(F.min_by("ip", F.struct(-F.col("hits"), F.col("ip"))).alias("ip")).select(F.coalesce("ip", F.lit(NO_IP)).alias("top_ip"))
+    return rows.where("ip is null").agg(*(F.coalesce(F.max(c), F.lit(0)).cast("long").alias(c) for c in COUNTERS)), best, ips
+
+
 def errors_4xx_5xx(metrics: DataFrame) -> DataFrame:
     return metrics.withColumn("count_4xx_5xx", F.col("count_4xx") + F.col("count_5xx"))
 

@@ -89,16 +89,19 @@ def json(line: Column, times: bool = True) -> Column:
 
 def syslog(line: Column, year: int | None = None, times: bool = True) -> Column:
     year = datetime.date.today().year if year is None else year
-    digits = F.regexp_extract(F.regexp_extract(line, SYSLOG_HEAD, 1), r"^\s*([0-9]*)", 1)
-    month, day = F.regexp_extract(line, SYSLOG_HEAD, 2), F.regexp_extract(line, SYSLOG_HEAD, 3)
-    rest = F.regexp_replace(line, SYSLOG_HEAD, "")
-    room = SYSLOG_TIME_BYTES - 2 - F.octet_length(month) - F.octet_length(day)
-    head = F.substring(rest.cast("binary"), F.lit(1), room).cast("string")
-    clock = F.regexp_extract(head, "^[^:]*:[^:]*:[0-9]*", 0)
-    clock = F.when(clock == "", head).otherwise(clock)
-    # the clock is part of the rest, so what follows it begins after its bytes
-    tail = F.substring(rest.cast("binary"), F.octet_length(clock) + 1, F.octet_length(rest)).cast("string")
-    stamp = F.concat_ws(" ", month, day, clock)
+    # head, clock and tail come one after the other, each found once: priority, month, day and rest; then the time and what follows it
+    head = F.struct(_groups(line, SYSLOG_HEAD, 3).alias("g"), F.regexp_replace(line, SYSLOG_HEAD, "").alias("rest"))
+
+    def clock(x: Column) -> Column:
+        room = SYSLOG_TIME_BYTES - 2 - F.octet_length(x["g"][1]) - F.octet_length(x["g"][2])
+        first = F.substring(x["rest"].cast("binary"), F.lit(1), room).cast("string")
+        return F.struct(x["g"].alias("g"), x["rest"].alias("rest"), F.coalesce(F.nullif(F.regexp_extract(first, "^[^:]*:[^:]*:[0-9]*", 0), F.lit("")), first).alias("clock"))
+
+    def tail(x: Column) -> Column:
+        # the clock is part of the rest, so what follows it begins after its bytes
+        text = F.substring(x["rest"].cast("binary"), F.octet_length(x["clock"]) + 1, F.octet_length(x["rest"])).cast("string")
+        priority = X.number(F.regexp_extract(x["g"][0], r"^\s*([0-9]*)", 1))
+        return F.struct(priority.alias("priority"), F.concat_ws(" ", x["g"][1], x["g"][2], x["clock"]).alias("stamp"), _groups(text, SYSLOG_TAIL, 4).alias("g"))
 
     def of(x: Column) -> Column:
         g = x["g"]
@@ -114,8 +117,7 @@ def syslog(line: Column, year: int | None = None, times: bool = True) -> Column:
             g[3].rlike("REJECT|DROP").alias("is_firewall_block"),
         )
 
-    value = F.struct(X.number(digits).alias("priority"), stamp.alias("stamp"), _groups(tail, SYSLOG_TAIL, 4).alias("g"))
-    return F.when(line.isNotNull(), _once(value, of))
+    return F.when(line.isNotNull(), _once(_once(_once(head, clock), tail), of))
 
 
 def nginx(line: Column, times: bool = True) -> Column:

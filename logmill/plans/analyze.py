@@ -28,9 +28,10 @@ class Result:
     top_ips: DataFrame
 
     def text(self, layout: str = "prodcons") -> str:
-        """The report: counters and addresses, a few rows, come to the driver."""
-        values = self.metrics.first().asDict()
-        ips = [(r["ip"], r["hits"]) for r in self.top_ips.collect()]
+        """The report: counters and addresses, a few rows, come to the driver from one scan of the lines."""
+        rows = [r.asDict() for r in metrics.report_rows(self.entries).collect()]
+        values = next((r for r in rows if r["ip"] is None), dict.fromkeys(metrics.COUNTERS, 0))
+        ips = [(r["ip"], r["hits"]) for r in rows if r["ip"] is not None]
         return report.text(layout, self.mode, values, ips[0][0] if ips else metrics.NO_IP, ips)
 
 

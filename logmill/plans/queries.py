@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as X
 from ..operators import classify, detect, entries, metrics, parse
 from ..sources import synthetic
-from ..sources.files import clean_lines, read_logs
+from ..sources.files import clean_lines, line_counts, read_logs
 from ..sources.scratch import scratch_folder
 from ..streaming import logs
 from . import report
@@ -59,11 +59,11 @@ def _cases(column: str, words: list[list[str]], otherwise: int = 0) -> str:
     return "CASE " + " ".join(f"WHEN {column} IN ({', '.join(map(_q, w))}) THEN {k}" for k, w in enumerate(words)) + f" ELSE {otherwise} END"
 
 
-def _fields(kind: str, v: str = "value") -> dict[str, str]:
+def _fields(kind: str, v: str = "value", lenient: bool = False) -> dict[str, str]:
     """SQL of each field of a grammar."""
     if kind == "apache":
-        g = lambda k: _part(v, parse.APACHE, k)
-        return {"ip": g(1), "ts": _stamp(g(2), 20, "%d/%b/%Y:%H:%M:%S"), "method": g(3), "url": g(4), "http_version": g(5), "status": _int(g(6)), "size": _int(g(7), "BIGINT"), "referer": "''", "user_agent": "''"}
+        g = lambda k: _part(v, parse.APACHE_LENIENT if lenient else parse.APACHE, k)
+        return {"ip": g(1), "ts": _stamp(g(2), 20, "%d/%b/%Y:%H:%M:%S"), "method": g(3), "url": g(4), "http_version": g(5), "status": _int(g(6)), "size": _int(g(7), "BIGINT"), "referer": g(8) if lenient else "''", "user_agent": g(9) if lenient else "''"}
     if kind == "json":
         return {"ts": _stamp(_json(v, "timestamp"), 19, "%Y-%m-%dT%H:%M:%S"), "level": _cases(_json(v, "level"), parse.JSON_LEVEL_WORDS), "service": f"substr({_json(v, 'service')}, 1, 63)", "message": _json(v, "message"), "ip": f"substr({_json(v, 'ip', 'metadata')}, 1, 45)", "user_id": _int(_part(_json(v, "user_id", "metadata"), r"^\s*([0-9]*)", 1))}
     if kind == "syslog":
@@ -99,9 +99,16 @@ def _fields(kind: str, v: str = "value") -> dict[str, str]:
 
 
 _PARSES = {"apache": f"regexp_matches(value, {_q(parse.APACHE)})", "json": "value IS NOT NULL", "syslog": "value IS NOT NULL", "nginx": "contains(value, ']')"}
-_FORMAT = f"""CASE WHEN value IS NULL OR value = '' THEN 'UNKNOWN' WHEN value[1] = '{{' THEN 'JSON'
-  WHEN strlen(value) > 20 AND regexp_matches(value, '^[0-9]{{4}}/') THEN 'NGINX_ERROR' WHEN strlen(value) > 15 AND regexp_matches(value, '^[A-Za-z]{{3}} [0-9 ]') THEN 'SYSLOG'
-  WHEN regexp_matches(value, '^[0-9]*\\.[0-9]*\\.[0-9]*\\.[0-9]* ') THEN 'APACHE' WHEN {_PARSES['apache']} THEN 'APACHE' ELSE 'JSON' END"""
+
+
+def _format(lenient: bool) -> str:
+    priority = "WHEN regexp_matches(value, '^<[0-9]+>') THEN 'SYSLOG'" if lenient else ""
+    return f"""CASE WHEN value IS NULL OR value = '' THEN 'UNKNOWN' WHEN value[1] = '{{' THEN 'JSON'
+      WHEN strlen(value) > 20 AND regexp_matches(value, '^[0-9]{{4}}/') THEN 'NGINX_ERROR' WHEN strlen(value) > 15 AND regexp_matches(value, '^[A-Za-z]{{3}} [0-9 ]') THEN 'SYSLOG' {priority}
+      WHEN regexp_matches(value, '^[0-9]*\\.[0-9]*\\.[0-9]*\\.[0-9]* ') THEN 'APACHE' WHEN {_PARSES['apache']} THEN 'APACHE' ELSE '{"UNKNOWN" if lenient else "JSON"}' END"""
+
+
+_FORMAT = _format(False)
 
 # --- SQL of the rules: types and severity, over the fields' names with a prefix -------------
 
@@ -113,7 +120,7 @@ def _bits(*rules: tuple[str, int]) -> str:
 def _types(kind: str, p: str = "") -> str:
     if kind == "apache":
         return _bits(
-            (f"{p}status IN (401, 403) OR {_any(p + 'url', classify.SQL_INJECTION)} OR {_any(p + 'url', classify.SCRIPT)} OR contains({p}url, '../') OR contains({p}url, '..\\')", 1),
+            (f"{p}status IN (401, 403) OR {_any(p + 'url', classify.SQL_INJECTION)} OR {_any(p + 'url', classify.SCRIPT)} OR contains({p}url, '../') OR contains({p}url, '..\\') OR {_any(p + 'user_agent', classify.SCANNERS)}", 1),
             (f"{p}size > 10485760", 2),
             (f"{p}status BETWEEN 500 AND 599", 10),
             ("true", 4),
@@ -143,7 +150,7 @@ def _severity(kind: str, p: str = "") -> str:
     m, s = p + "message", p + "service"
     if kind == "apache":
         u = p + "url"
-        return f"CASE WHEN {p}status = 404 THEN 1 WHEN {p}status = 503 THEN 4 WHEN {p}status BETWEEN 500 AND 599 THEN 3 WHEN {p}size > 10485760 THEN 2 WHEN contains({u}, '../') OR contains({u}, '..\\') OR {_any(u, classify.SCRIPT)} THEN 3 WHEN {_any(u, classify.SQL_INJECTION)} THEN 4 WHEN {p}status IN (401, 403) THEN 2 ELSE 0 END"
+        return f"CASE WHEN {p}status = 404 THEN 1 WHEN {p}status = 503 THEN 4 WHEN {p}status BETWEEN 500 AND 599 THEN 3 WHEN {p}size > 10485760 THEN 2 WHEN contains({u}, '../') OR contains({u}, '..\\') OR {_any(u, classify.SCRIPT)} OR {_any(p + 'user_agent', classify.SCANNERS)} THEN 3 WHEN {_any(u, classify.SQL_INJECTION)} THEN 4 WHEN {p}status IN (401, 403) THEN 2 ELSE 0 END"
     if kind == "json":
         return f"CASE WHEN {_any(m, classify.JSON_DENIED)} THEN 3 ELSE {p}level END"
     if kind == "syslog":
@@ -177,12 +184,13 @@ def _kind_sql(kind: str) -> str:
     return f"WITH lines AS (SELECT event_id, {synthetic.line_sql(kind, synthetic.DUCKDB_DATES)} AS value FROM events), parsed AS (SELECT event_id, value, {fields} FROM lines WHERE {_PARSES[kind]})"
 
 
-def _all_sql(mode: str = "full", sticky: bool = True) -> str:
+def _all_sql(mode: str = "full", lenient: bool = False) -> str:
     """CTEs up to `entries`, the normalised entries of all lines in a mode."""
     names = {"apache": "APACHE", "json": "JSON", "syslog": "SYSLOG", "nginx": "NGINX_ERROR"}
     parts = []
     for kind, form in names.items():
-        fields = ", ".join(f"{sql} AS {name}" for name, sql in _fields(kind).items() if name != "ts")
+        fields = ", ".join(f"{sql} AS {name}" for name, sql in _fields(kind, lenient=lenient).items() if name != "ts")
+        parses = f"regexp_matches(value, {_q(parse.APACHE_LENIENT)})" if lenient and kind == "apache" else _PARSES[kind]
         level = "CASE severity WHEN 0 THEN 'INFO' WHEN 1 THEN 'INFO' WHEN 2 THEN 'WARN' WHEN 3 THEN 'ERROR' ELSE 'CRITICAL' END"
         octet = X._OCTET
         quad = r"\.".join([octet] * 4) + "(?:[^0-9]|$)"
@@ -191,11 +199,15 @@ def _all_sql(mode: str = "full", sticky: bool = True) -> str:
             level = "CASE level WHEN 0 THEN 'DEBUG' WHEN 1 THEN 'INFO' WHEN 2 THEN 'WARN' WHEN 3 THEN 'ERROR' ELSE 'CRITICAL' END"
         text = "url" if kind == "apache" else "message"
         status = "status" if kind == "apache" else "0"
-        inner = f"SELECT source, pos, format, {fields} FROM formatted WHERE format = '{form}' AND {_PARSES[kind]}"
+        inner = f"SELECT source, pos, format, {fields} FROM formatted WHERE format = '{form}' AND {parses}"
         outer = f"SELECT *, CAST({_types(kind)} AS INTEGER) AS types, CAST({_severity(kind)} AS INTEGER) AS severity FROM ({inner})"
         parts.append(f"SELECT source, pos, format, types, {level} AS level, CAST({status} AS INTEGER) AS http_status, {ip} AS ip, substr({text}, 1, 255) AS message FROM ({outer})")
     bits = X.MODES[mode]
     keep = "true" if mode == "full" else f"types & {bits} <> 0"
+    if lenient:
+        return f"""WITH lines AS ({synthetic.lines_sql()}), short AS (SELECT source, pos, substr(value, 1, 511) AS value FROM lines WHERE value <> ''),
+          formatted AS (SELECT source, pos, {_format(True)} AS format, value FROM short),
+          entries AS (SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE {keep})"""
     return f"""WITH lines AS ({synthetic.lines_sql()}),
       first AS (SELECT source, arg_min(value, pos) AS value FROM lines GROUP BY source), formats AS (SELECT source, {_FORMAT} AS format FROM first),
       formatted AS (SELECT source, pos, format, substr(value, 1, 511) AS value FROM lines JOIN formats USING (source) WHERE value <> ''),
@@ -380,8 +392,7 @@ for _layout in report.TITLES:
 
     @_query(f"report_{_layout}", _report_sql(_layout))
     def _report(spark, sf_dir, layout=_layout):
-        found = _entries(spark, sf_dir)
-        return report.frame(layout, "full", metrics.summary(found), metrics.top_ip(found), metrics.top_ips(found))
+        return report.frame(layout, "full", *metrics.of_report(metrics.report_rows(_entries(spark, sf_dir))))
 
 
 def _log_folder(spark: SparkSession, sf_dir: str) -> str:
@@ -400,6 +411,27 @@ def stream_metrics(spark, sf_dir):
     return logs.run(spark, _log_folder(spark, sf_dir), scratch_folder(spark), files_per_batch=4)
 
 
-@_query("lenient_metrics")
+@_query("lenient_metrics", f"{_all_sql(lenient=True)} SELECT {_COUNT} FROM entries")
 def lenient_metrics(spark, sf_dir):
     return metrics.summary(_entries(spark, sf_dir, lenient=True))
+
+
+@_query("lenient_security", f"{_all_sql('security', lenient=True)} SELECT source, pos, format, level, http_status FROM entries")
+def lenient_security(spark, sf_dir):
+    return _entries(spark, sf_dir, "security", lenient=True, keep=("source", "pos")).drop("ip", "message")
+
+
+@_query("line_counts", f"WITH lines AS ({synthetic.lines_sql()}) SELECT source, count(*) AS total FROM lines GROUP BY source")
+def files_line_counts(spark, sf_dir):
+    return line_counts(spark, _log_folder(spark, sf_dir)).withColumn("source", F.regexp_extract("source", "([^/]*)$", 1))
+
+
+@_query("mode_words", "SELECT word, bits FROM (VALUES ('Security', 1), ('PERFORMANCE', 2), ('traffic', 4), ('full', 15)) AS t(word, bits)")
+def mode_words(spark, sf_dir):
+    return spark.createDataFrame([(w, X.mode_bits(w)) for w in ("Security", "PERFORMANCE", "traffic", "full")], "word string, bits int")
+
+
+@_query("event_epoch", f"{_kind_sql('nginx')} SELECT event_id, CAST(epoch(ts) AS BIGINT) AS utc, CAST(epoch(ts) AS BIGINT) - 19800 AS kolkata FROM parsed")
+def event_epoch(spark, sf_dir):
+    made = _parsed(spark, sf_dir, "nginx")
+    return made.select("event_id", X.epoch(F.col("e.ts"), "UTC").alias("utc"), X.epoch(F.col("e.ts"), "Asia/Kolkata").alias("kolkata"))

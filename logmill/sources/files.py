@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import first_bytes
+from .scratch import scratch_folder
 
-#: Names that are read: something before the suffix, top level only.  Spark itself leaves out names that begin with `_` or a dot.
+#: Names that are read: something before the suffix, top level only.
 NAMES = "?*.log"
 #: Bytes of a line that are kept.
 LINE_BYTES = 511
@@ -24,7 +25,7 @@ def log_files(spark: SparkSession, path: str) -> list[str]:
     if not store.exists(at) or not store.getFileStatus(at).isDirectory():
         raise FileNotFoundError(path)
     found = [s for s in store.listStatus(at) if s.isFile()]
-    names = [s.getPath().toString() for s in found if (n := s.getPath().getName()).endswith(".log") and len(n) > 4 and n[0] not in "._"]
+    names = [s.getPath().toString() for s in found if (n := s.getPath().getName()).endswith(".log") and len(n) > 4]
     if not names:
         raise NoLogs(path)
     return sorted(names)
@@ -38,7 +39,30 @@ def clean_lines(lines: DataFrame) -> DataFrame:
 def located(lines: DataFrame) -> DataFrame:
     """(source, pos, value) of what Spark's text reader gives: pos orders the lines of a source, whatever splits it was read in."""
     pos = F.struct(F.col("_metadata.file_block_start").alias("block_start"), F.monotonically_increasing_id().alias("seq"))
-    return clean_lines(lines.select(F.col("_metadata.file_path").alias("source"), pos.alias("pos"), "value"))
+    source = "source" if "source" in lines.columns else F.col("_metadata.file_path").alias("source")
+    return clean_lines(lines.select(source, pos.alias("pos"), "value"))
+
+
+def _text(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """Spark's text reader over all log files, with `source`, their path.
+
+    Spark leaves out files whose names begin with `_` or a dot, so these are
+    copied under other names to the shared folder for what is written on the way.
+    """
+    names = log_files(spark, path)
+    hidden = [n for n in names if n.rpartition("/")[2][0] in "._"]
+    out = spark.read.options(**options).option("pathGlobFilter", NAMES).text(path).select("*", "_metadata", F.col("_metadata.file_path").alias("source")) if len(hidden) < len(names) else None
+    if hidden:
+        hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+        folder = hadoop.Path(scratch_folder(spark))
+        for name in hidden:
+            at, to = hadoop.Path(name), hadoop.Path(folder, f"x{name.rpartition('/')[2]}")
+            hadoop.FileUtil.copy(at.getFileSystem(conf), at, to.getFileSystem(conf), to, False, conf)
+        above = names[0].rpartition("/")[0]
+        copies = spark.read.options(**options).option("pathGlobFilter", NAMES).text(folder.toString())
+        copies = copies.select("*", "_metadata", F.concat(F.lit(above + "/"), F.regexp_extract("_metadata.file_path", "/x([^/]*)$", 1)).alias("source"))
+        out = copies if out is None else out.unionByName(copies)
+    return out
 
 
 def read_logs(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
@@ -47,15 +71,12 @@ def read_logs(spark: SparkSession, path: str, partitions: int | None = None) ->
     Lines end at LF, CR or CRLF; empty ones are left out.  `partitions` spreads
     the lines over so many tasks; by default splits follow the files' sizes.
     """
-    log_files(spark, path)
-    lines = located(spark.read.option("pathGlobFilter", NAMES).text(path))
+    lines = located(_text(spark, path))
     return lines.repartition(partitions) if partitions else lines
 
 
 def line_counts(spark: SparkSession, path: str) -> DataFrame:
     """(source, total): line ends in each file, so that a last line without one does not count."""
-    log_files(spark, path)
-    whole = spark.read.option("pathGlobFilter", NAMES).option("lineSep", "\n").text(path)
-    lines = whole.select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_size").alias("size"), F.octet_length("value").alias("n"))
+    lines = _text(spark, path, lineSep="\n").select("source", F.col("_metadata.file_size").alias("size"), F.octet_length("value").alias("n"))
     counts = lines.groupBy("source").agg(F.count("*").alias("lines"), F.sum(F.col("n") + 1).alias("bytes"), F.first("size").alias("size"))
     return counts.select("source", (F.col("lines") - (F.col("bytes") > F.col("size")).cast("int")).cast("long").alias("total"))

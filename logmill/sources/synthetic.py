@@ -6,6 +6,9 @@ lines; the texts differ from engine to engine only in how a time is written.
 
 from __future__ import annotations
 
+import argparse
+import sys
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,12 +38,13 @@ def _quoted(text: str) -> str:
     return f"concat({', '.join(out)})" if len(out) != 1 or out[0].startswith("chr") else out[0]
 
 
-APACHE_PATHS = ["/", "/index.html", "/api/users", "/../etc/passwd", "/x?q=1=1", "/x?y=<SCRIPT>", "/a?u=admin'--", "/p?javascript:1", "/files/..\\win.ini", "/img?onerror=1", "/notfound", "/login", "/a b UNION SELECT", "/big"]
-JSON_SERVICES = ["auth-api", "user-service", "database-proxy", "cache-manager", "load-balancer", "firewall", "payment Gateway", "scheduler", "redis-01", "security-hub", "worker"]
-JSON_MESSAGES = ["User authentication successful", "Access denied for user", "Database query took 12ms", "Out of memory allocating 5 bytes", "Rate limit exceeded for user 3", "Connection timeout after 3s", "Invalid credentials given", "plain note", "request throttled", "High latency seen", "UNAUTHORIZED call", "slow query found", "permission denied", "cpu at 99 percent", "Connection pool exhausted", "it took long", "authentication failed"]
-SYSLOG_SERVICES = ["sshd", "sudo", "kernel", "systemd", "cron", "nginx", "apache2", "SSHD", "my firewall", "httpd", "pam"]
-SYSLOG_MESSAGES = ["Accepted publickey for admin from {IP} port 22", "Failed password for root from {IP} port 22 ssh2", "Connection closed by {IP}", "admin : TTY=pts/0 ; PWD=/root", "pam_unix(sudo:auth): authentication failure; user=x", "iptables: IN=eth0 SRC={IP} REJECT", "iptables: DROP SRC=1{IP}", "Started User Manager", "Out of memory: kill process 1", "segmentation fault at 0", "process died", "invalid user test from 256.1.1.1", "Kernel panic - not syncing", "the room is full", "incorrect password attempt", "from 010.001.002.003 and 1.2.3.1234", "core dumped", "app crashed"]
-NGINX_MESSAGES = ["connect() failed (111: Connection refused) while connecting", "upstream timed out (110: timed out)", "recv() failed (104: Connection reset by peer)", "no live upstreams", "SSL_do_handshake() failed", "limiting requests, excess: 1.5", "client intended to send too large body: 9 bytes", "upstream sent too big header", "directory index is forbidden", "open() failed (2: No such file)", "access forbidden by rule", "method not allowed", "bad certificate"]
+#: Own sentences: for each rule some with its words, in several cases, and some that no rule knows.
+APACHE_PATHS = ["/", "/start.html", "/shop/basket", "/../secret.txt", "/find?n=1=1", "/find?n=<SCRIPT>", "/enter?who=admin'--", "/go?to=javascript:7", "/docs/..\\note.txt", "/pic?onerror=2", "/old-page", "/enter", "/b c UNION SELECT", "/video"]
+JSON_SERVICES = ["auth-desk", "people", "database-north", "cache-2", "parcel-proxy", "firewall", "ticket Gateway", "calendar", "redis-07", "night-security", "printer"]
+JSON_MESSAGES = ["the door was opened", "Access denied at gate 4", "counting took 31ms", "Out of memory on shelf 5", "Rate limit of guest 3 is used up", "no answer, Timeout", "Invalid credentials were shown", "nothing to tell", "caller throttled for now", "High latency on the way north", "UNAUTHORIZED visitor", "a slow query was cut", "permission denied by the guard", "all of the cpu is busy", "Connection pool exhausted again", "sorting took long", "authentication failed twice"]
+SYSLOG_SERVICES = ["sshd", "sudo", "kernel", "clockd", "cron", "nginx", "apache2", "SSHD", "my firewall", "httpd", "pam"]
+SYSLOG_MESSAGES = ["a key of {IP} fits", "Failed password at {IP}, third try", "the connection to {IP} is over", "helper : runs as root in /srv", "door(sudo): authentication failure of guest", "gate 2 says REJECT to {IP}", "DROP of all from 1{IP}", "the evening shift begins", "Out of memory, job 1 must go", "segmentation fault in cell 0", "the child died", "invalid user guest from 256.1.1.1", "Kernel panic in the lab", "the room is full", "incorrect password for the safe", "from 010.001.002.003 and 1.2.3.1234", "core dumped to disk 3", "the scale crashed"]
+NGINX_MESSAGES = ["no path (Connection refused) to the store", "the upstream timed out at noon", "line cut (Connection reset by the far side)", "no live upstreams are left", "SSL greeting went wrong", "limiting requests of guest 15", "a body too large for the door: 9 bytes", "the header of the store is too big", "listing this folder is forbidden", "no such page was found", "access forbidden to guests", "this verb is not allowed", "the certificate is torn"]
 NGINX_LEVELS = ["error", "warn", "crit", "notice", "info", "emerg", "alert", "debug", "other"]
 
 
@@ -88,17 +92,54 @@ def lines_sql() -> str:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    """What lines are made from, spread over all cores: the table is often one file."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts").repartition(spark.sparkContext.defaultParallelism)
 
 
-def kind_lines(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+def generated(spark: SparkSession, n: int, seed: int = 0, begin: str = "2024-01-01 00:00:00", seconds: int = 1) -> DataFrame:
+    """n events (event_id, user_id, ts) of their own for kind_lines_of() and all_lines_of(): the same for the same seed, at any number of tasks."""
+    hashed = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 40))
+    ts = F.to_timestamp(F.lit(begin)) + F.make_dt_interval(secs=F.col("id") * seconds)
+    return spark.range(n).select(hashed.alias("event_id"), F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(100_000)).alias("user_id"), ts.alias("ts"))
+
+
+def _made(events: DataFrame, sql: str, *columns) -> DataFrame:
+    """The line comes out of a generator, so that it is made once however often it is used."""
+    return events.select(*columns, F.explode(F.array(F.expr(sql))).alias("value"))
+
+
+def kind_lines_of(events: DataFrame, kind: str) -> DataFrame:
     """(event_id, value): a line of one kind for every event."""
-    return events(spark, sf_dir).select("event_id", F.expr(line_sql(kind, SPARK_DATES)).alias("value"))
+    return _made(events, line_sql(kind, SPARK_DATES), "event_id")
 
 
-def all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def all_lines_of(events: DataFrame) -> DataFrame:
     """(source, pos, value) of all kinds."""
-    return events(spark, sf_dir).select(F.expr(SOURCE_SQL).alias("source"), F.col("event_id").alias("pos"), F.expr(value_sql(SPARK_DATES, "DIV")).alias("value"))
+    return _made(events, value_sql(SPARK_DATES, "DIV"), F.expr(SOURCE_SQL).alias("source"), F.col("event_id").alias("pos"))
+
+
+def weighted_lines_of(events: DataFrame, weights: dict[str, float], sources: int = 1) -> DataFrame:
+    """(source, pos, value): lines of the kinds in proportion to their weights, each kind in so many sources."""
+    bad = set(weights) - set(KINDS)
+    total = sum(weights.values())
+    if bad or total <= 0 or min(weights.values()) < 0:
+        raise ValueError("weights are of apache, json, syslog and nginx, none below zero")
+    # a hash of the event's number, as a share of all hashes, tells the kind
+    share, low, case = F.pmod(F.xxhash64("event_id"), F.lit(1 << 20)) / F.lit(float(1 << 20)), 0.0, None
+    for kind, weight in weights.items():
+        low += weight / total
+        case = F.when(share < low, F.lit(kind)) if case is None else case.when(share < low, F.lit(kind))
+    events = events.withColumn("kind", case.otherwise(F.lit([k for k, w in weights.items() if w][-1])))
+    lines = "CASE kind" + "".join(f" WHEN '{kind}' THEN {line_sql(kind, SPARK_DATES)}" for kind in weights) + " END"
+    return _made(events, lines, F.concat("kind", F.lit("-"), F.pmod(F.xxhash64("event_id", F.lit(2)), F.lit(sources)).cast("string"), F.lit(".log")).alias("source"), F.col("event_id").alias("pos"))
+
+
+def kind_lines(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    return kind_lines_of(events(spark, sf_dir), kind)
+
+
+def all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return all_lines_of(events(spark, sf_dir))
 
 
 def write_logs(lines: DataFrame, path: str) -> None:
@@ -114,3 +155,28 @@ def write_logs(lines: DataFrame, path: str) -> None:
             for part in store.listStatus(source.getPath()):
                 store.rename(part.getPath(), spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"))
     store.delete(at, True)
+
+
+def main(args: list[str] | None = None) -> int:
+    """Command line: writes a directory of log files for tests of load."""
+    p = argparse.ArgumentParser(prog="logmill.sources.synthetic", description="Writes synthetic log files")
+    p.add_argument("directory")
+    p.add_argument("lines", type=int)
+    p.add_argument("--seed", type=int, default=0)
+    p.add_argument("--files", type=int, default=1, help="files of each kind")
+    for kind in KINDS:
+        p.add_argument(f"--{kind}", type=float, default=1.0, help="weight of these lines")
+    a = p.parse_args(args)
+    try:
+        spark = SparkSession.builder.appName("logmill").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        if a.lines < 0 or a.files < 1:
+            raise ValueError("lines are 0 or more, files 1 or more")
+        write_logs(weighted_lines_of(generated(spark, a.lines, a.seed), {k: getattr(a, k) for k in KINDS}, a.files), a.directory)
+    except ValueError as e:
+        print(e, file=sys.stderr)
+        return 1
+    return 0
+
+
+if __name__ == "__main__":
+    raise SystemExit(main())

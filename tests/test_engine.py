@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from logmill.functions import scalars
 from logmill.operators import entries, metrics
 from logmill.plans import queries, report
 from logmill.plans.analyze import analyze, dashboard, main, progress
@@ -40,12 +41,12 @@ def test_bundled_shapes(spark, tmp_path):
 
 
 def test_lines_of_files(spark, tmp_path):
-    path = write(tmp_path / "a", {"x.log": b"a\rb\r\nc\n\n\nd", "long.log": b"y" * 600 + b"\n", ".log": b"no", "note.txt": b"no", "_hidden.log": b"no", "UPPER.LOG": b"no", "empty.log": b""})
+    path = write(tmp_path / "a", {"x.log": b"a\rb\r\nc\n\n\nd", "long.log": b"y" * 600 + b"\n", ".log": b"no", "note.txt": b"no", "_hidden.log": b"h\ni\n", ".x.log": b"j", "UPPER.LOG": b"no", "empty.log": b""})
     (tmp_path / "a" / "sub").mkdir()
     (tmp_path / "a" / "sub" / "deep.log").write_text("no")
-    assert [os.path.basename(p) for p in log_files(spark, path)] == ["empty.log", "long.log", "x.log"]
+    assert [os.path.basename(p) for p in log_files(spark, path)] == [".x.log", "_hidden.log", "empty.log", "long.log", "x.log"]
     rows = read_logs(spark, path).orderBy("source", "pos").collect()
-    assert [r["value"] for r in rows] == ["y" * 511, "a", "b", "c", "d"]
+    assert [r["value"] for r in rows] == ["j", "h", "i", "y" * 511, "a", "b", "c", "d"]
     assert {os.path.basename(r["source"]): r["total"] for r in line_counts(spark, path).collect()} == {"long.log": 1, "x.log": 4}
     with pytest.raises(FileNotFoundError):
         read_logs(spark, str(tmp_path / "none"))
@@ -167,3 +168,43 @@ def test_entry(spark):
     row = __spark_entry__.entry(spark).first()
     assert row["total_lines"] > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_generator_of_lines(spark, tmp_path):
+    """The same lines for a seed at any number of tasks; files of the kinds by weight."""
+    events = synthetic.generated(spark, 3000, seed=5)
+    weights = {"apache": 3, "json": 0, "syslog": 1}
+    lines = synthetic.weighted_lines_of(events, weights, sources=2)
+    assert sorted(lines.collect()) == sorted(synthetic.weighted_lines_of(synthetic.generated(spark, 3000, seed=5).repartition(7), weights, sources=2).collect())
+    assert sorted(lines.collect()) != sorted(synthetic.weighted_lines_of(synthetic.generated(spark, 3000, seed=6), weights, sources=2).collect())
+    counts = {r["source"]: r["count"] for r in lines.groupBy("source").count().collect()}
+    assert set(counts) == {f"{kind}-{k}.log" for kind in ("apache", "syslog") for k in (0, 1)}
+    assert 0.72 < (counts["apache-0.log"] + counts["apache-1.log"]) / 3000 < 0.78
+    with pytest.raises(ValueError, match="weights"):
+        synthetic.weighted_lines_of(events, {"csv": 1})
+    assert synthetic.main([str(tmp_path / "logs"), "400", "--seed", "5", "--json", "0", "--files", "2"]) == 0
+    found = {r["source"].rpartition("/")[2]: r["total"] for r in line_counts(spark, str(tmp_path / "logs")).collect()}
+    assert sum(found.values()) == 400
+    assert {n.partition("-")[0] for n in found} == {"apache", "syslog", "nginx"}
+    assert synthetic.main([str(tmp_path / "none"), "-1"]) == 1
+
+
+def test_epoch_of_event_times(spark):
+    rows = spark.createDataFrame([("2024-02-13 10:23:45",), (None,)], "t string").selectExpr("cast(t AS timestamp_ntz) AS ts")
+    got = rows.select(scalars.epoch(F.col("ts"), "UTC"), scalars.epoch(F.col("ts"), "Europe/Lisbon"), scalars.epoch(F.col("ts"), "America/New_York")).collect()
+    assert list(map(tuple, got)) == [(1707819825, 1707819825, 1707837825), (None, None, None)]
+
+
+def test_report_rows_of_no_entries(spark, tables):
+    none = entries.entries(synthetic.all_lines(spark, tables), year=2024).limit(0)
+    summary, top, ips = metrics.of_report(metrics.report_rows(none))
+    assert set(summary.first()) == {0}
+    assert (top.first()[0], ips.collect()) == (metrics.NO_IP, [])
+
+
+def test_hidden_files_are_read_under_their_names(spark, tmp_path):
+    path = write(tmp_path / "h", {"_a.log": b"one\ntwo", ".b.log": b"three\n", "c.log": b"four\n"})
+    got = sorted((r["source"].rpartition("/")[2], r["value"]) for r in read_logs(spark, path).collect())
+    assert got == [(".b.log", "three"), ("_a.log", "one"), ("_a.log", "two"), ("c.log", "four")]
+    assert {r["source"].rpartition("/")[2]: r["total"] for r in line_counts(spark, path).collect()} == {"_a.log": 1, ".b.log": 1, "c.log": 1}
+    assert {r["source"] for r in read_logs(spark, path).collect()} == {r["source"] for r in line_counts(spark, path).collect()}

@@ -20,14 +20,20 @@ def counters() -> list[Column]:
     return [*out, F.count_if((status >= 400) & (status < 500)).alias("count_4xx"), F.count_if(status >= 500).alias("count_5xx")]
 
 
+def _once(entries: DataFrame, *keys: str) -> DataFrame:
+    """What counters() and the keys need, out of a generator: each counter would otherwise classify the line anew."""
+    names = list(dict.fromkeys([*keys, "level", "http_status"]))
+    return entries.select(F.explode(F.array(F.struct(*names))).alias("e")).select("e.*")
+
+
 def summary(entries: DataFrame) -> DataFrame:
     """One row of COUNTERS; zeros for no entries.  5xx has no upper bound."""
-    return entries.agg(*counters())
+    return _once(entries).agg(*counters())
 
 
 def partial_summary(entries: DataFrame, *keys: str) -> DataFrame:
     """COUNTERS of each group, as merged() takes them."""
-    return entries.groupBy(*keys).agg(*counters())
+    return _once(entries, *keys).groupBy(*keys).agg(*counters())
 
 
 def merged(parts: DataFrame) -> DataFrame:
@@ -53,7 +59,7 @@ def top_ip(entries: DataFrame) -> DataFrame:
 
 def summary_and_ips(entries: DataFrame) -> DataFrame:
     """COUNTERS and the hits of each address from one scan: the row with a null ip has the counters of all entries, and no hits."""
-    by_ip = entries.groupBy("ip").agg(*counters())
+    by_ip = partial_summary(entries, "ip")
     total = F.grouping_id()
     both = by_ip.rollup("ip").agg(*(F.sum(c).alias(c) for c in COUNTERS), total.alias("all_ips"))
     return both.where((F.col("all_ips") == 1) | (F.col("ip") != "")).withColumn("hits", F.when(F.col("all_ips") == 0, F.col("total_lines")).otherwise(0)).drop("all_ips")

@@ -230,7 +230,10 @@ def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean_lines(synthetic.all_lines(spark, sf_dir))
+    """All lines, made once: the formats and the entries each read them."""
+    path = scratch_folder(spark)
+    synthetic.all_lines(spark, sf_dir).write.parquet(path)
+    return clean_lines(spark.read.parquet(path))
 
 
 def _entries(spark: SparkSession, sf_dir: str, mode: str = "full", **options) -> DataFrame:

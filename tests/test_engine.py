@@ -47,7 +47,7 @@ def test_lines_of_files(spark, tmp_path):
     assert [os.path.basename(p) for p in log_files(spark, path)] == [".x.log", "_hidden.log", "empty.log", "long.log", "x.log"]
     rows = read_logs(spark, path).orderBy("source", "pos").collect()
     assert [r["value"] for r in rows] == ["j", "h", "i", "y" * 511, "a", "b", "c", "d"]
-    assert {os.path.basename(r["source"]): r["total"] for r in line_counts(spark, path).collect()} == {"long.log": 1, "x.log": 4}
+    assert {os.path.basename(r["source"]): r["total"] for r in line_counts(spark, path).collect()} == {".x.log": 0, "_hidden.log": 2, "long.log": 1, "x.log": 4}
     with pytest.raises(FileNotFoundError):
         read_logs(spark, str(tmp_path / "none"))
     (tmp_path / "void").mkdir()

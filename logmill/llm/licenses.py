@@ -6,8 +6,9 @@ regression over word uni- and bigrams, learned from grants of licences in many
 wordings and from sentences that speak of licences without granting one, gives
 each paragraph a family or `unknown`; its softmax is calibrated on wordings that
 it did not learn from.  A family counts only if the paragraph also shares enough
-bigrams with one of its templates.  The scan is one projection of the texts: only
-the grams that the model knows are kept of a paragraph, nothing is shuffled.
+bigrams with one of its templates.  Every paragraph of every text is classified.
+The scan is one projection of the texts: only the grams that the model knows are
+kept of a paragraph, nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -89,13 +90,14 @@ CHECKED_MENTIONS = ["The court had to explain the {} to the jury.", "Students of
 OTHER = ["You need a license to drive a car.", "His fishing license was renewed in spring.", "The driver had no valid licence.", "They asked permission to leave the room.", "The Apache helicopter landed near the base.", "She studied physics at MIT for four years.", "The general public was not allowed inside.", "The public domain is a topic of the lecture.", "The committee reserved a table for eight.", "All seats are reserved for members.", "Civil rights were the subject of the debate.", "The warranty of the phone ends next year.", "A copy of the letter was sent to the office.", "Creative people work in common rooms.", "The foundation gave free meals to any person.", "The source of the river lies in the hills.", "Copyright law changed in that decade.", "See the license file for details.", "Terms and conditions apply to this offer.", "The software was sold with a commercial license.", "Redistribution of wealth was discussed in parliament.", "The notice was published by the ministry.", "The version of events differs.", "Binary stars are two suns that circle each other.", "Smoking is prohibited in all rooms.", "The new version of the program is faster.", "Permission to land was granted by the tower.", "The bakery lost its licence to sell beer.", "Her permission is not needed for that.", "Copyright is a right that ends after seventy years.", "A license plate was found in the river.", "The rights of the workers were at stake."]
 #: Words of any text, and how many words may stand before and after a sentence to learn from.
 COMMON, AROUND = "the of and to in is this that it for as with on be at by not are or was from".split(), [0, 0, 0, 3, 8, 20, 60]
-#: Only paragraphs with one of these are classified: all grants have one.
+#: Words of licences: a paragraph with one of these is listed even if it is `unknown`.
 ANCHORS = ("licen", "permission", "redistribut", "rights reserved", "proprietary", "public domain", "copyright", "prohibited", "commons", "cc0", "cc by", "gpl", "misrepresented", "distributed under")
 
 #: Steps of gradient descent, and their size for each weight.
 STEPS, RATE = 300, 0.3
 
-_WORD = "[a-z0-9]+(?:[.+-][a-z0-9]+)*"
+#: Possessive, as Java's other loops over groups recurse, and words may be long.
+_WORD = "[a-z0-9]++(?:[.+-][a-z0-9]++)*+"
 # Marks that begin and end lines of comments.
 _MARK = "^[ \t]*(?:(?:/?\\*+|//+|#+|--+|;+|%+|<!--|dnl\\b)[ \t]*)?"
 _CLOSE = "(?:\\*/|-->)[ \t]*$"
@@ -230,33 +232,32 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.array_join(lines, ""), "\n"), lambda p: F.trim(p)), lambda p: p != "")
 
 
-def _with_anchor(rows: DataFrame) -> DataFrame:
-    """Rows whose text has one of ANCHORS; lower() may fold other letters to theirs too, which only keeps more."""
-    low = rows.select("*", F.explode(F.array(F.lower("text"))).alias("low"))
-    return low.where(" or ".join(f"contains(low, '{a}')" for a in ANCHORS)).drop("low")
-
-
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: bool = False) -> DataFrame:
     """One row per paragraph that speaks of licences: doc_id, paragraph, text, family, score, template_share.
 
+    All paragraphs are classified.  Those given a family have a row, whatever their
+    words; those that are `unknown` have one if they hold any of ANCHORS, or always
+    with `every`.
     Blank lines part paragraphs, and a line that ends with . ! ? or : closes one;
     other lines are joined, and marks of comments at their begin and end left out.
     paragraph is the number of it in the text, from 0, and text is so joined.
     family is `unknown` if the classifier finds none with probability PROBABILITY,
     or no template of it shares SHARE of the shorter one's bigrams; score is the
     calibrated probability of the named family, or of `unknown`; ties go to the
-    first family.  Null and empty texts and paragraphs without any of ANCHORS give
-    no row.  Repeated rows and rows without an id give their own rows.  Other
+    first family.  Null and empty texts give no row.  Repeated rows and rows without an id give their own rows.  Other
     columns are not read.  Memory is in proportion to the longest text.
     """
     families, weights, bias = model()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = _with_anchor(_with_anchor(rows).select("doc_id", F.posexplode(paragraphs(F.col("text"))).alias("paragraph", "text")))
+    rows = rows.select("doc_id", F.posexplode(paragraphs(F.col("text"))).alias("paragraph", "text"))
+    # lower() may fold other letters to those of ANCHORS too, which only lists more
+    listed = F.lit(True) if every else F.expr(" or ".join(f"contains(low, '{a}')" for a in ANCHORS))
+    rows = rows.select("*", F.explode(F.array(F.lower("text"))).alias("low")).select("doc_id", "paragraph", "text", listed.alias("listed"))
     lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     # what comes out of a generator is computed once, however often it is used
     rows = rows.select("*", F.explode(F.array(F.regexp_extract_all(lowered, F.lit(_WORD), F.lit(0)))).alias("words"))
     two = F.when(F.size("words") > 1, F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
-    rows = rows.select("doc_id", "paragraph", "text", "words", F.explode(F.array(F.array_distinct(two))).alias("two"))
+    rows = rows.select("doc_id", "paragraph", "text", "listed", "words", F.explode(F.array(F.array_distinct(two))).alias("two"))
 
     # sets of literals: of a paragraph's grams only those that the model or a template has are left, which are few
     known, holders = sorted(weights), {}
@@ -268,8 +269,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     shared = F.flatten(F.transform(_among("two", sorted(holders)), _looked_up(holders, "int")))
     weight = _looked_up(weights, "double")
     logits = F.aggregate(hits, F.from_json(F.lit(json.dumps(bias)), "array<double>"), lambda z, g: F.zip_with(z, weight(g), lambda a, b: a + b))
-    rows = rows.select("doc_id", "paragraph", "text", F.size("two").alias("pairs"), F.explode(F.array(F.struct(logits.alias("logits"), shared.alias("shared")))).alias("m"))
-    rows = rows.select("doc_id", "paragraph", "text", "pairs", "m.shared", "m.logits", F.array_max("m.logits").alias("top"))
+    rows = rows.select("doc_id", "paragraph", "text", "listed", F.size("two").alias("pairs"), F.explode(F.array(F.struct(logits.alias("logits"), shared.alias("shared")))).alias("m"))
+    rows = rows.select("doc_id", "paragraph", "text", "listed", "pairs", "m.shared", "m.logits", F.array_max("m.logits").alias("top"))
     rows = rows.withColumn("best", (F.array_position("logits", F.col("top")) - 1).cast("int")).withColumn("all", F.aggregate("logits", F.lit(0.0), lambda s, v: s + F.exp(v - F.col("top"))))
 
     # templates of the best family; two bigrams at least, so that one common pair of words is not enough
@@ -285,7 +286,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     named = (F.col("best") > 0) & (F.col("p") >= PROBABILITY) & (F.col("template_share") >= SHARE)
     names = F.element_at(F.array(*map(F.lit, families)), F.col("best") + 1)
     unknown = F.exp(F.col("logits")[0] - F.col("top")) / F.col("all")
-    return rows.select("doc_id", "paragraph", "text", F.when(named, names).otherwise(UNKNOWN).alias("family"), F.when(named, F.col("p")).otherwise(unknown).alias("score"), F.col("template_share"))
+    return rows.where(F.col("listed") | named).select("doc_id", "paragraph", "text", F.when(named, names).otherwise(UNKNOWN).alias("family"), F.when(named, F.col("p")).otherwise(unknown).alias("score"), F.col("template_share"))
 
 
 def op2_licenses(spark, sf_dir: str) -> DataFrame:

@@ -96,6 +96,37 @@ def test_no_shuffle_and_no_python(spark):
     assert not re.search("Exchange|Python|Arrow|Join", plan)
 
 
+#: Grants without any of ANCHORS in a line, with their families.
+WITHOUT_ANCHOR = [
+    ("Released under the MPL 2.0.", "MPL-2.0"),
+    ("All content here is made available under the EUPL, Version 1.2.", "EUPL"),
+    (L.TEXTS["Unlicense"][1], "Unlicense"),
+    ("Example Corp.\n\nAll rights\nreserved.", "Proprietary"),
+    ("# All  rights  reserved.", "Proprietary"),
+    ("// Source files: MPL\n// 2.0.", "MPL-2.0"),
+]
+
+
+def test_every_paragraph_is_classified(spark):
+    assert not any(a in line.lower() for t, _ in WITHOUT_ANCHOR for line in t.split("\n") for a in L.ANCHORS)
+    rows = [(k, "The river was cold that day.\n" + t + "\n\nThey walked home by any means.") for k, (t, _) in enumerate(WITHOUT_ANCHOR)]
+    rows += [(90, "The river was cold that day.\nBy any means."), (91, None), (92, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["text"].split()[0], r["family"]) for r in L.scan(docs).orderBy("doc_id").collect()]
+    assert [(k, f) for k, _, f in got] == [(k, f) for k, (_, f) in enumerate(WITHOUT_ANCHOR)]
+    # with all that are unknown, as a plain version gives them
+    got = sorted(map(tuple, L.scan(docs, every=True).collect()))
+    want = sorted((k, n, p, *classified(p)[:3]) for k, t in rows for n, p in enumerate(plain_paragraphs(t or "")))
+    assert [g[:4] for g in got] == [w[:4] for w in want]
+    assert np.allclose([g[4:] for g in got], [w[4:] for w in want])
+
+
+def test_a_word_of_many_parts(spark):
+    text = "a-b." * 200_000 + "a\nreleased under the MIT license."
+    got = L.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [(r["paragraph"], r["family"]) for r in got] == [(0, "MIT")]
+
+
 #: Wordings of which none was learned from or calibrated by.
 HELD = {
     "MIT": ["You may use this library under the MIT License.", "Code samples in this book are covered by the MIT license."],

@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import random
 import re
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -214,9 +215,12 @@ def model(seed: int = 0) -> tuple[list[str], dict[str, list[float]], list[float]
 
 
 def _looked_up(table: dict[str, list], kind: str):
-    """A literal map of bounded size, as a function of its key."""
-    literal = F.from_json(F.lit(json.dumps(table)), f"map<string, array<{kind}>>")
-    return lambda g: F.element_at(literal, g)
+    """A literal map of bounded size, as a function of its key: in parts by hash, as Spark looks through a map from its begin."""
+    parts: list[dict[str, list]] = [{} for _ in range(2 * len(table) + 1)]
+    for g, values in table.items():
+        parts[zlib.crc32(g.encode()) % len(parts)][g] = values
+    literal = F.from_json(F.lit(json.dumps(parts)), f"array<map<string, array<{kind}>>>")
+    return lambda g: F.element_at(F.element_at(literal, (F.crc32(g) % len(parts) + 1).cast("int")), g)
 
 
 def _among(column: str, grams: list[str]) -> Column:

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat
+from . import chat, filter_audit, line_dedup
 from .ann import op9_ann
 from .decontamination import op7_decontamination
 from .language_id import op3_language_id
 from .licenses import op2_licenses
 from .ngram_jaccard import op1_ngram_jaccard
 from .packing import op4_packing
+from .periodic_runs import op13_periodic_runs
 from .pii import op5_pii
 from .quality import op10_quality
 from .toxicity import op8_toxicity
@@ -28,6 +29,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_ann": op9_ann,
     "op10_quality": op10_quality,
+    "op11_line_dedup": line_dedup.op11_line_dedup,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_chat": chat.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_chat": chat.ORACLE_SQL, "op11_line_dedup": line_dedup.ORACLE_SQL, "op12_filter_audit": filter_audit.ORACLE_SQL}

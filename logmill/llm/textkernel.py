@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -177,9 +177,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a table in the folder that spark.checkpoint.dir names; where none is set and all runs on one machine, in one of this session's own."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession) -> str:
+    """A new folder's path below the one that spark.checkpoint.dir names, or where none is set and all runs on one machine, below one of this session's own; deleted when the session's JVM ends."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.conf.get("spark.master", "").startswith("local"):
@@ -188,9 +187,16 @@ def saved(df: DataFrame) -> DataFrame:
             _OWN["folder"] = tempfile.mkdtemp(prefix="tables-")
         folder = _OWN["folder"]
     path = f"{folder}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a table in a new_folder()."""
+    spark = df.sparkSession
+    path = new_folder(spark)
+    df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
     _LIVE[path] = out

@@ -124,9 +124,13 @@ def sample(rows: DataFrame, by: str, most: int, chars: int) -> tuple[list[str],
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, chars: int) -> tuple[list[str], list[int]]:
-    """sample() of the documents that are not held out and that `labels` marks 0 or 1 in the column `label`."""
+    """sample() of the documents that are not held out and that `labels` marks 0 or 1 in the column `label`.
+
+    Labels of documents that are not there, or have no text, are left out first, by
+    their ids, so that it does not matter how many of these there are.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias(label))
     known = known.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~K.held_out(F.col("doc_id")))
-    # more than are taken, as some may have no text here
-    known = chosen(known, label, ["doc_id"], 4 * most).distinct()
+    there = docs.where("doc_id is not null and text <> ''").select("doc_id").distinct()
+    known = chosen(known.join(there, "doc_id", "left_semi"), label, ["doc_id"], most).distinct()
     return sample(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").where("text <> ''"), label, most, chars)

@@ -146,6 +146,16 @@ def test_labels_of_copied_and_long_documents(spark):
     assert all(len(t) == 1500 for t, y in zip(texts, marks) if y)
 
 
+def test_labels_of_absent_documents(spark):
+    """A thousand times as many labels of documents that are not there, or have no text, change nothing."""
+    docs = spark.range(600).selectExpr("id AS doc_id", "concat('text ', id) AS text").unionByName(spark.range(600, 900).selectExpr("id AS doc_id", "IF(id % 2 = 0, '', null) AS text"))
+    mine = spark.range(600).selectExpr("id AS doc_id", "cast(id % 3 = 0 AS int) AS quality")
+    others = spark.range(600, 600_000).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality")
+    want = labelled(docs, mine, "quality", 100, 1_000_000)
+    assert labelled(docs, mine.unionByName(others), "quality", 100, 1_000_000) == want
+    assert (want[1].count(0), want[1].count(1)) == (100, 100)
+
+
 @pytest.mark.parametrize("labelled", [False, True])
 def test_no_language_to_learn(spark, labelled):
     rows = [(k, prose("aa", 20), "aa" if labelled and is_held_out(k) else None) for k in range(30)]

@@ -150,12 +150,20 @@ def _sign_pass(size: int, percent: int, order):
 
 
 def _set_pass(size: int, order, wanted: np.ndarray):
-    """Whole sets of documents whose id may be wanted."""
+    """Whole sets of documents whose id may be wanted; those of repeated rows once in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             batch = batch.filter(pa.array(K.falls_on(wanted, ids)))
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()))
+            once = []
+            for k, key in enumerate(keys):
+                if key not in seen:
+                    seen.add(key)
+                    once.append(k)
+            batch = batch.take(pa.array(once, pa.int64()))
             for part in K.slices(batch, 1):
                 value, _, sizes = _ordered_sets(part.column(1), size, order)
                 yield pa.RecordBatch.from_arrays([pa.array(_digests(value, sizes), pa.binary()), K.lists(pa.array(value.view(np.int64)), sizes)], ["digest", "members"])
@@ -247,10 +255,15 @@ class _Join:
         ends = [pairs.select(F.col(f"doc_id_{e}").alias("doc_id")) for e in "ab"]
         table = K.maybe(ends[0].unionByName(ends[1]).distinct(), "doc_id")
         # whole sets are read again from the texts, for the documents of some pair only and without a shuffle
-        sets = self.keep(self.docs.where("doc_id is not null").mapInArrow(_set_pass(self.size, self.order, table), "digest binary, members array<long>"))
+        sets = self.docs.where("doc_id is not null").mapInArrow(_set_pass(self.size, self.order, table), "digest binary, members array<long>")
+        sets = self.keep(sets.withColumn("row", F.monotonically_increasing_id()))
+        # equal sets of several rows are one: its first row is told before whole sets are joined, so that copies neither meet nor gather
+        firsts = sets.groupBy("digest").agg(F.min("row").alias("row"))
         found = pairs.select("a", "b", "n_a", "n_b", "digest_a", "digest_b")
         for end in "ba":
-            found = found.join(sets.select(F.col("digest").alias(f"digest_{end}"), F.col("members").alias(f"members_{end}")), f"digest_{end}").drop(f"digest_{end}")
+            found = found.join(firsts.select(F.col("digest").alias(f"digest_{end}"), F.col("row").alias(f"row_{end}")), f"digest_{end}").drop(f"digest_{end}")
+        for end in "ba":
+            found = found.join(sets.select(F.col("row").alias(f"row_{end}"), F.col("members").alias(f"members_{end}")), f"row_{end}").drop(f"row_{end}")
         common = F.size(F.array_intersect("members_a", "members_b"))
         return found.where(common * 100 >= (F.col("n_a") + F.col("n_b") - common) * self.percent).select("a", "b").distinct()
 

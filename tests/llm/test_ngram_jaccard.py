@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -79,3 +80,19 @@ def test_edges(spark):
     assert kept.columns == docs.columns
     assert sorted((r[0] for r in kept.collect()), key=str) == sorted([5, 6, 7, 3, 4, None], key=str)
     assert jaccard_join(docs.limit(0)).collect() == []
+
+
+def test_repeated_rows_of_linked_texts(spark):
+    """Whole sets of repeated rows, and of exact copies under other ids, are joined once: ten thousand take no more than some time over one."""
+    base = [f"w{k}" for k in range(60)]
+    pair = [(1, " ".join(base)), (2, " ".join([*base[:-1], "other"]))]
+    began = time.monotonic()
+    one = jaccard_join(spark.createDataFrame(pair, "doc_id long, text string"), size=3, percent=90).collect()
+    once = time.monotonic() - began
+    assert sorted(map(tuple, one)) == [(1, 58, 1), (2, 58, 1)]
+    docs = spark.range(20_000).selectExpr("IF(id < 10000, id % 2 + 1, id) AS doc_id", "id % 2 AS odd")
+    docs = docs.join(spark.createDataFrame([(k - 1, text) for k, text in pair], "odd long, text string"), "odd").select("doc_id", "text").repartition(8)
+    began = time.monotonic()
+    got = jaccard_join(docs, size=3, percent=90).groupBy("n_shingles", "component_id").count().collect()
+    assert [tuple(r) for r in got] == [(58, 1, 20_000)]
+    assert time.monotonic() - began < 2 * once + 10

@@ -8,7 +8,8 @@ may be seeds are joined with the table of seeds; where a document holds as many
 seeds of an item as it must, and close enough to each other, the passage around
 them is aligned with the item word by word (Smith-Waterman with a linear gap).
 So the pairs found are those of aligning every document with every item, however
-the copy was edited.  Short items must share runs of words instead.
+the copy was edited.  Of short items, of which an alignment need not keep any pair,
+the rarest words are seeds, by the same pigeonhole over words.
 
 All documents are read three times, whatever the number of items: to count, to
 find seeds, and, only those with candidates, to align.  What is sent to all tasks
@@ -27,11 +28,10 @@ from pyspark.sql import functions as F
 from . import textkernel as K
 from . import wordmodel as M
 
-SIZE = 3
 #: Least score of an alignment against that of the whole item, to count as a copy.
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
-#: Items of which fewer matching words reach the threshold have runs of words as seeds.
+#: Items of which fewer matching words reach the threshold have words as seeds.
 LEAST_WORDS = 4
 #: The work of an alignment against that of a seed found.
 ALIGN_WORK = 5000.0
@@ -48,33 +48,28 @@ def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return hashes, counts, starts, ends, offsets
 
 
-def _keys(hashes: np.ndarray, counts: np.ndarray, size: int, far: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of pairs of words up to `far` apart and of runs of `size` words, the text of each and the place of its first word."""
+def _keys(hashes: np.ndarray, counts: np.ndarray, far: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of words and of pairs of words up to `far` apart, the text of each and the place of its first word."""
     owner = np.repeat(np.arange(len(counts)), counts)
-    keys, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     with np.errstate(over="ignore"):
+        keys, places = [K.mix(hashes + np.uint64(2))], [np.arange(len(hashes))]
         for d in range(1, far + 1):
             at = np.flatnonzero(owner[d:] == owner[:-d])
             keys.append(K.mix(hashes[at] * np.uint64(3) + hashes[at + d] + np.uint64(1)))
             places.append(at)
-    runs, _, at = K.shingles(hashes, counts, size)
-    keys.append(runs)
-    places.append(at)
     place = np.concatenate(places)
-    return np.concatenate(keys), owner[place] if len(owner) else place, place
+    return np.concatenate(keys), owner[place], place
 
 
-def _item_pass(size: int, threshold: float):
-    """Words of each item, and its seeds-to-be with how often each stands in it; of short items their runs, of others their pairs."""
+def _item_pass(threshold: float):
+    """Words of each item, and its seeds-to-be with how often each stands in it; of short items their words, of others their pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes, counts, *_ = _hashed(batch.column(2))
-            keys, owner, _ = _keys(hashes, counts, size, 1)
-            is_run = np.zeros(len(keys), dtype=bool)
-            is_run[len(keys) - len(K.shingles(hashes, counts, size)[0]) :] = True
-            short = (counts < size) | (threshold * counts < LEAST_WORDS)
-            keep = short[owner] == is_run
+            keys, owner, _ = _keys(hashes, counts, 1)
+            short = threshold * counts < LEAST_WORDS
+            keep = short[owner] == (np.arange(len(keys)) < len(hashes))
             by = np.lexsort((keys[keep], owner[keep]))
             keys, owner = keys[keep][by], owner[keep][by]
             new = np.ones(len(keys), dtype=bool)
@@ -88,14 +83,14 @@ def _item_pass(size: int, threshold: float):
     return run
 
 
-def _count_pass(bits: np.ndarray, size: int):
+def _count_pass(bits: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = 0
         for batch in batches:
             for part in K.slices(batch, 0):
                 hashes, counts, *_ = _hashed(part.column(0))
                 words += len(hashes)
-                keys = _keys(hashes, counts, size, 2)[0].view(np.int64)
+                keys = _keys(hashes, counts, 2)[0].view(np.int64)
                 keys, n = np.unique(keys[K.falls_on(bits, keys)], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
         # the number of all words has no key
@@ -135,11 +130,8 @@ def _seed_pass(total: int, threshold: float):
                 key, times, n = key[order], times[order], n[order]
                 least = MATCH * threshold * size
                 span = int(3 * size - least) + 2
-                if short:
-                    # runs, of which two must be shared if there are more than one
-                    out.append((item, key, n, min(2, len(key)), 1 << 40))
-                    continue
-                must = np.maximum(least_kept(size, least), 1) - (times.sum() - np.cumsum(times))
+                kept = int(np.ceil(least / MATCH - 1e-9)) if short else least_kept(size, least)
+                must = np.maximum(kept, 1) - (times.sum() - np.cumsum(times))
                 rate = np.cumsum(n) / total
                 # Chernoff's bound of as many seeds again near a seed
                 near, more = rate * span, np.maximum(must - 1, 0)
@@ -156,14 +148,20 @@ def _seed_pass(total: int, threshold: float):
     return run
 
 
-def _hit_pass(bits: np.ndarray, hot: np.ndarray, size: int):
-    """Places of the documents' keys that may be seeds."""
+def _hit_pass(bits: np.ndarray, hot: np.ndarray):
+    """Places of the documents' keys that may be seeds; those of repeated rows once in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            for part in K.slices(batch, 2):
+            once = []
+            for k, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if key not in seen:
+                    seen.add(key)
+                    once.append(k)
+            for part in K.slices(batch.take(pa.array(once, pa.int64())), 2):
                 hashes, counts, *_ = _hashed(part.column(2))
-                keys, owner, place = _keys(hashes, counts, size, 2)
+                keys, owner, place = _keys(hashes, counts, 2)
                 keys = keys.view(np.int64)
                 at = np.flatnonzero(K.falls_on(bits, keys))
                 keys, owner, place = keys[at], owner[at], (place - (np.cumsum(counts) - counts)[owner])[at]
@@ -246,7 +244,7 @@ def _align_pass(threshold: float):
                         item, words, places = c["item"].as_py(), np.asarray(c["words"].values).view(np.uint64), np.asarray(c["places"].values)
                         least, top = MATCH * threshold * len(words), (0.0, 0, 0)
                         # an alignment that reaches the threshold is no longer than this
-                        reach = int(3 * len(words) - least) + SIZE + 1
+                        reach = int(3 * len(words) - least) + 2
                         for begin, end in _windows(places + first[d], reach, int(first[d]), int(first[d] + counts[d])):
                             passage = hashes[begin:end]
                             key = (item, passage.tobytes())
@@ -265,15 +263,15 @@ def _align_pass(threshold: float):
     return run
 
 
-def _holdings(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_id_col: str, item_text_col: str, size: int, threshold: float) -> DataFrame:
+def _holdings(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_id_col: str, item_text_col: str, threshold: float) -> DataFrame:
     """What contaminated() returns, and the hash of each row's text."""
     docs = K.bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text <> ''")
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     items = benchmark.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null and text <> ''").distinct()
-    items = K.saved(items.select(F.monotonically_increasing_id().alias("item"), "item_id", "text").mapInArrow(_item_pass(size, threshold), "item long, item_id long, words array<long>, short boolean, keys array<long>, times array<long>").where("size(keys) > 0"))
+    items = K.saved(items.select(F.monotonically_increasing_id().alias("item"), "item_id", "text").mapInArrow(_item_pass(threshold), "item long, item_id long, words array<long>, short boolean, keys array<long>, times array<long>").where("size(keys) > 0"))
     keys = items.select("item", F.posexplode("keys").alias("k", "key"), "times").select("item", "key", F.col("times")[F.col("k")].alias("times"))
 
-    counts = docs.select("text").mapInArrow(_count_pass(K.maybe(keys.select("key").distinct(), "key"), size), "key long, n long")
+    counts = docs.select("text").mapInArrow(_count_pass(K.maybe(keys.select("key").distinct(), "key")), "key long, n long")
     counts = K.saved(counts.groupBy("key").agg(F.sum("n").alias("n")))
     total = max(1, counts.where("key is null").agg(F.sum("n")).first()[0] or 0)
     counted = keys.join(counts, "key", "left").groupBy("item").agg(F.collect_list(F.struct("key", "times", F.coalesce("n", F.lit(0)).alias("n"))).alias("keys"))
@@ -282,10 +280,10 @@ def _holdings(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
 
     # a key that has 1 of HOT_WORDS words: at most 3 * HOT_WORDS of them, as a word begins three keys
     hot = np.array([r["key"] for r in seeds.where(F.col("n") * HOT_WORDS > total).select("key").distinct().collect()], dtype=np.int64)
-    hits = docs.mapInArrow(_hit_pass(K.maybe(seeds.select("key").distinct(), "key", room=128), hot, size), "doc_id long, text_hash long, key long, salt long, place long")
+    hits = docs.mapInArrow(_hit_pass(K.maybe(seeds.select("key").distinct(), "key", room=128), hot), "doc_id long, text_hash long, key long, salt long, place long")
     salts = F.when(F.col("n") * HOT_WORDS > total, F.expr(f"sequence(0L, {SALTS - 1}L)")).otherwise(F.expr("array(0L)"))
     found = hits.join(seeds.select("item", "key", "need", "span", F.explode(salts).alias("salt")), ["key", "salt"])
-    found = found.groupBy("item", "doc_id", "text_hash").agg(F.first("need").alias("need"), F.first("span").alias("span"), F.collect_list("place").alias("places")).where("size(places) >= need")
+    found = found.groupBy("item", "doc_id", "text_hash").agg(F.first("need").alias("need"), F.first("span").alias("span"), F.collect_set("place").alias("places")).where("size(places) >= need")
     near = K.saved(found.mapInArrow(_near_pass(), "item long, doc_id long, text_hash long, places array<long>"))
 
     # an item that very many documents hold is joined in parts
@@ -296,31 +294,29 @@ def _holdings(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
     return some.mapInArrow(_align_pass(threshold), "doc_id long, item_id long, score double, seeds long, begin long, end long, text_hash long")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", size: int = SIZE, threshold: float = THRESHOLD) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Pairs of documents and benchmark items that they hold: doc_id, item_id, score, seeds, begin, end.
 
     Words are parted at white space, without the signs around them, in lower
     case.  score is the best alignment's share of a whole copy's (1: verbatim) and
     is at least `threshold`; begin and end are the byte positions of the aligned
     passage, and seeds is how many places of the document with seeds of the item
-    led to it.  All pairs that reach the threshold are found; but an item of which
-    fewer than four words reach it (under eight words at 0.5) must also share two
-    runs of `size` words with the document, or one if it has no more.  Documents
-    or items that are null, empty or without words match nothing; an item of fewer
-    than `size` words matches a document that has just these words.  Repeated
+    led to it.  All pairs that reach the threshold are found, of items of any number
+    of words: so at 0.5 an item of two words is held where one of them stands.
+    Documents or items that are null, empty or without words match nothing.  Repeated
     document rows each give their rows; repeated items give theirs once.  A row of
     either table without an id is not compared.  Other columns are not read.
     """
-    return K.written(lambda: _holdings(docs, benchmark, id_col, text_col, item_id_col, item_text_col, size, threshold).drop("text_hash"))
+    return K.written(lambda: _holdings(docs, benchmark, id_col, text_col, item_id_col, item_text_col, threshold).drop("text_hash"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", size: int = SIZE, threshold: float = THRESHOLD) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Rows of `docs` that hold no benchmark item, whatever their other columns' names.
 
     Rows without an id stay, as do null and empty texts; repeated rows stay or go
     together, and a row of another text under the same id is judged by its own.
     """
-    bad = K.written(lambda: _holdings(docs, benchmark, id_col, text_col, item_id_col, item_text_col, size, threshold).select("doc_id", "text_hash").distinct())
+    bad = K.written(lambda: _holdings(docs, benchmark, id_col, text_col, item_id_col, item_text_col, threshold).select("doc_id", "text_hash").distinct())
     return K.without(docs, id_col, bad.select(F.col("doc_id").alias("marked_id"), F.col("text_hash").alias("marked_text"), F.lit(True).alias("goes")), text_col)
 
 

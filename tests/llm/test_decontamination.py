@@ -83,8 +83,8 @@ def test_edges(spark):
     rows = [(1, None), (2, ""), (3, "Alpha, beta gamma DELTA epsilon."), (3, "Alpha, beta gamma DELTA epsilon."), (4, "Two words"), (5, "two words more"), (None, "alpha beta gamma delta epsilon"), (6, "no id of this item at all")]
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = sorted((r["doc_id"], r["item_id"], r["score"]) for r in contaminated(docs, bench).collect())
-    assert got == [(3, 1, 1.0), (3, 1, 1.0), (4, 4, 1.0)]
-    assert sorted((r["doc_id"] or 0) for r in clean(docs, bench).collect()) == [0, 1, 2, 5, 6]
+    assert got == [(3, 1, 1.0), (3, 1, 1.0), (4, 4, 1.0), (5, 4, 1.0)]
+    assert sorted((r["doc_id"] or 0) for r in clean(docs, bench).collect()) == [0, 1, 2, 6]
     assert contaminated(docs.limit(0), bench).collect() == []
     assert contaminated(docs, bench.limit(0)).collect() == []
 
@@ -108,15 +108,50 @@ def test_heavy_edits_against_brute_force(spark, verbatim):
             copy = [word() if r.random() < 0.3 else w for w in copy]
         before, after = ([word() for _ in range(r.choice([0, 40, 300]))] for _ in "ab")
         rows.append((k, [*before, *copy, *after]))
+    want = aligned(rows, items)
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in rows], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in items], "item_id long, text string")
+    assert {(x["doc_id"], x["item_id"]): x["score"] for x in contaminated(docs, bench).collect()} == want
+    assert len(want) > 150
+
+
+def aligned(rows, items, threshold=0.5):
+    """Scores of all pairs that reach the threshold, each aligned whole."""
     numbers: dict[str, int] = {}
     number = lambda words: np.array([numbers.setdefault(w, len(numbers)) for w in words], dtype=np.int64)
     want = {}
     for k, text in rows:
         for i, item in items:
-            score = align(number(text), number(item))[0] / (2 * len(item))
-            if score >= 0.5:
+            score = align(number(text), number(item))[0] / (2 * len(item)) if text else 0
+            if score >= threshold:
                 want[k, i] = score
+    return want
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.75])
+def test_short_items_against_brute_force(spark, threshold):
+    """Items of one to seven words, some of which stand in most documents, verbatim and edited."""
+    r = random.Random(17)
+    word = lambda: f"w{int(r.expovariate(0.01))}"
+    items = [(k, [word() for _ in range(k % 7 + 1)]) for k in range(42)] + [(90, ["w1", "w1", "w2"]), (91, ["w3"] * 6)]
+    rows = []
+    for k in range(260):
+        copy = list(r.choice(items)[1])
+        for _ in range(r.choice([0, 1, 1, 2])):
+            at = r.randrange(len(copy) + 1)
+            copy[at : at + r.choice([0, 1])] = r.choice([[], [word()], [word(), word()]])
+        before, after = ([word() for _ in range(r.choice([0, 3, 60]))] for _ in "ab")
+        rows.append((k, [*before, *copy, *after]))
+    want = aligned(rows, items, threshold)
     docs = spark.createDataFrame([(k, " ".join(t)) for k, t in rows], "doc_id long, text string")
     bench = spark.createDataFrame([(k, " ".join(t)) for k, t in items], "item_id long, text string")
-    assert {(x["doc_id"], x["item_id"]): x["score"] for x in contaminated(docs, bench).collect()} == want
-    assert len(want) > 150
+    assert {(x["doc_id"], x["item_id"]): x["score"] for x in contaminated(docs, bench, threshold=threshold).collect()} == want
+    assert len({i for _, i in want}) > 35
+
+
+def test_repeated_rows(spark):
+    """A row a thousand times gives its pair a thousand times."""
+    text = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    docs = spark.createDataFrame([(k % 2, text + " and so on") for k in range(2000)], "doc_id long, text string").repartition(8)
+    got = contaminated(docs, spark.createDataFrame([(1, text)], "item_id long, text string")).groupBy("doc_id", "item_id", "score", "seeds").count().collect()
+    assert sorted((r["doc_id"], r["item_id"], r["score"], r["count"]) for r in got) == [(0, 1, 1.0, 1000), (1, 1, 1.0, 1000)]

@@ -44,10 +44,13 @@ def source_formats(lines: DataFrame, lenient: bool = False) -> DataFrame:
 def with_sticky_format(lines: DataFrame, lenient: bool = False, sources: int | None = None) -> DataFrame:
     """lines with the format of their source.
 
-    One row per source joins.  Where the caller knows that there are at most
+    Where each line comes with its source's first one (`first`), no other line is
+    asked.  Otherwise one row per source joins.  Where the caller knows that there are at most
     `sources` of them, and that is within MOST_BROADCAST, these rows are broadcast;
     otherwise Spark chooses by their size.
     """
+    if "first" in lines.columns:
+        return lines.withColumn("format", format_of(F.col("first"), lenient)).drop("first")
     formats = source_formats(lines, lenient)
     few = sources is not None and sources <= MOST_BROADCAST
     return lines.join(F.broadcast(formats) if few else formats, "source")

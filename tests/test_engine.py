@@ -13,7 +13,7 @@ from logmill.operators import entries, metrics
 from logmill.plans import queries, report
 from logmill.plans.analyze import analyze, dashboard, main, progress
 from logmill.sources import synthetic
-from logmill.sources.files import NoLogs, line_counts, log_files, read_logs
+from logmill.sources.files import NoLogs, line_counts, log_files, read_logs, source_lines
 from logmill.sources.scratch import scratch_folder
 from logmill.streaming import logs
 
@@ -124,6 +124,7 @@ def test_files_stream_and_progress(spark, tables):
     assert logs.run(spark, path, state, files_per_batch=2).first() == batch
     # a second run finds nothing new, and counts nothing twice
     assert logs.run(spark, path, state, files_per_batch=2).first() == batch
+    assert logs.run(spark, path, scratch_folder(spark), files_per_batch=2, follow=False).first() == batch
     ips = {tuple(r) for r in logs.ip_totals(spark, state).collect()}
     assert ips == {tuple(r) for r in metrics.ip_counts(entries.entries(read_logs(spark, path))).collect()}
     rows = [r.asDict() for r in progress(spark, path).collect()]
@@ -208,3 +209,27 @@ def test_hidden_files_are_read_under_their_names(spark, tmp_path):
     assert got == [(".b.log", "three"), ("_a.log", "one"), ("_a.log", "two"), ("c.log", "four")]
     assert {r["source"].rpartition("/")[2]: r["total"] for r in line_counts(spark, path).collect()} == {"_a.log": 1, ".b.log": 1, "c.log": 1}
     assert {r["source"] for r in read_logs(spark, path).collect()} == {r["source"] for r in line_counts(spark, path).collect()}
+
+
+def test_stream_counts_what_a_batch_counts(spark, tmp_path):
+    state = str(tmp_path / "state")
+    (tmp_path / "s").mkdir()
+    # an empty folder, then files of all names, then one that grows under the format of its first line
+    assert set(logs.run(spark, str(tmp_path / "s"), state).first()) == {0}
+    path = write(tmp_path / "s", {"_a.log": A.format(1, "/a", 404) + "\n", ".b.log": A.format(2, "/b", 200), "c.log": '{"level":"ERROR"}\n'})
+    assert logs.run(spark, path, state).first() == metrics.summary(entries.entries(read_logs(spark, path))).first()
+    with open(tmp_path / "s" / "c.log", "a") as file:
+        file.write(A.format(3, "/c", 500) + "\n")
+    whole = metrics.summary(entries.entries(read_logs(spark, path))).first()
+    assert logs.run(spark, path, state).first() == whole
+    assert (whole["total_lines"], whole["count_debug"], whole["count_4xx"], whole["count_5xx"]) == (4, 1, 1, 0)
+
+
+def test_ranges_of_bytes_hold_each_line_once(spark, tmp_path):
+    lines = [f"{k:03d}" * (k % 7 + 1) for k in range(60)]
+    path = write(tmp_path / "r", {"x.log": "\r\n".join(lines), "_y.log": "\n\n".join(lines) + "\n"})
+    for size in (1, 5, 64, 1000):
+        got = [r["value"] for r in source_lines(spark, path, range=str(size), workers="3").collect()]
+        assert sorted(got) == sorted(lines * 2), size
+    cut = read_logs(spark, path, partitions=3)
+    assert cut.rdd.getNumPartitions() == 3 and "Exchange" not in cut._jdf.queryExecution().executedPlan().toString()

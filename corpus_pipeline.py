@@ -21,8 +21,8 @@ from logmill.llm.packing import default_vocabulary, pack
 from logmill.llm.pii import without_pii
 
 
-#: Setting of the session that holds the key of the pseudonyms; with the same key, equal values are linked across runs too.
-PII_KEY = "spark.corpus.pii.key"
+#: Setting of the session that holds the key of the pseudonyms, named so that Spark redacts it in its UI and event log; with the same key, equal values are linked across runs too.
+PII_KEY = "spark.corpus.pii.secret"
 _DRAWN = secrets.token_bytes(32)
 
 

@@ -30,6 +30,14 @@ def mode_bits(mode: str) -> int:
         raise ValueError(f"mode must be one of {', '.join(MODES)}") from None
 
 
+def mode_bits_of(word: Column) -> Column:
+    """Bits of the mode that a word names in any case; null for another word and for null."""
+    out = F.lit(None).cast("int")
+    for name, bits in MODES.items():
+        out = F.when(F.lower(word) == name, bits).otherwise(out)
+    return out
+
+
 def _named(value: Column, names: list[str]) -> Column:
     out = F.when(value == 0, names[0])
     for k, name in enumerate(names[1:], 1):

@@ -7,22 +7,27 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from . import classify, parse
-from .detect import with_line_format, with_sticky_format
+from .detect import source_formats, with_line_format, with_sticky_format
 
 _FORMATS = {"APACHE": "apache", "JSON": "json", "SYSLOG": "syslog", "NGINX_ERROR": "nginx"}
 
 
+def _made(lenient: bool, year: int | None, times: bool, checked: bool) -> Column:
+    value = F.col("value")
+    json = parse.json_lenient if lenient else parse.json
+    structs = {"apache": parse.apache(value, lenient, times, checked), "json": json(value, times), "syslog": parse.syslog(value, year, times), "nginx": parse.nginx(value, times)}
+    return F.explode(F.array(F.struct(*(F.when(F.col("format") == form, structs[name]).alias(name) for form, name in _FORMATS.items())))).alias("made")
+
+
 def parsed(lines: DataFrame, lenient: bool = False, year: int | None = None, times: bool = True) -> DataFrame:
     """Lines (with format) that parse, and a struct for each grammar; only that of the line's format is computed.
 
     The structs come out of a generator of one row.  Filters on them do not move
     below it, so that a line is parsed once however often its fields are used.
     """
-    value = F.col("value")
-    structs = {"apache": parse.apache(value, lenient, times, checked=True), "json": parse.json(value, times), "syslog": parse.syslog(value, year, times), "nginx": parse.nginx(value, times)}
-    made = F.struct(*(F.when(F.col("format") == form, structs[name]).alias(name) for form, name in _FORMATS.items()))
-    rows = lines.where(parse.succeeds(F.col("format"), value, lenient)).select("*", F.explode(F.array(made)).alias("made"))
-    return rows.select(*lines.columns, "made.*")
+    rows = lines.where(parse.succeeds(F.col("format"), F.col("value"), lenient)).select("*", _made(lenient, year, times, True))
+    rows = rows.select(*lines.columns, "made.*")
+    return rows.where("format <> 'JSON' OR json IS NOT NULL") if lenient else rows
 
 
 def _chosen(parts: dict[str, Column]) -> Column:
@@ -76,3 +81,36 @@ def event_rows(lines: DataFrame, mode: str = "full", lenient: bool = False, year
     """Whole events of lines: source, format, event_types, severity, description, ts and the four structs."""
     formatted = with_line_format(lines) if lenient else with_sticky_format(lines)
     return in_mode(events(parsed(formatted, lenient, year)), mode).drop("pos", "value")
+
+
+#: Why a line is no entry.
+REASONS = {"EMPTY": "empty", "UNKNOWN": "no known format", "APACHE": "not an apache line", "JSON": "broken json", "NGINX_ERROR": "no closing bracket"}
+
+
+def sorted_out(lines: DataFrame, mode: str = "full", lenient: bool = False, year: int | None = None, keep: tuple[str, ...] = ("source", "pos")) -> DataFrame:
+    """Every line once: `keep`, reason, the columns of its entry, and the line itself (value) where it is none.
+
+    reason is null for an entry, and one of REASONS for a line that does not parse;
+    the columns of the entry but format are null there.  Empty and null lines are
+    rejected, and do not decide the format of their source; a source of nothing
+    else has format UNKNOWN.  Repeated lines stay.  A mode other than `full` leaves
+    out entries of other modes, and no rejected line.
+    """
+    if lenient:
+        formatted = with_line_format(lines)
+    elif "first" in lines.columns:
+        formatted = with_sticky_format(lines)
+    else:
+        formatted = lines.join(source_formats(lines.where("value <> ''")), "source", "left").withColumn("format", F.coalesce("format", F.lit("UNKNOWN")))
+    rows = formatted.select("*", _made(lenient, year, False, False)).select(*formatted.columns, "made.*")
+    empty = F.coalesce(F.col("value") == "", F.lit(True))
+    reason = F.when(empty, REASONS["EMPTY"]).when(F.col("format") == "UNKNOWN", REASONS["UNKNOWN"])
+    for form in ("APACHE", "JSON", "NGINX_ERROR"):
+        reason = reason.when((F.col("format") == form) & F.col(_FORMATS[form]).isNull(), REASONS[form])
+    rows = events(rows.withColumn("reason", reason), description=False)
+    bits = X.mode_bits(mode)
+    if bits != X.MODES["full"]:
+        rows = rows.where(F.col("reason").isNotNull() | (F.col("event_types").bitwiseAND(bits) != 0))
+    out = normalised(rows, lenient, (*keep, "reason", "value"))
+    entry = F.col("reason").isNull()
+    return out.select(*keep, "reason", "format", *(F.when(entry, F.col(c)).alias(c) for c in ("level", "http_status", "ip", "message")), F.when(~entry, F.col("value")).alias("value"))

@@ -33,7 +33,7 @@ def _groups(line: Column, pattern: str, n: int) -> Column:
 
 
 def succeeds(form: Column, line: Column, lenient: bool = False) -> Column:
-    """Whether a line parses by the grammar of its format."""
+    """Whether a line parses by the grammar of its format; lenient JSON shows only when it is read."""
     return F.when(form == "APACHE", line.rlike(APACHE_LENIENT if lenient else APACHE)).when(form == "NGINX_ERROR", line.contains("]")).otherwise(form.isin("JSON", "SYSLOG") & line.isNotNull())
 
 
@@ -87,6 +87,43 @@ def json(line: Column, times: bool = True) -> Column:
     )
 
 
+#: Jackson's leniencies that JSON's own rules do not have.
+_JSON_RULES = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
+def json_lenient(line: Column, times: bool = True) -> Column:
+    """An object by JSON's own rules; null where it is none.
+
+    Escapes are read, keys count only at their own depth, the last of a repeated
+    key holds, levels are words in any case.  A value that is itself an object is
+    its text; metadata that is no object has no fields.  Text behind the object is
+    not looked at.
+    """
+    whole = F.from_json(line, "timestamp string, level string, service string, message string, metadata string, _broken string", _JSON_RULES)
+
+    def of(x: Column) -> Column:
+        return F.when(x["_broken"].isNull(), _once(F.struct(x.alias("top"), F.from_json(x["metadata"], "ip string, user_id string, _broken string", _JSON_RULES).alias("inner")), fields))
+
+    def fields(x: Column) -> Column:
+        top, inner = x["top"], x["inner"]
+        word = F.upper(top["level"])
+        level = F.lit(0)
+        for k, words in reversed(list(enumerate(JSON_LEVEL_WORDS))):
+            level = F.when(word.isin(words), k).otherwise(level)
+        sound = inner["_broken"].isNull()
+        text = lambda c: F.coalesce(c, F.lit(""))
+        return F.struct(
+            _time(X.iso_time(text(top["timestamp"])), times).alias("ts"),
+            level.alias("level"),
+            X.first_bytes(text(top["service"]), 63).alias("service"),
+            text(top["message"]).alias("message"),
+            X.first_bytes(text(F.when(sound, inner["ip"])), 45).alias("ip"),
+            X.number(F.regexp_extract(text(F.when(sound, inner["user_id"])), r"^\s*([0-9]*)", 1)).alias("user_id"),
+        )
+
+    return F.when(line.rlike(r"^\s*\{"), _once(whole, of))
+
+
 def syslog(line: Column, year: int | None = None, times: bool = True) -> Column:
     year = datetime.date.today().year if year is None else year
     # head, clock and tail come one after the other, each found once: priority, month, day and rest; then the time and what follows it

@@ -15,7 +15,9 @@ from ..functions.scalars import mode_bits
 from ..operators import metrics
 from ..operators.entries import entries
 from ..sources.files import NoLogs, line_counts, log_files, read_logs
-from . import report
+from ..sources.scratch import scratch_folder
+from . import live, report
+from .quarantine import sort_out
 
 log = logging.getLogger(__name__)
 
@@ -67,6 +69,13 @@ def dashboard(rows: list[dict], seconds: float) -> str:
     return "\n".join([*out, f"{s // 3600:02d}:{s // 60 % 60:02d}:{s % 60:02d}", ""])
 
 
+def bar(snapshot: live.Snapshot) -> str:
+    """One line: the sum of all files as in dashboard(), and the tasks that are done."""
+    r = snapshot.rows[-1]
+    full = r["percent"] // 5
+    return f"[{'#' * full}{' ' * (20 - full)}] {r['percent']:3d}% {r['lines']} lines, errors {r['errors']}, tasks {snapshot.tasks_done}/{snapshot.tasks}"
+
+
 def main(args: list[str] | None = None) -> int:
     """Command line: directory, mode, layout, and where the report goes."""
     p = argparse.ArgumentParser(prog="logmill", description="Counts, levels and addresses of a directory of logs")
@@ -78,7 +87,8 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--year", type=int, help="year of syslog times")
     p.add_argument("--output", help="file for the report")
     p.add_argument("--parquet", help="folder for the entries")
-    p.add_argument("--progress", action="store_true", help="lines done of each file at the end")
+    p.add_argument("--quarantine", help="folder for entries and rejected lines, each with its reason")
+    p.add_argument("--progress", action="store_true", help="a bar while the lines are counted, and one for each file at the end")
     p.add_argument("--verbose", action="store_true")
     a = p.parse_args(args)
     logging.basicConfig(level=logging.INFO if a.verbose else logging.WARNING)
@@ -101,7 +111,16 @@ def main(args: list[str] | None = None) -> int:
         return 0
     if a.parquet:
         result.entries.write.mode("overwrite").parquet(a.parquet)
-    report.emit(result.text(a.layout), a.output)
-    if a.progress:
-        print(dashboard([r.asDict() for r in progress(spark, a.directory, a.mode).collect()], time.monotonic() - began))
+    if a.quarantine:
+        sorted_ = sort_out(read_logs(spark, a.directory, a.workers), a.quarantine, a.mode, a.lenient, a.year)
+        print(", ".join(f"{name} {n}" for name, n in sorted_.counts.items()), file=sys.stderr)
+    if not a.progress:
+        report.emit(result.text(a.layout), a.output)
+        return 0
+    # the watched job counts by file and address; report and last bars come from its few rows
+    made = live.run(spark, a.directory, scratch_folder(spark), a.mode, a.lenient, a.year, a.workers, lambda s: print("\r" + bar(s), end="", file=sys.stderr, flush=True))
+    print(file=sys.stderr)
+    report.emit(live.text(made, a.mode, a.layout), a.output)
+    rows = [r.asDict() | {"done": r["lines"], "total": r["lines"]} for r in live.final(made).collect()]
+    print(dashboard(rows, time.monotonic() - began))
     return 0

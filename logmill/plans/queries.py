@@ -18,7 +18,7 @@ from ..sources import synthetic
 from ..sources.files import clean_lines, line_counts, read_logs
 from ..sources.scratch import scratch_folder
 from ..streaming import logs
-from . import report
+from . import live, quarantine, report
 
 YEAR = 2024
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,13 +59,19 @@ def _cases(column: str, words: list[list[str]], otherwise: int = 0) -> str:
     return "CASE " + " ".join(f"WHEN {column} IN ({', '.join(map(_q, w))}) THEN {k}" for k, w in enumerate(words)) + f" ELSE {otherwise} END"
 
 
+_JSON_WORDS = [["DEBUG"], ["INFO"], ["WARN", "WARNING"], ["ERROR"], ["CRITICAL", "FATAL"]]
+
+
 def _fields(kind: str, v: str = "value", lenient: bool = False) -> dict[str, str]:
     """SQL of each field of a grammar."""
     if kind == "apache":
         g = lambda k: _part(v, parse.APACHE_LENIENT if lenient else parse.APACHE, k)
         return {"ip": g(1), "ts": _stamp(g(2), 20, "%d/%b/%Y:%H:%M:%S"), "method": g(3), "url": g(4), "http_version": g(5), "status": _int(g(6)), "size": _int(g(7), "BIGINT"), "referer": g(8) if lenient else "''", "user_agent": g(9) if lenient else "''"}
+    if kind == "json" and lenient:
+        j = lambda path: f"coalesce(CASE WHEN json_valid({v}) THEN json_extract_string({v}, '$.{path}') END, '')"
+        return {"ts": _stamp(j("timestamp"), 19, "%Y-%m-%dT%H:%M:%S"), "level": _cases(f"upper({j('level')})", _JSON_WORDS), "service": f"substr({j('service')}, 1, 63)", "message": j("message"), "ip": f"substr({j('metadata.ip')}, 1, 45)", "user_id": _int(_part(j("metadata.user_id"), r"^\s*([0-9]*)", 1))}
     if kind == "json":
-        return {"ts": _stamp(_json(v, "timestamp"), 19, "%Y-%m-%dT%H:%M:%S"), "level": _cases(_json(v, "level"), parse.JSON_LEVEL_WORDS), "service": f"substr({_json(v, 'service')}, 1, 63)", "message": _json(v, "message"), "ip": f"substr({_json(v, 'ip', 'metadata')}, 1, 45)", "user_id": _int(_part(_json(v, "user_id", "metadata"), r"^\s*([0-9]*)", 1))}
+        return {"ts": _stamp(_json(v, "timestamp"), 19, "%Y-%m-%dT%H:%M:%S"), "level": _cases(_json(v, "level"), _JSON_WORDS), "service": f"substr({_json(v, 'service')}, 1, 63)", "message": _json(v, "message"), "ip": f"substr({_json(v, 'ip', 'metadata')}, 1, 45)", "user_id": _int(_part(_json(v, "user_id", "metadata"), r"^\s*([0-9]*)", 1))}
     if kind == "syslog":
         h = lambda k: _part(v, parse.SYSLOG_HEAD, k)
         rest = f"regexp_replace({v}, {_q(parse.SYSLOG_HEAD)}, '')"
@@ -101,6 +107,9 @@ def _fields(kind: str, v: str = "value", lenient: bool = False) -> dict[str, str
 _PARSES = {"apache": f"regexp_matches(value, {_q(parse.APACHE)})", "json": "value IS NOT NULL", "syslog": "value IS NOT NULL", "nginx": "contains(value, ']')"}
 
 
+_LENIENT_PARSES = {"apache": f"regexp_matches(value, {_q(parse.APACHE_LENIENT)})", "json": "json_valid(value)"}
+
+
 def _format(lenient: bool) -> str:
     priority = "WHEN regexp_matches(value, '^<[0-9]+>') THEN 'SYSLOG'" if lenient else ""
     return f"""CASE WHEN value IS NULL OR value = '' THEN 'UNKNOWN' WHEN value[1] = '{{' THEN 'JSON'
@@ -184,17 +193,19 @@ def _kind_sql(kind: str) -> str:
     return f"WITH lines AS (SELECT event_id, {synthetic.line_sql(kind, synthetic.DUCKDB_DATES)} AS value FROM events), parsed AS (SELECT event_id, value, {fields} FROM lines WHERE {_PARSES[kind]})"
 
 
-def _all_sql(mode: str = "full", lenient: bool = False) -> str:
-    """CTEs up to `entries`, the normalised entries of all lines in a mode."""
+def _all_sql(mode: str = "full", lenient: bool = False, lines: str | None = None) -> str:
+    """CTEs up to `entries`, the normalised entries of all lines (or of a query's) in a mode."""
+    lines = lines or synthetic.lines_sql()
     names = {"apache": "APACHE", "json": "JSON", "syslog": "SYSLOG", "nginx": "NGINX_ERROR"}
     parts = []
     for kind, form in names.items():
         fields = ", ".join(f"{sql} AS {name}" for name, sql in _fields(kind, lenient=lenient).items() if name != "ts")
-        parses = f"regexp_matches(value, {_q(parse.APACHE_LENIENT)})" if lenient and kind == "apache" else _PARSES[kind]
+        parses = _LENIENT_PARSES.get(kind, _PARSES[kind]) if lenient else _PARSES[kind]
         level = "CASE severity WHEN 0 THEN 'INFO' WHEN 1 THEN 'INFO' WHEN 2 THEN 'WARN' WHEN 3 THEN 'ERROR' ELSE 'CRITICAL' END"
         octet = X._OCTET
         quad = r"\.".join([octet] * 4) + "(?:[^0-9]|$)"
-        ip = {"apache": "substr(ip, 1, 15)", "json": "substr(ip, 1, 15)", "nginx": "substr(client_ip, 1, 15)", "syslog": f"CASE WHEN regexp_matches(message, {_q(quad)}) THEN concat_ws('.', {', '.join(_part('message', quad, k) for k in (1, 2, 3, 4))}) ELSE '' END"}[kind]
+        cut = lambda c: c if lenient else f"substr({c}, 1, 15)"
+        ip = {"apache": cut("ip"), "json": cut("ip"), "nginx": cut("client_ip"), "syslog": f"CASE WHEN regexp_matches(message, {_q(quad)}) THEN concat_ws('.', {', '.join(_part('message', quad, k) for k in (1, 2, 3, 4))}) ELSE '' END"}[kind]
         if kind == "json":
             level = "CASE level WHEN 0 THEN 'DEBUG' WHEN 1 THEN 'INFO' WHEN 2 THEN 'WARN' WHEN 3 THEN 'ERROR' ELSE 'CRITICAL' END"
         text = "url" if kind == "apache" else "message"
@@ -205,11 +216,11 @@ def _all_sql(mode: str = "full", lenient: bool = False) -> str:
     bits = X.MODES[mode]
     keep = "true" if mode == "full" else f"types & {bits} <> 0"
     if lenient:
-        return f"""WITH lines AS ({synthetic.lines_sql()}), short AS (SELECT source, pos, substr(value, 1, 511) AS value FROM lines WHERE value <> ''),
+        return f"""WITH lines AS ({lines}), short AS (SELECT source, pos, substr(value, 1, 511) AS value FROM lines WHERE value <> ''),
           formatted AS (SELECT source, pos, {_format(True)} AS format, value FROM short),
           entries AS (SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE {keep})"""
-    return f"""WITH lines AS ({synthetic.lines_sql()}),
-      first AS (SELECT source, arg_min(value, pos) AS value FROM lines GROUP BY source), formats AS (SELECT source, {_FORMAT} AS format FROM first),
+    return f"""WITH lines AS ({lines}),
+      first AS (SELECT source, arg_min(value, pos) AS value FROM lines WHERE value <> '' GROUP BY source), formats AS (SELECT source, {_FORMAT} AS format FROM first),
       formatted AS (SELECT source, pos, format, substr(value, 1, 511) AS value FROM lines JOIN formats USING (source) WHERE value <> ''),
       entries AS (SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE {keep})"""
 
@@ -280,17 +291,36 @@ for _kind in synthetic.KINDS:
         return _parsed(spark, sf_dir, kind).select("event_id", getattr(classify, kind)(F.col("e")).description.alias("description"))
 
 
-_TIMES = ["13/Feb/2024:10:23:45 +0000", "2024-02-13T10:23:45Z", "Feb 3 10:23:45", "2024/02/13 10:23:45", "31/Feb/2024:10:23:45", "junk", "13/feb/2024:10:23:45"]
+_LAST = ", ".join(f"arg_max(v ->> '$', id) FILTER (WHERE key = '{k}') AS {k}" for k in ("timestamp", "level", "service", "message", "metadata"))
+_INNER = lambda key: f"coalesce(CASE WHEN json_valid(metadata) THEN metadata ->> '$.{key}' END, '')"
+
+
+@_query(
+    "parse_json_lenient",
+    f"""WITH lines AS (SELECT event_id, {synthetic.odd_json_sql(synthetic.DUCKDB_DATES)} AS value FROM events), good AS (SELECT * FROM lines WHERE json_valid(value)),
+      pairs AS (SELECT event_id, e.key AS key, e.id AS id, e.value AS v FROM good, json_each(good.value) AS e), last AS (SELECT event_id, {_LAST} FROM pairs GROUP BY event_id)
+      SELECT event_id, {_cases("upper(level)", _JSON_WORDS)} AS level, substr(coalesce(service, ''), 1, 63) AS service, coalesce(message, '') AS message, substr({_INNER("ip")}, 1, 45) AS ip, {_int(_part(_INNER("user_id"), "^[ ]*([0-9]*)", 1))} AS user_id, strftime({_stamp("timestamp", 19, "%Y-%m-%dT%H:%M:%S")}, '%Y-%m-%d %H:%M:%S') AS ts FROM last""",
+)
+def parse_json_lenient(spark, sf_dir):
+    made = synthetic.odd_json_lines(spark, sf_dir).select("event_id", parse.json_lenient(F.col("value")).alias("e")).where("e IS NOT NULL")
+    return made.select("event_id", *(f"e.{n}" for n in ("level", "service", "message", "ip", "user_id")), F.date_format("e.ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+
+
+def _times_sql(dates: dict[str, str]) -> str:
+    """Times of all grammars, and texts that are none, by event_id."""
+    texts = [f"concat({dates['apache']}, ' +0000')", f"concat({dates['iso']}, 'Z')", dates["syslog"], dates["nginx"], f"concat('31/Feb', substr({dates['apache']}, 7))", "'junk'", f"lower({dates['apache']})"]
+    return "(CASE event_id % 7" + "".join(f" WHEN {k} THEN {t}" for k, t in enumerate(texts)) + " END)"
 
 
 @_query(
     "parse_timestamps",
-    "WITH t AS (SELECT unnest([" + ", ".join(map(_q, _TIMES)) + "]) AS text) SELECT text, " + ", ".join(f"strftime({x}, '%Y-%m-%d %H:%M:%S') AS {n}" for n, x in {"apache": "CASE WHEN regexp_matches(text, '^[0-9]{2}/[A-Z]') THEN " + _stamp("text", 20, "%d/%b/%Y:%H:%M:%S") + " END", "iso": _stamp("text", 19, "%Y-%m-%dT%H:%M:%S"), "syslog": f"try_strptime(concat('{YEAR} ', text), '%Y %b %d %H:%M:%S')", "nginx": _stamp("text", 19, "%Y/%m/%d %H:%M:%S")}.items()) + " FROM t",
+    f"WITH t AS (SELECT event_id, {_times_sql(synthetic.DUCKDB_DATES)} AS text FROM events) SELECT event_id, text, " + ", ".join(f"strftime({x}, '%Y-%m-%d %H:%M:%S') AS {n}" for n, x in {"apache": "CASE WHEN regexp_matches(text, '^[0-9]{2}/[A-Z]') THEN " + _stamp("text", 20, "%d/%b/%Y:%H:%M:%S") + " END", "iso": _stamp("text", 19, "%Y-%m-%dT%H:%M:%S"), "syslog": f"try_strptime(concat('{YEAR} ', text), '%Y %b %d %H:%M:%S')", "nginx": _stamp("text", 19, "%Y/%m/%d %H:%M:%S")}.items()) + " FROM t",
 )
 def parse_timestamps(spark, sf_dir):
     t = F.col("text")
     made = {"apache": X.apache_time(t), "iso": X.iso_time(t), "syslog": X.syslog_time(t, YEAR), "nginx": X.nginx_time(t)}
-    return spark.createDataFrame([(x,) for x in _TIMES], "text string").select("text", *(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(n) for n, c in made.items()))
+    texts = synthetic.events(spark, sf_dir).select("event_id", F.expr(_times_sql(synthetic.SPARK_DATES)).alias("text"))
+    return texts.select("event_id", "text", *(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(n) for n, c in made.items()))
 
 
 _QUAD = X.IPV4
@@ -352,30 +382,35 @@ def progress(spark, sf_dir):
     return metrics.progress(done, synthetic.all_lines(spark, sf_dir).groupBy("source").agg(F.count("*").alias("total")))
 
 
-@_query("level_mapping", "SELECT CAST(n AS INTEGER) AS n, CASE n WHEN 0 THEN 'INFO' WHEN 1 THEN 'INFO' WHEN 2 THEN 'WARN' WHEN 3 THEN 'ERROR' WHEN 4 THEN 'CRITICAL' ELSE 'UNKNOWN' END AS from_severity, CASE n WHEN 0 THEN 'DEBUG' WHEN 1 THEN 'INFO' WHEN 2 THEN 'WARN' WHEN 3 THEN 'ERROR' WHEN 4 THEN 'CRITICAL' ELSE 'UNKNOWN' END AS from_json_level FROM range(-2, 8) AS t(n)")
+@_query("level_mapping", "SELECT event_id, CAST(event_id % 10 - 2 AS INTEGER) AS n, CASE event_id % 10 - 2 WHEN 0 THEN 'INFO' WHEN 1 THEN 'INFO' WHEN 2 THEN 'WARN' WHEN 3 THEN 'ERROR' WHEN 4 THEN 'CRITICAL' ELSE 'UNKNOWN' END AS from_severity, CASE event_id % 10 - 2 WHEN 0 THEN 'DEBUG' WHEN 1 THEN 'INFO' WHEN 2 THEN 'WARN' WHEN 3 THEN 'ERROR' WHEN 4 THEN 'CRITICAL' ELSE 'UNKNOWN' END AS from_json_level FROM events")
 def level_mapping(spark, sf_dir):
-    n = F.col("id").cast("int")
-    return spark.range(-2, 8).select(n.alias("n"), X.level_from_severity(n).alias("from_severity"), X.level_from_json_level(n).alias("from_json_level"))
+    n = F.col("n")
+    return synthetic.events(spark, sf_dir).select("event_id", F.expr("cast(event_id % 10 - 2 AS int)").alias("n")).select("event_id", "n", X.level_from_severity(n).alias("from_severity"), X.level_from_json_level(n).alias("from_json_level"))
 
 
-@_query("severity_name", f"SELECT CAST(n AS INTEGER) AS n, {_severity_name('n')} AS name FROM range(-2, 8) AS t(n)")
+@_query("severity_name", f"{_kind_sql('nginx')} SELECT event_id, {_severity_name('(' + _severity('nginx') + ')')} AS name FROM parsed")
 def severity_name(spark, sf_dir):
-    n = F.col("id").cast("int")
-    return spark.range(-2, 8).select(n.alias("n"), X.severity_name(n).alias("name"))
+    return _parsed(spark, sf_dir, "nginx").select("event_id", X.severity_name(classify.nginx(F.col("e")).severity).alias("name"))
+
 
+_NAMED = "trim(concat(CASE WHEN types & 1 <> 0 THEN 'SECURITY ' ELSE '' END, CASE WHEN types & 2 <> 0 THEN 'PERFORMANCE ' ELSE '' END, CASE WHEN types & 4 <> 0 THEN 'TRAFFIC ' ELSE '' END, CASE WHEN types & 8 <> 0 THEN 'ERROR ' ELSE '' END, CASE WHEN types & 16 <> 0 THEN 'NORMAL ' ELSE '' END))"
 
-@_query("event_type_name", "SELECT CAST(n AS INTEGER) AS types, trim(concat(" + ", ".join(f"CASE WHEN n & {b} <> 0 THEN '{n} ' ELSE '' END" for n, b in X.EVENT_TYPES.items()) + ")) AS name FROM range(0, 32) AS t(n)")
+
+@_query("event_type_name", f"{_kind_sql('syslog')}, typed AS (SELECT event_id, CAST({_types('syslog')} AS INTEGER) | CASE WHEN event_id % 3 = 0 THEN 16 ELSE 0 END AS types FROM parsed) SELECT event_id, CAST(types AS INTEGER) AS types, {_NAMED} AS name FROM typed")
 def event_type_name(spark, sf_dir):
-    n = F.col("id").cast("int")
-    return spark.range(0, 32).select(n.alias("types"), X.event_type_name(n).alias("name"))
+    """Names of the types of syslog lines, with NORMAL for every third one, which no rule gives."""
+    types = classify.syslog(F.col("e")).event_types.bitwiseOR(F.when(F.col("event_id") % 3 == 0, X.NORMAL).otherwise(0))
+    return _parsed(spark, sf_dir, "syslog").select("event_id", types.cast("int").alias("types")).select("event_id", "types", X.event_type_name(F.col("types")).alias("name"))
 
 
 _WORDS = ["debug", "Info", "NOTICE", "warn", "Warning", "error", "ERR", "crit", "critical", "alert", "Emerg", "fatal", "", "criticalcriticalcritical", "warn "]
+_WORD_SQL = f"(CASE WHEN event_id % 4 = 0 THEN event_type WHEN event_id % 4 = 1 THEN upper({synthetic._pick('user_id', _WORDS)}) ELSE {synthetic._pick('user_id', _WORDS)} END)"
 
 
-@_query("level_from_string", "SELECT word, CASE upper(substr(word, 1, 15)) WHEN 'DEBUG' THEN 'DEBUG' WHEN 'INFO' THEN 'INFO' WHEN 'NOTICE' THEN 'INFO' WHEN 'WARN' THEN 'WARN' WHEN 'WARNING' THEN 'WARN' WHEN 'ERROR' THEN 'ERROR' WHEN 'ERR' THEN 'ERROR' WHEN 'CRIT' THEN 'CRITICAL' WHEN 'CRITICAL' THEN 'CRITICAL' WHEN 'ALERT' THEN 'CRITICAL' WHEN 'EMERG' THEN 'CRITICAL' ELSE 'UNKNOWN' END AS level FROM (SELECT unnest([" + ", ".join(map(_q, _WORDS)) + "]) AS word)")
+@_query("level_from_string", f"SELECT event_id, word, CASE upper(substr(word, 1, 15)) WHEN 'DEBUG' THEN 'DEBUG' WHEN 'INFO' THEN 'INFO' WHEN 'NOTICE' THEN 'INFO' WHEN 'WARN' THEN 'WARN' WHEN 'WARNING' THEN 'WARN' WHEN 'ERROR' THEN 'ERROR' WHEN 'ERR' THEN 'ERROR' WHEN 'CRIT' THEN 'CRITICAL' WHEN 'CRITICAL' THEN 'CRITICAL' WHEN 'ALERT' THEN 'CRITICAL' WHEN 'EMERG' THEN 'CRITICAL' ELSE 'UNKNOWN' END AS level FROM (SELECT event_id, {_WORD_SQL} AS word FROM events)")
 def level_from_string(spark, sf_dir):
-    return spark.createDataFrame([(w,) for w in _WORDS], "word string").select("word", X.level_from_string(F.col("word")).alias("level"))
+    words = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.expr(_WORD_SQL).alias("word"))
+    return words.select("event_id", "word", X.level_from_string(F.col("word")).alias("level"))
 
 
 def _report_sql(layout: str, mode: str = "full") -> str:
@@ -429,9 +464,42 @@ def files_line_counts(spark, sf_dir):
     return line_counts(spark, _log_folder(spark, sf_dir)).withColumn("source", F.regexp_extract("source", "([^/]*)$", 1))
 
 
-@_query("mode_words", "SELECT word, bits FROM (VALUES ('Security', 1), ('PERFORMANCE', 2), ('traffic', 4), ('full', 15)) AS t(word, bits)")
+_MODE_SQL = synthetic._pick("(event_id + user_id)", ["Security", "PERFORMANCE", "traffic", "full", "everything"])
+
+
+@_query("mode_words", f"{_kind_sql('syslog')}, typed AS (SELECT event_id, {_MODE_SQL} AS word, CAST({_types('syslog')} AS INTEGER) AS types FROM parsed JOIN events USING (event_id)), bits AS (SELECT *, CASE lower(word) WHEN 'security' THEN 1 WHEN 'performance' THEN 2 WHEN 'traffic' THEN 4 WHEN 'full' THEN 15 END AS bits FROM typed) SELECT event_id, word, CAST(coalesce(bits, 0) AS INTEGER) AS bits, bits IS NOT NULL AND (bits = 15 OR types & bits <> 0) AS kept FROM bits")
 def mode_words(spark, sf_dir):
-    return spark.createDataFrame([(w, X.mode_bits(w)) for w in ("Security", "PERFORMANCE", "traffic", "full")], "word string, bits int")
+    """A mode's word for each event, and whether the event's syslog line is kept in it."""
+    words = synthetic.events(spark, sf_dir)
+    lines = words.select("event_id", F.expr(_MODE_SQL).alias("word"), F.explode(F.array(F.expr(synthetic.line_sql("syslog", synthetic.SPARK_DATES)))).alias("value"))
+    types = classify.syslog(F.col("e")).event_types
+    made = lines.select("event_id", "word", X.mode_bits_of(F.col("word")).alias("bits"), F.explode(F.array(parse.syslog(F.col("value"), YEAR))).alias("e"))
+    return made.select("event_id", "word", F.coalesce("bits", F.lit(0)).alias("bits"), F.coalesce((F.col("bits") == X.MODES["full"]) | (types.bitwiseAND(F.col("bits")) != 0), F.lit(False)).alias("kept"))
+
+
+def _quarantine_sql(lenient: bool) -> str:
+    reason = "WHEN e.pos IS NOT NULL THEN NULL WHEN l.value = '' THEN 'empty' WHEN f.format = 'UNKNOWN' THEN 'no known format' WHEN f.format = 'APACHE' THEN 'not an apache line' WHEN f.format = 'JSON' THEN 'broken json' ELSE 'no closing bracket'"
+    form = f"SELECT source, pos, {_format(True)} AS format FROM lines" if lenient else "SELECT source, pos, format FROM lines JOIN formats USING (source)"
+    return f"""{_all_sql(lenient=lenient, lines=synthetic.damaged_lines_sql())}, formed AS ({form})
+      SELECT l.source, l.pos, CASE {reason} END AS reason, f.format, e.level, coalesce(e.http_status, -1) AS http_status, e.ip, e.message, CASE WHEN e.pos IS NULL THEN l.value END AS value
+      FROM lines l JOIN formed f ON f.source = l.source AND f.pos = l.pos LEFT JOIN entries e ON e.source = l.source AND e.pos = l.pos"""
+
+
+for _lenient in (False, True):
+
+    @_query("quarantine_lenient" if _lenient else "quarantine", _quarantine_sql(_lenient))
+    def _quarantine(spark, sf_dir, lenient=_lenient):
+        """Both parts as they were written: every line once; http_status is -1 where the line is no entry."""
+        made = quarantine.sort_out(synthetic.damaged_lines(spark, sf_dir), scratch_folder(spark), lenient=lenient, year=YEAR)
+        both = made.entries.unionByName(made.rejected, allowMissingColumns=True)
+        return both.withColumn("http_status", F.coalesce("http_status", F.lit(-1)))
+
+
+@_query("live_progress", f"{_all_sql()}, done AS (SELECT source, count(*) AS entries, count(*) FILTER (WHERE level IN ('ERROR', 'CRITICAL')) AS errors FROM entries GROUP BY source), both_ AS (SELECT source, lines, coalesce(entries, 0) AS entries, coalesce(errors, 0) AS errors FROM (SELECT source, count(*) AS lines FROM lines GROUP BY source) LEFT JOIN done USING (source)) SELECT source, CAST(sum(lines) AS BIGINT) AS lines, CAST(sum(entries) AS BIGINT) AS entries, CAST(sum(errors) AS BIGINT) AS errors, CAST(100 AS INTEGER) AS percent FROM both_ GROUP BY GROUPING SETS ((source), ())")
+def live_progress(spark, sf_dir):
+    """What the progress of a watched run over the files shows at its end."""
+    made = live.run(spark, _log_folder(spark, sf_dir), scratch_folder(spark), year=YEAR)
+    return live.final(made).withColumn("source", F.regexp_extract("source", "([^/]*)$", 1))
 
 
 @_query("event_epoch", f"{_kind_sql('nginx')} SELECT event_id, CAST(epoch(ts) AS BIGINT) AS utc, CAST(epoch(ts) AS BIGINT) - 19800 AS kolkata FROM parsed")

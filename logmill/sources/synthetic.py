@@ -27,6 +27,8 @@ def _pick(number: str, values: list[str]) -> str:
 
 def _quoted(text: str) -> str:
     """A SQL literal that both engines read alike: without a backslash or a quote in it."""
+    if not text:
+        return "''"
     parts = [p for c in text.replace("\\", "\x00").replace("'", "\x01").split("\x00") for p in ("\x00", c)][1:]
     out = []
     for p in parts:
@@ -77,6 +79,37 @@ def line_sql(kind: str, dates: dict[str, str]) -> str:
 KINDS = ["apache", "json", "syslog", "nginx"]
 
 
+def odd_json_sql(dates: dict[str, str]) -> str:
+    """SQL expression over events for a JSON line that a search for keys misreads, or that is no JSON (cases 5 and 9)."""
+    slash = _quoted("\\")
+    time = f"""concat('"timestamp":"', {dates['iso']}, 'Z"')"""
+    level = f"""concat('"level":"', {_pick('(event_id + user_id)', ['Info', 'warn', 'ERROR', 'Fatal', 'debug', 'Warning', 'other'])}, '"')"""
+    service = f"""concat('"service":"', {_pick('event_id', JSON_SERVICES)}, '"')"""
+    text = _pick("(event_id * 3 + user_id)", JSON_MESSAGES)
+    message = f"""concat('"message":"', {text}, '"')"""
+    escaped = f"""concat('"message":"', {slash}, '"', {text}, {slash}, '" ', {slash}, 'u00e9', {slash}, 'n{{', {slash}, '"level', {slash}, '":1}}"')"""
+    inner = f"""concat('"metadata":{{"level":"CRITICAL","message":"inner","ip":"', {_IP}, '","user_id":', cast(user_id AS string), '}}')"""
+    blank = "concat(chr(32), chr(9))"
+    cases = [
+        ["'{'", time, "','", level, "','", service, "','", message, "','", inner, "'}'"],
+        ["'{'", inner, "','", message, "','", level, "','", time, "','", service, "'}'"],
+        ["'{'", time, "','", level, "','", service, "','", escaped, "','", inner, "'}'"],
+        ["""'{"level":"CRITICAL","message":"first",'""", inner, "','", inner.replace('"ip":"', '"ip":"9'), "','", level, "','", message, "'}'"],
+        ["'{'", blank, time, blank, "','", blank, level, "','", blank, message, "'}'", blank],
+        ["'{'", time, "','", level, "','", service, "','", inner],
+        ["""'{"level":null,"service":7,'""", message, "','", inner, "'}'"],
+        ["'{'", level, "','", message, "','", time, """',"metadata":"none"}'"""],
+        ["""'{"level":3,"message":null,"metadata":{"ip":null,"user_id":"12 or so"},'""", service, "'}'"],
+        ["'{'", level, message, "'}'"],
+    ]
+    return "(CASE event_id % 10" + "".join(f" WHEN {k} THEN concat({', '.join(parts)})" for k, parts in enumerate(cases)) + " END)"
+
+
+def damaged_sql(value: str) -> str:
+    """SQL expression for a line that may be cut, without a bracket, or with a comma too many, by event_id."""
+    return f"(CASE WHEN event_id % 17 = 0 THEN substr({value}, 1, 10) WHEN event_id % 19 = 0 THEN replace({value}, ']', '') WHEN event_id % 23 = 0 THEN replace({value}, ',', ',,') WHEN event_id % 101 = 0 THEN '' ELSE {value} END)"
+
+
 SOURCE_SQL = f"concat({_pick('event_id', [*KINDS, 'mixed'])}, '-', cast(event_id % 3 AS string), '.log')"
 
 
@@ -91,6 +124,11 @@ def lines_sql() -> str:
     return f"SELECT {SOURCE_SQL} AS source, event_id AS pos, {value_sql(DUCKDB_DATES, '//')} AS value FROM events"
 
 
+def damaged_lines_sql() -> str:
+    """DuckDB query over events: the lines of lines_sql(), some of them damaged."""
+    return f"SELECT source, pos, {damaged_sql('value')} AS value FROM (SELECT *, pos AS event_id FROM ({lines_sql()}))"
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What lines are made from, spread over all cores: the table is often one file."""
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts").repartition(spark.sparkContext.defaultParallelism)
@@ -142,6 +180,16 @@ def all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_lines_of(events(spark, sf_dir))
 
 
+def odd_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, value): a line of odd_json_sql() for every event."""
+    return _made(events(spark, sf_dir), odd_json_sql(SPARK_DATES), "event_id")
+
+
+def damaged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, pos, value): all_lines(), some of them damaged."""
+    return all_lines(spark, sf_dir).withColumn("event_id", F.col("pos")).select("source", "pos", F.expr(damaged_sql("value")).alias("value"))
+
+
 def write_logs(lines: DataFrame, path: str) -> None:
     """Generator: lines (source, pos, value) as one file for each source, named by it, in the order of pos."""
     spark = lines.sparkSession

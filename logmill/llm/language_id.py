@@ -28,6 +28,8 @@ BUCKETS = 1 << 17
 #: Most documents of each language to learn from, most characters of them all, and most languages, the most frequent.
 SAMPLE, CHARS, LANGUAGES = 600, 700_000, 200
 _BLOCK = 32
+#: Bytes of text that are scored at once: its words' numbers take a hundred times as much memory.
+_PART = 250_000
 
 
 @dataclass
@@ -184,7 +186,7 @@ def _predict_pass(model: LanguageModel, with_runs: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in K.slices(batch, 1):
+            for part in K.slices(batch, 1, _PART):
                 raw, offsets = K.buffers(part.column(1))
                 data, starts, ends, counts = _parted(part.column(1))
                 post = posteriors(_word_scores(data, starts, ends, model.weights).astype(np.float64), counts, model.transitions)

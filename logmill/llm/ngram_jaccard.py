@@ -47,10 +47,13 @@ def _count_pass(size: int):
         held: list[np.ndarray] = []
 
         def repeated() -> pa.RecordBatch:
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
+            values = np.concatenate(held)
             held.clear()
-            more = counts > 1
-            return _counted(True, values[more].view(np.int64), counts[more])
+            values.sort()
+            same = np.zeros(len(values) + 1, dtype=bool)  # as the value before
+            np.equal(values[1:], values[:-1], out=same[1:-1])
+            first, last = np.flatnonzero(same[1:] & ~same[:-1]), np.flatnonzero(same[:-1] & ~same[1:])
+            return _counted(True, values[first].view(np.int64), last - first + 1)
 
         n = 0
         for batch in batches:

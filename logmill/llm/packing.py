@@ -32,6 +32,8 @@ TIERS = (512, 1024, 2048, 4096)
 #: Tokens that are held and packed at once, and parts of words whose ids a worker remembers.
 GROUP_TOKENS = 1_000_000
 REMEMBERED = 1 << 20
+#: Bytes of text that are encoded at once.
+_PART = 500_000
 _SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
@@ -304,7 +306,7 @@ def _pack_pass(path: str, end_id: int, tiers: tuple[int, ...], step_tokens: int)
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "tier", "step_group"])
 
         for batch in batches:
-            for part in K.slices(batch, 1, 2_000_000):
+            for part in K.slices(batch, 1, _PART):
                 ids, sizes = encoder.ids(*K.buffers(part.column(1)))
                 at = [0, *np.cumsum(sizes).tolist()]
                 for doc_id, a, b in zip(part.column(0).to_pylist(), at, at[1:]):

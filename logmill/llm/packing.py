@@ -279,6 +279,7 @@ def _pack_pass(path: str, end_id: int, tiers: tuple[int, ...], step_tokens: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 40
         encoder, packer = _encoder(path), _Packer(tiers)
+        K.kept("encoder", _encoder.cache_clear)
         docs: dict[int, tuple[int | None, np.ndarray]] = {}  # id and ids of documents that are not all packed yet
         n_docs = n_sequences = n_steps = held = 0
         ready: list[list[tuple[int, int, int]]] = []
@@ -306,7 +307,7 @@ def _pack_pass(path: str, end_id: int, tiers: tuple[int, ...], step_tokens: int)
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "tier", "step_group"])
 
         for batch in batches:
-            for part in K.slices(batch, 1, _PART):
+            for part in K.slices(batch, 1, _PART, keep="encoder"):
                 ids, sizes = encoder.ids(*K.buffers(part.column(1)))
                 at = [0, *np.cumsum(sizes).tolist()]
                 for doc_id, a, b in zip(part.column(0).to_pylist(), at, at[1:]):

@@ -26,6 +26,7 @@ _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 _LIBC = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
 _OWN: dict[str, str] = {}
 _LIVE: dict[str, DataFrame] = {}
+_KEPT: dict[str, Callable[[], None]] = {}
 _ODD = 0x9E3779B97F4A7C15
 _SEGMENT = 1 << 18
 
@@ -72,8 +73,18 @@ def give_back() -> None:
         _LIBC.malloc_trim(0)
 
 
-def slices(batch: pa.RecordBatch, text: int, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about `most` bytes of text each; a longer text is a part of its own."""
+def kept(name: str, forget: Callable[[], None]) -> None:
+    """Says that a worker keeps something large from task to task; slices() that do not name it forget it."""
+    _KEPT[name] = forget
+
+
+def slices(batch: pa.RecordBatch, text: int, most: int = 1_000_000, keep: str = "") -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about `most` bytes of text each; a longer text is a part of its own.
+
+    What is kept() goes, but for `keep`: workers live on from stage to stage.
+    """
+    for name in [name for name in _KEPT if name != keep]:
+        _KEPT.pop(name)()
     if not batch.num_rows:
         return
     ends = buffers(batch.column(text))[1][1:]

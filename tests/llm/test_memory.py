@@ -6,8 +6,8 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from logmill.llm import language_id, ngram_jaccard
-from logmill.llm.textkernel import BATCH_BYTES, buffers, shingles, spans, word_hashes
+from logmill.llm import language_id, ngram_jaccard, packing, textkernel
+from logmill.llm.textkernel import BATCH_BYTES, buffers, kept, shingles, slices, spans, word_hashes
 
 
 def texts(total: int) -> list[str]:
@@ -62,3 +62,13 @@ def test_counts_of_repeated_shingles():
         if frequent:
             found[key] = found.get(key, 0) + k
     assert found == dict(zip(keys.view(np.int64).tolist(), (2 * n).tolist()))
+
+
+def test_the_encoder_goes_with_its_stage():
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some words"])], ["doc_id", "text"])
+    first = packing._encoder(packing.default_vocabulary())
+    kept("encoder", packing._encoder.cache_clear)
+    list(slices(batch, 1, keep="encoder"))
+    assert packing._encoder(packing.default_vocabulary()) is first
+    list(slices(batch, 1))
+    assert not packing._encoder.cache_info().currsize and not textkernel._KEPT
